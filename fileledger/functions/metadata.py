@@ -82,8 +82,12 @@ def has_value_like(document: Column, keyword: str) -> Column:
         unescaped = F.get_json_object(F.concat(F.lit('{"a":'), token, F.lit("}")), "$.a")
         return F.when(token.contains("\\"), unescaped).otherwise(plain).rlike(value_pattern)
 
-    tokens = F.regexp_extract_all(document, F.lit(_STRING_TOKEN), F.lit(0))
-    exact = F.exists(tokens, lambda token: ~token.endswith(":") & matches(token))
-    # Without an escape the values stand in the document as they are, so a document that does not
-    # match as a whole cannot match in part; only the others are taken apart.
-    return (document.contains("\\") | document.rlike(part_pattern)) & exact
+    def found_in(whole: Column) -> Column:
+        tokens = F.regexp_extract_all(whole, F.lit(_STRING_TOKEN), F.lit(0))
+        exact = F.exists(tokens, lambda token: ~token.endswith(":") & matches(token))
+        # Without an escape the values stand in the document as they are, so a document that does
+        # not match as a whole cannot match in part; only the others are taken apart.
+        return (whole.contains("\\") | whole.rlike(part_pattern)) & exact
+
+    # As the item of an array the document is worked out once, however often it is looked at.
+    return F.exists(F.array(document), found_in)

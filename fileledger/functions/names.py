@@ -30,9 +30,7 @@ def base_name(path: Column) -> Column:
 
 def raw_suffix(name: Column) -> Column:
     """Last suffix with its dot, or `''`; a leading or trailing dot starts no suffix."""
-    tail = F.substring_index(name, ".", -1)
-    inside = (F.octet_length(tail) > 0) & (F.octet_length(tail) < F.octet_length(name) - 1)
-    return F.when(inside, F.concat(F.lit("."), tail)).when(name.isNotNull(), F.lit(""))
+    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
 
 
 def suffix(name: Column) -> Column:
@@ -57,21 +55,25 @@ def mime_pairs() -> dict[str, str]:
     return dict(_mime_tables().types_map[True])
 
 
-def mime_suffix(name: Column) -> Column:
-    """Suffix that decides the MIME type: the one under a compression suffix, if any."""
-    tables = _mime_tables()
+# Leading dots belong to the stem, and one other character has to precede the suffix.
+_MIME_SUFFIX = r"(?s)^\.*[^.].*?(\.[^.]*)$"
 
-    def last(n: Column) -> Column:
-        # Leading dots belong to the stem, and one other character has to precede the suffix.
-        return F.regexp_extract(n, r"(?s)^\.*[^.].*?(\.[^.]*)$", 1)
 
-    own = last(name)
+def _with_mime_suffix(files: DataFrame, name: Column) -> DataFrame:
+    """Add `_mime_ext`, the suffix that decides: the one under a compression suffix, if any."""
+    tables = _mime_tables()
+    own = F.col("_own")
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(own))
-    inner = F.when(own.isin(*tables.encodings_map), last(stem)).otherwise(own)
-    for packed, spelled_out in tables.suffix_map.items():
-        under = "." + spelled_out.split(".")[1]
-        inner = F.when(F.lower(own) == packed, F.lit(under)).otherwise(inner)
-    return F.lower(inner)
+    under = F.when(
+        own.isin(*tables.encodings_map), F.regexp_extract(stem, _MIME_SUFFIX, 1)
+    ).otherwise(own)
+    # `.tgz` and the like stand for two suffixes, of which the first one decides.
+    packed = F.create_map(
+        *[F.lit(part) for p, s in tables.suffix_map.items() for part in (p, "." + s.split(".")[1])]
+    )
+    return files.withColumn("_own", F.regexp_extract(name, _MIME_SUFFIX, 1)).withColumn(
+        "_mime_ext", F.lower(F.coalesce(F.try_element_at(packed, F.lower(own)), under))
+    )
 
 
 def mime_table(spark: SparkSession) -> DataFrame:
@@ -89,8 +91,8 @@ def with_mime(files: DataFrame, name: str = "name") -> DataFrame:
     """Add `mime`; a hash lookup in the fixed table, so the files are not shuffled."""
     lookup = F.broadcast(mime_table(files.sparkSession))
     return (
-        files.withColumn("_mime_ext", mime_suffix(F.col(name)))
+        _with_mime_suffix(files, F.col(name))
         .join(lookup, "_mime_ext", "left")
         .withColumn("mime", F.coalesce("_mime", F.lit(UNKNOWN_MIME)))
-        .drop("_mime_ext", "_mime")
+        .drop("_own", "_mime_ext", "_mime")
     )

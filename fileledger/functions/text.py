@@ -31,16 +31,22 @@ def _occurrences(text: Column, piece: str) -> Column:
     return ((F.octet_length(text) - F.octet_length(gone)) / F.lit(len(piece))).cast("bigint")
 
 
+def _if_returns(text: Column, number: Column) -> Column:
+    """The number, worked out only where the text has a carriage return at all."""
+    return F.when(text.contains("\r"), number).when(text.isNotNull(), F.lit(0).cast("bigint"))
+
+
 def line_count(text: Column) -> Column:
     """Lines after `\\r\\n` and `\\r` count as `\\n`; text ending in a newline has one more."""
-    # Each \r\n is seen by both single counts, so it comes off once.
-    breaks = _occurrences(text, "\n") + _occurrences(text, "\r") - _occurrences(text, "\r\n")
-    return breaks + 1
+    pieces = F.size(F.split(text, "\n", -1)).cast("bigint")
+    # The pieces are cut at every \n already, also at that of a \r\n.
+    returns = _occurrences(text, "\r") - _occurrences(text, "\r\n")
+    return pieces + _if_returns(text, returns)
 
 
 def char_count(text: Column) -> Column:
     """Code points after newline translation."""
-    return F.length(text).cast("bigint") - _occurrences(text, "\r\n")
+    return F.length(text).cast("bigint") - _if_returns(text, _occurrences(text, "\r\n"))
 
 
 def is_blank(text: Column) -> Column:

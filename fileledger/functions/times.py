@@ -18,11 +18,8 @@ def ntz(moment: datetime) -> Column:
 def from_epoch(seconds: Column, zone: str = "UTC") -> Column:
     """Epoch seconds (double) as wall-clock time in `zone`, rounded half-even to microseconds."""
     whole = F.floor(seconds)
-    micros = F.rint((seconds - whole) * 1000000).cast("bigint")
-    exact = (whole.cast("decimal(20,6)") + micros.cast("decimal(20,6)") / F.lit(1000000)).cast(
-        "decimal(18,6)"
-    )
-    utc = ntz(datetime(1970, 1, 1)) + F.make_dt_interval(secs=exact)
+    micros = whole * 1000000 + F.rint((seconds - whole) * 1000000).cast("bigint")
+    utc = ntz(datetime(1970, 1, 1)) + F.expr("INTERVAL '0.000001' SECOND") * micros
     return utc if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
+from fileledger.operators.ordering import in_order
 
 #: Files listed in one row of the nested report; a larger group continues on further rows.
 PAGE_FILES = 10_000
@@ -19,9 +20,10 @@ def duplicate_groups(inventory: DataFrame, min_size: int = 0) -> DataFrame:
     oldest file are combined before the shuffle, so a group of any size travels as one row per
     map task.
     """
-    return _groups(inventory, min_size).orderBy(F.desc("total_size"), "sha256").select(
+    groups = _groups(inventory, min_size).select(
         "sha256", "count", "total_size", "wasted_size", "keeper_id", "keeper_path", "suggestion"
     )
+    return in_order(groups, "sha256", F.desc("total_size"), "sha256")
 
 
 def _groups(inventory: DataFrame, min_size: int) -> DataFrame:
@@ -50,11 +52,14 @@ def _groups(inventory: DataFrame, min_size: int) -> DataFrame:
     )
 
 
-def _members(inventory: DataFrame, min_size: int, slice_rows: int) -> DataFrame:
+def _members(
+    inventory: DataFrame, min_size: int, slice_rows: int, *about_group: str
+) -> DataFrame:
+    """All files of the duplicate groups, with the named columns of their group."""
     files = inventory.filter(F.col("sha256").isNotNull()).select(
         "sha256", "file_id", "path", "name", "size", "created", "modified"
     )
-    groups = _groups(inventory, min_size)
+    groups = _groups(inventory, min_size).select("sha256", "members", "keeper_id", *about_group)
     return join_groups(
         files, groups, "sha256", "members", row_id="file_id", slice_rows=slice_rows
     ).withColumn("is_keeper", F.col("file_id") == F.col("keeper_id"))
@@ -67,13 +72,10 @@ def duplicate_members(
 
     The sort ends on the file id, so its ranges cut through a group of any size.
     """
-    return (
-        _members(inventory, min_size, slice_rows)
-        .orderBy(F.desc("total_size"), "sha256", F.asc_nulls_first("created"), "file_id")
-        .select(
-            "sha256", "file_id", "path", "name", "size", "created", "modified", "is_keeper"
-        )
-    )
+    members = _members(inventory, min_size, slice_rows, "total_size")
+    return in_order(
+        members, "file_id", F.desc("total_size"), "sha256", F.asc_nulls_first("created"), "file_id"
+    ).select("sha256", "file_id", "path", "name", "size", "created", "modified", "is_keeper")
 
 
 def removable_files(
@@ -102,17 +104,19 @@ def find_duplicates(
     page = F.when(F.col("is_keeper"), F.lit(0)).otherwise(F.pmod("file_id", pages))
     group = ["sha256", "count", "total_size", "wasted_size", "keeper_id", "suggestion"]
     listed = F.struct("created", "file_id", "path", "name", "size", "modified")
-    return (
-        _members(inventory, min_size, slice_rows)
-        .withColumn("page", page)
+    members = _members(
+        inventory, min_size, slice_rows, "count", "total_size", "wasted_size", "suggestion"
+    )
+    nested = (
+        members.withColumn("page", page)
         .groupBy(*group, "page")
         .agg(F.sort_array(F.collect_list(listed)).alias("files"))
-        .orderBy(F.desc("total_size"), "sha256", "page")
         .select(
             "sha256", "page", "count", "total_size", "wasted_size", "keeper_id", "files",
             "suggestion",
         )
     )
+    return nested.orderBy(F.desc("total_size"), "sha256", "page")
 
 
 def files_sharing_a_size(inventory: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

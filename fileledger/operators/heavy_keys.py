@@ -22,22 +22,25 @@ def join_groups(
 ) -> DataFrame:
     """Join rows to `groups`, which has one row per key and its row count in `count`.
 
-    Rows of a heavy key are spread over slices of about `slice_rows` by `row_id`, and the group's
+    Pass `groups` with no more columns than are used afterwards. Rows of a heavy key are spread over slices of about `slice_rows` by `row_id`, and the group's
     single row is repeated once per slice, so no task gets a whole heavy group. Adaptive execution
     would not do this: the aggregation below `groups` keeps it from splitting the join.
     """
+    slices = F.ceil(F.col(count) / slice_rows).cast("int")
     heavy = (
         groups.filter(F.col(count) > slice_rows)
         # Naming every column keeps the aggregation as it is for `groups`, so its shuffle is reused.
         .orderBy(F.desc(count), *[c for c in groups.columns if c != count])
         .limit(MOST_HEAVY_KEYS)
-        .select(key, F.ceil(F.col(count) / slice_rows).cast("int").alias("_slices"))
+        .select(key, slices.alias("_slices"))
     )
     # Rows without a key match nothing, so they may lie anywhere.
-    slices = F.when(F.col(key).isNull(), 1 << 20).otherwise(F.coalesce("_slices", F.lit(1)))
-    slice_of_row = F.pmod(F.xxhash64(row_id), slices).cast("int")
-    spread = rows.join(F.broadcast(heavy), key, "left").withColumn("_slice", slice_of_row)
+    spread_over = F.when(F.col(key).isNull(), 1 << 20).otherwise(F.coalesce("_slices", F.lit(1)))
+    spread = rows.join(F.broadcast(heavy), key, "left").withColumn(
+        "_slice", F.pmod(F.xxhash64(row_id), spread_over).cast("int")
+    )
+    needed = F.when(F.col("_slices").isNotNull(), slices).otherwise(1)
     copies = groups.join(F.broadcast(heavy), key, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+        "_slice", F.explode(F.sequence(F.lit(0), needed - 1))
     )
     return spread.drop("_slices").join(copies.drop("_slices"), [key, "_slice"], how).drop("_slice")

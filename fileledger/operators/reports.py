@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.functions import metadata, sizes, times
 from fileledger.operators.duplicates import find_duplicates
+from fileledger.operators.ordering import in_order
 
 # Fixed value: what the suffix of a temporary file ends with.
 TEMP_SUFFIXES = (".tmp", ".bak", ".old", ".log", ".temp", ".swp", ".swo", "~")
@@ -25,55 +25,45 @@ DEFAULT_DAYS = 365
 
 def find_large(inventory: DataFrame, min_bytes: int = DEFAULT_LARGE) -> DataFrame:
     """Files of at least `min_bytes`, largest first."""
-    return (
-        inventory.filter(F.col("size") >= min_bytes)
-        .orderBy(F.desc("size"), "file_id")
-        .select(
-            "file_id", "path", "name", "ext", "size",
-            sizes.megabytes(F.col("size")).alias("size_mb"),
-            "modified",
-        )
+    large = inventory.filter(F.col("size") >= min_bytes).select(
+        "file_id", "path", "name", "ext", "size",
+        sizes.megabytes(F.col("size")).alias("size_mb"),
+        "modified",
     )
+    return in_order(large, "file_id", F.desc("size"), "file_id")
 
 
 def find_old(inventory: DataFrame, days: int = DEFAULT_DAYS, *, as_of: datetime) -> DataFrame:
     """Files last accessed more than `days` before `as_of`, longest idle first."""
-    return (
-        inventory.filter(F.col("accessed") < times.ntz(as_of - timedelta(days=days)))
-        .orderBy("accessed", "file_id")
-        .select(
-            "file_id", "path", "name", "size", "accessed", "modified",
-            times.whole_days(F.col("accessed"), times.ntz(as_of)).alias("days_idle"),
-        )
+    cutoff = times.ntz(as_of - timedelta(days=days))
+    old = inventory.filter(F.col("accessed") < cutoff).select(
+        "file_id", "path", "name", "size", "accessed", "modified",
+        times.whole_days(F.col("accessed"), times.ntz(as_of)).alias("days_idle"),
     )
+    return in_order(old, "file_id", "accessed", "file_id")
 
 
 def find_temp(inventory: DataFrame) -> DataFrame:
     """Temporary files by suffix, largest first."""
-    temporary = reduce(or_, [F.col("ext").endswith(suffix) for suffix in TEMP_SUFFIXES])
-    return (
-        inventory.filter(temporary)
-        .orderBy(F.desc("size"), "file_id")
-        .select("file_id", "path", "name", "ext", "size", "modified")
-    )
+    temporary = F.col("ext").rlike("(" + "|".join(map(re.escape, TEMP_SUFFIXES)) + r")\z")
+    files = inventory.filter(temporary).select("file_id", "path", "name", "ext", "size", "modified")
+    return in_order(files, "file_id", F.desc("size"), "file_id")
 
 
 def find_empty(inventory: DataFrame) -> DataFrame:
     """Files without content, by path."""
-    return (
-        inventory.filter(F.col("size") == 0)
-        .orderBy("path")
-        .select("file_id", "path", "name", "ext", "modified")
+    empty = inventory.filter(F.col("size") == 0).select(
+        "file_id", "path", "name", "ext", "modified"
     )
+    return in_order(empty, "path", "path")
 
 
 def search_metadata(inventory: DataFrame, keyword: str) -> DataFrame:
     """Files with the keyword in some string value of their metadata, by path."""
-    return (
-        inventory.filter(metadata.has_value_like(F.col("metadata"), keyword))
-        .orderBy("path")
-        .select("file_id", "path", "name", "ext", "size", "metadata")
+    found = inventory.filter(metadata.has_value_like(F.col("metadata"), keyword)).select(
+        "file_id", "path", "name", "ext", "size", "metadata"
     )
+    return in_order(found, "path", "path")
 
 
 def analyze(

@@ -33,12 +33,12 @@ def describe_files(
 
     Columns named in `keep` go along.
     """
-    name = names.base_name(F.col("path"))
-    return listing.filter(_accepted(follow_symlinks)).select(
+    accepted = listing.filter(_accepted(follow_symlinks))
+    return accepted.withColumn("name", names.base_name(F.col("path"))).select(
         *keep,
         "path",
-        name.alias("name"),
-        names.suffix(name).alias("ext"),
+        "name",
+        names.suffix(F.col("name")).alias("ext"),
         "size",
         times.from_epoch(F.col("ctime"), zone).alias("created"),
         times.from_epoch(F.col("mtime"), zone).alias("modified"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fileledger.functions.names import base_name
 from fileledger.functions.times import ntz
 from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
+from fileledger.session import cut_lineage
 
 # Reasons given for a file that is left alone.
 NOT_IN_INVENTORY = "not found"
@@ -58,7 +59,8 @@ def quarantine_plan(
     reason = F.when(F.col("path").isNull(), F.lit(NOT_IN_INVENTORY)).when(
         F.col("_exists").isNull(), F.lit(NOT_ON_DISK)
     )
-    judged = looked_at.select("file_id", "path", reason.alias("reason")).withColumn(
+    # Looked at twice below, so written down: the joins above are then done once.
+    judged = cut_lineage(looked_at.select("file_id", "path", reason.alias("reason"))).withColumn(
         "_name", F.when(F.col("reason").isNull(), base_name(F.col("path")))
     )
     shared_names = (
@@ -126,9 +128,9 @@ def restore_plan(
     reason = F.when(F.col("original_path").isNull(), F.lit(NO_RECORD)).when(
         F.col("_exists"), F.lit(ORIGINAL_EXISTS)
     )
-    judged = looked_at.select("quarantine_path", "original_path", reason.alias("_reason")).withColumn(
-        "_target", F.when(F.col("_reason").isNull(), F.col("original_path"))
-    )
+    judged = cut_lineage(
+        looked_at.select("quarantine_path", "original_path", reason.alias("_reason"))
+    ).withColumn("_target", F.when(F.col("_reason").isNull(), F.col("original_path")))
     rivals = (
         judged.filter(F.col("_target").isNotNull())
         .groupBy("_target")
