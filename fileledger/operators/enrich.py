@@ -103,6 +103,7 @@ def merge_results(inventory: DataFrame, results: DataFrame, *columns: str) -> Da
 def outcomes_of(ledger: DataFrame, kind: str, results: DataFrame) -> DataFrame:
     """(work_id, success, message) of running work items, from a job's (file_id, error)."""
     running = ledger.filter((F.col("kind") == kind) & (F.col("status") == "running"))
+    running = running.select("work_id", "file_id")
     return running.join(results.select("file_id", "error"), "file_id").select(
         "work_id", F.col("error").isNull().alias("success"), F.col("error").alias("message")
     )
