@@ -13,6 +13,7 @@ from fileledger.functions import text
 from fileledger.operators.enrich import (
     describe_content,
     extract_metadata,
+    files_left,
     hash_content,
     hash_files,
     merge_results,
@@ -55,6 +56,7 @@ __all__ = [
     "duplicate_groups",
     "duplicate_members",
     "extract_metadata",
+    "files_left",
     "files_sharing_a_size",
     "find_duplicates",
     "find_empty",

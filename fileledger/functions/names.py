@@ -78,13 +78,8 @@ def _with_mime_suffix(files: DataFrame, name: Column) -> DataFrame:
 
 def mime_table(spark: SparkSession) -> DataFrame:
     """The suffix table as a literal relation (under 200 rows whatever the data)."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(ext).alias("_mime_ext"), F.lit(mime).alias("_mime"))
-            for ext, mime in sorted(mime_pairs().items())
-        ]
-    )
-    return spark.range(1).select(F.inline(pairs))
+    rows = ", ".join(f"('{ext}', '{mime}')" for ext, mime in sorted(mime_pairs().items()))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS known(_mime_ext, _mime)")
 
 
 def with_mime(files: DataFrame, name: str = "name") -> DataFrame:

@@ -23,7 +23,8 @@ def duplicate_groups(inventory: DataFrame, min_size: int = 0) -> DataFrame:
     groups = _groups(inventory, min_size).select(
         "sha256", "count", "total_size", "wasted_size", "keeper_id", "keeper_path", "suggestion"
     )
-    return in_order(groups, "sha256", F.desc("total_size"), "sha256")
+    # Spread by the keeper: by hash they lie spread already, and the shuffle would be left out.
+    return in_order(groups, "keeper_id", F.desc("total_size"), "sha256")
 
 
 def _groups(inventory: DataFrame, min_size: int) -> DataFrame:

@@ -85,6 +85,13 @@ def extract_metadata(
     return skipped.unionByName(opened.select("file_id", document.alias("metadata"), "error"))
 
 
+def files_left(inventory: DataFrame, results: DataFrame) -> DataFrame:
+    """Files without a result yet. Results kept in a table let a broken-off job go on from there."""
+    return inventory.join(results.select("file_id"), "file_id", "left_anti").select(
+        *inventory.columns
+    )
+
+
 def merge_results(inventory: DataFrame, results: DataFrame, *columns: str) -> DataFrame:
     """The inventory with new values where `results` has them, by file id.
 

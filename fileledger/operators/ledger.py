@@ -22,13 +22,21 @@ def known_values(ledger: DataFrame) -> Column:
 
 
 def work_fan_out(
-    new_files: DataFrame, created_at: datetime, max_attempts: int = DEFAULT_MAX_ATTEMPTS
+    new_files: DataFrame,
+    created_at: datetime,
+    max_attempts: int = DEFAULT_MAX_ATTEMPTS,
+    analyze: bool = True,
 ) -> DataFrame:
-    """One pending work item per new file and kind, numbered after the file."""
+    """One pending work item per new file and kind, numbered after the file.
+
+    Without `analyze` the files are only to be hashed.
+    """
     nothing = F.lit(None)
     numbered = new_files.select(
         "file_id", F.posexplode(F.array(*map(F.lit, NEW_FILE_KINDS))).alias("place", "kind")
     )
+    if not analyze:
+        numbered = numbered.filter(F.col("kind") != "analyze")
     return numbered.select(
         (F.col("file_id") * len(NEW_FILE_KINDS) + F.col("place")).alias("work_id"),
         "file_id",

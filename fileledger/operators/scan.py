@@ -73,20 +73,18 @@ def scan(
     return scan_inventory(list_tree(spark, root), follow_symlinks, zone)
 
 
-def resume_new_files(files: DataFrame, known: DataFrame) -> DataFrame:
+def resume_new_files(files: DataFrame, known: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Files whose path the inventory does not hold; a path given twice comes out once.
 
     One shuffle by path serves both steps. Of two rows for a path the smaller one stays, so a
-    re-run takes the same row.
+    re-run takes the same row. With `ignore_case`, paths differing only in case are one path.
     """
-    others = [c for c in files.columns if c != "path"]
-    once = (
-        files.groupBy("path")
-        .agg(F.min(F.struct(*others)).alias("_row"))
-        .select("path", *[F.col("_row")[c].alias(c) for c in others])
-        .select(*files.columns)
+    path = F.lower("path") if ignore_case else F.col("path")
+    row = F.min(F.struct(*files.columns))
+    once = files.groupBy(path.alias("_key")).agg(row.alias("_row"))
+    return once.join(known.select(path.alias("_key")), "_key", "left_anti").select(
+        *[F.col("_row")[c].alias(c) for c in files.columns]
     )
-    return once.join(known.select("path"), "path", "left_anti").select(*files.columns)
 
 
 def append_inventory(new_files: DataFrame, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: bytes read at a time while hashing; the digest does not depend on it.
 CHUNK_BYTES = 1 << 20
@@ -34,27 +35,46 @@ def sha256_of_file(path: str) -> str:
     return digest.hexdigest()
 
 
-def _missing_or(problem: OSError, path: str) -> str:
+def _message(problem: Exception, path: str) -> str:
     return f"File not found: {path}" if isinstance(problem, FileNotFoundError) else str(problem)
 
 
-def _hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        digests, errors = [], []
-        for path in batch["path"]:
-            try:
-                digests.append(sha256_of_file(path))
-                errors.append(None)
-            except OSError as problem:
-                digests.append(None)
-                errors.append(_missing_or(problem, path))
-        yield pd.DataFrame({"file_id": batch["file_id"], "sha256": digests, "error": errors})
+def enrich_files(
+    files: DataFrame, work: Callable[[str], dict], columns: str, tasks: int | None = None
+) -> DataFrame:
+    """Run `work` on the path of every file: (file_id, the columns it gives, error).
+
+    A file on which it fails has nulls and the message; the job goes on.
+    """
+    given = T.StructType.fromDDL(columns).names
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            results, errors = [], []
+            for path in batch["path"]:
+                try:
+                    results.append(work(path))
+                    errors.append(None)
+                except Exception as problem:  # a broken file must not end the job
+                    results.append({})
+                    errors.append(_message(problem, path))
+            yield pd.DataFrame(
+                {
+                    "file_id": batch["file_id"],
+                    **{c: pd.Series([r.get(c) for r in results], dtype="object") for c in given},
+                    "error": errors,
+                }
+            )
+
+    return spread_by_path(files.select("file_id", "path"), tasks).mapInPandas(
+        body, f"file_id bigint, {columns}, error string"
+    )
 
 
 def hash_mounted(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """(file_id, sha256, error) for files the executors can open; any size, empty and hidden too."""
-    return spread_by_path(files.select("file_id", "path"), tasks).mapInPandas(
-        _hash_batches, "file_id bigint, sha256 string, error string"
+    return enrich_files(
+        files, lambda path: {"sha256": sha256_of_file(path)}, "sha256 string", tasks
     )
 
 
@@ -78,9 +98,8 @@ def read_mounted(
             with open(path, "rb") as stream:
                 raw = stream.read()
         except OSError as problem:
-            missing = isinstance(problem, FileNotFoundError)
-            if missing:
-                return None, None, False, _missing_or(problem, path)
+            if isinstance(problem, FileNotFoundError):
+                return None, None, False, _message(problem, path)
             return None, json.dumps({"erro": str(problem)}, ensure_ascii=False), False, None
         if extractor == "text":
             return raw, None, False, None

@@ -64,6 +64,11 @@ def test_fan_out(spark, inventory):
     assert [(f.name, f.dataType) for f in made] == [(f.name, f.dataType) for f in layout]
 
 
+def test_fan_out_without_analysis(inventory):
+    rows = by_id(work.work_fan_out(inventory, AT, analyze=False))
+    assert sorted(rows) == [20, 22, 24, 26] and {r.kind for r in rows.values()} == {"hash"}
+
+
 def test_missing_work_adds_nothing_twice(ledger, inventory):
     assert work.missing_work(inventory, ledger, AT).count() == 0
     part = ledger.filter("file_id <> 13")

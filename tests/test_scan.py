@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from fileledger import (
     append_inventory,
     extract_metadata,
+    files_left,
     find_empty,
+    find_large,
+    find_old,
     hash_files,
     merge_results,
     outcomes_of,
     rejected_files,
+    resume_new_files,
     scan,
     scan_inventory,
     scan_totals,
 )
 from fileledger.operators import ledger as work
 from fileledger.schema import LISTING
+from fileledger.session import cut_lineage
 from fileledger.sources import content
 from fileledger.sources.directory import FORMAT, list_tree, register
 from fileledger.sources.tables import number_rows, read_inventory
@@ -287,3 +292,57 @@ def test_live_size_counts_for_the_cap(spark, tree, inventory):
     os.remove(path)
     row = extract_metadata(one, size_cap=50).first()
     assert row.metadata is None and row.error == f"File not found: {path}"
+
+
+def test_enrich_files_with_own_work(spark, tree, inventory):
+    def first_byte(path: str) -> dict:
+        with open(path, "rb") as stream:
+            return {"first": stream.read()[0], "length": os.stat(path).st_size}
+
+    got = {
+        r.file_id: r for r in content.enrich_files(inventory, first_byte, "first int, length bigint").collect()
+    }
+    for row in inventory.collect():
+        body = CONTENTS[os.path.relpath(row.path, tree)]
+        result = got[row.file_id]
+        if body:
+            assert (result.first, result.length, result.error) == (body[0], len(body), None)
+        else:
+            assert result.first is None and "out of range" in result.error
+
+
+def test_files_left(spark, inventory):
+    done = hash_files(inventory.filter("size > 0")).filter("error IS NULL")
+    assert {r.name for r in files_left(inventory, done).collect()} == {"empty.txt"}
+
+
+def test_resume_without_regard_to_case(spark):
+    files = spark.createDataFrame(
+        [("/A/x", 1), ("/a/X", 2), ("/b", 3), ("/C", 4), ("/C", 4)], "path string, size bigint"
+    )
+    known = spark.createDataFrame([("/B",), ("/c2",)], "path string")
+    exact = resume_new_files(files, known)
+    assert sorted(map(tuple, exact.collect())) == [("/A/x", 1), ("/C", 4), ("/a/X", 2), ("/b", 3)]
+    loose = resume_new_files(files, known, ignore_case=True)
+    assert sorted(map(tuple, loose.collect())) == [("/A/x", 1), ("/C", 4)]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    cut = cut_lineage(spark.range(3))
+    assert sorted(r.id for r in cut.collect()) == [0, 1, 2]
+    folder = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert folder and (configured is None or configured in folder)
+
+
+def test_filters_and_columns_reach_the_scan(spark, inventory):
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    empty = scans(find_empty(inventory))
+    assert "PushedFilters: [IsNotNull(size), EqualTo(size,0)]" in empty
+    assert "metadata" not in empty and "sha256" not in empty
+    large = scans(find_large(inventory))
+    assert "GreaterThanOrEqual(size,104857600)" in large
+    old = scans(find_old(inventory, as_of=datetime(2026, 1, 1)))
+    assert "LessThan(accessed,2025-01-01T00:00)" in old
