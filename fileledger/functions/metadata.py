@@ -76,18 +76,23 @@ def has_value_like(document: Column, keyword: str) -> Column:
     Keys and numbers do not count. `%` and `_` in the keyword are wildcards.
     """
     value_pattern, part_pattern = contains_patterns(keyword)
+    plain_keyword = not set(keyword) & set("%_\\")
+
+    def like(value: Column, pattern: str) -> Column:
+        return value.contains(keyword) if plain_keyword else value.rlike(pattern)
 
     def matches(token: Column) -> Column:
         plain = F.substring(token, F.lit(2), F.length(token) - 2)
         unescaped = F.get_json_object(F.concat(F.lit('{"a":'), token, F.lit("}")), "$.a")
-        return F.when(token.contains("\\"), unescaped).otherwise(plain).rlike(value_pattern)
+        value = F.when(token.contains("\\"), unescaped).otherwise(plain)
+        return like(value, value_pattern)
 
     def found_in(whole: Column) -> Column:
         tokens = F.regexp_extract_all(whole, F.lit(_STRING_TOKEN), F.lit(0))
         exact = F.exists(tokens, lambda token: ~token.endswith(":") & matches(token))
         # Without an escape the values stand in the document as they are, so a document that does
         # not match as a whole cannot match in part; only the others are taken apart.
-        return (whole.contains("\\") | whole.rlike(part_pattern)) & exact
+        return (whole.contains("\\") | like(whole, part_pattern)) & exact
 
     # As the item of an array the document is worked out once, however often it is looked at.
     return F.exists(F.array(document), found_in)

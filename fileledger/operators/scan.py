@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,9 @@ def resume_new_files(files: DataFrame, known: DataFrame, ignore_case: bool = Fal
     )
 
 
-def append_inventory(new_files: DataFrame, path: str) -> DataFrame:
+def append_inventory(
+    new_files: DataFrame, path: str, ingested_at: datetime | None = None
+) -> DataFrame:
     """Append files whose path the inventory at `path` does not hold yet; returns what was added.
 
     Safe to run again after a failure: paths already written are not added twice. The added rows
@@ -101,7 +104,12 @@ def append_inventory(new_files: DataFrame, path: str) -> DataFrame:
         start = (known.agg(F.max("file_id")).first()[0] or 0) + 1
     else:
         new_files = resume_new_files(new_files, spark.createDataFrame([], INVENTORY))
-    numbered = in_inventory_layout(number_rows(new_files.drop("file_id"), "path", "file_id", start))
+    now = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
+    numbered = in_inventory_layout(
+        number_rows(new_files.drop("file_id"), "path", "file_id", start).withColumn(
+            "ingested_at", times.ntz(now)
+        )
+    )
     numbered.write.mode("append").parquet(path)
     return numbered
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,19 +25,22 @@ FORMAT = "file_inventory"
 
 
 class Subtree(InputPartition):
-    """A directory to list, with or without what lies below its sub-directories."""
+    """A directory to list, with or without what lies below its sub-directories.
 
-    def __init__(self, directory: str, deep: bool, after: float = 0.0, upto: float | None = None):
+    With `after`, only what changed since then, or lies in a directory that did.
+    """
+
+    def __init__(self, directory: str, deep: bool, renewed: bool, after: float | None):
         self.directory = directory
         self.deep = deep
+        self.renewed = renewed
         self.after = after
-        self.upto = upto
 
     def rows(self) -> Iterator[tuple]:
-        for path, error in walk(self.directory, self.deep):
+        for path, error, renewed in walk(self.directory, self.deep, self.renewed, self.after):
             row = stat_row(path, error)
             changed = row[5]
-            if self.upto is None or changed is None or self.after < changed <= self.upto:
+            if self.after is None or renewed or changed is None or changed > self.after:
                 yield row
 
 
@@ -53,10 +57,10 @@ class _Planning:
         self.pieces = int(options.get("pieces", "64"))
         self.effort = int(options.get("planning_entries", "100000"))
 
-    def subtrees(self, **window) -> list[Subtree]:
+    def subtrees(self, after: float | None = None) -> list[Subtree]:
         return [
-            Subtree(directory, deep, **window)
-            for directory, deep in plan_subtrees(self.root, self.pieces, self.effort)
+            Subtree(*piece, after)
+            for piece in plan_subtrees(self.root, self.pieces, self.effort, after)
         ]
 
 
@@ -69,15 +73,16 @@ class TreeReader(_Planning, DataSourceReader):
 
 
 class ChangedFilesReader(_Planning, DataSourceStreamReader):
-    """Files whose inode changed since the last batch (new, moved in, rewritten).
+    """Files changed since the last batch: new, rewritten, moved in alone or with their directory.
 
-    The offset is a time. Files may turn up a little late on network mounts, so the window ends
-    `settle_seconds` before now; a file seen twice is sorted out by the append, which knows paths.
+    The offset is a time. File systems date changes by clocks of their own, some coarse, so the
+    next batch looks back `settle_seconds` before this one. Files seen twice are sorted out by the append,
+    which knows paths. A file system that does not date changes needs a full scan instead.
     """
 
     def __init__(self, options):
         super().__init__(options)
-        self.settle = float(options.get("settle_seconds", "0"))
+        self.settle = float(options.get("settle_seconds", "60"))
 
     def initialOffset(self):
         return {"changed": 0.0}
@@ -86,7 +91,7 @@ class ChangedFilesReader(_Planning, DataSourceStreamReader):
         return {"changed": time.time() - self.settle}
 
     def partitions(self, start, end):
-        return self.subtrees(after=start["changed"], upto=end["changed"])
+        return self.subtrees(start["changed"])
 
     def read(self, partition):
         return partition.rows()
@@ -120,44 +125,51 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileInventorySource)
 
 
+FRAME_ROWS = 10_000
+
+
+def _in_frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while held := list(islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _walk_within(budget: int):
     """Task body: walk the given directories until `budget` entries, hand the rest back."""
 
-    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entries(directories: Iterator[str]) -> Iterator[tuple[str, bool, str | None]]:
         left = budget
-        out: list[tuple] = []
-        for batch in batches:
-            waiting = list(batch["path"])
+        for directory in directories:
+            waiting = [directory]
             while waiting:
                 current = waiting.pop()
                 if left <= 0:
-                    out.append((current, True, None))
-                else:
-                    folders, others = open_directory(current)
-                    try:
-                        for path in others:
-                            left -= 1
-                            out.append((path, False, None))
-                            if len(out) >= 10000:
-                                yield pd.DataFrame(out, columns=["path", "is_folder", "error"])
-                                out = []
-                    except OSError as problem:
-                        out.append((current, False, str(problem)))
-                    left -= len(folders)
-                    waiting.extend(folders)
-                if len(out) >= 10000:
-                    yield pd.DataFrame(out, columns=["path", "is_folder", "error"])
-                    out = []
-        yield pd.DataFrame(out, columns=["path", "is_folder", "error"])
+                    yield current, True, None
+                    continue
+                folders, others = open_directory(current)
+                try:
+                    for path in others:
+                        left -= 1
+                        yield path, False, None
+                except OSError as problem:
+                    yield current, False, str(problem)
+                left -= len(folders)
+                waiting.extend(folders)
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        directories = (path for batch in batches for path in batch["path"])
+        return _in_frames(entries(directories), ["path", "is_folder", "error"])
 
     return body
 
 
 def _stat_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = (
+        stat_row(path, error)
+        for batch in batches
+        for path, error in zip(batch["path"], batch["error"])
+    )
     columns = [field.split()[0] for field in LISTING.split(", ")]
-    for batch in batches:
-        rows = [stat_row(path, error) for path, error in zip(batch["path"], batch["error"])]
-        listed = pd.DataFrame(rows, columns=columns)
+    for listed in _in_frames(rows, columns):
         yield listed.astype({"size": "Int64", "attr_bits": "Int32"})
 
 

@@ -66,6 +66,34 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(path)
 
 
+def write_snapshot(table: DataFrame, base: str) -> str:
+    """Write a new version of a table that may be made from the one before; returns its path.
+
+    Nothing is overwritten: readers of the earlier version, this job among them, keep their files.
+    """
+    latest = latest_snapshot(table.sparkSession, base)
+    version = int(latest.rsplit("=", 1)[1]) + 1 if latest else 1
+    path = f"{base}/version={version}"
+    # A version left unfinished by a failed job is no version yet.
+    table.write.mode("overwrite").parquet(path)
+    return path
+
+
+def latest_snapshot(spark: SparkSession, base: str) -> str | None:
+    """Path of the newest finished version, or None."""
+    if not table_exists(spark, base):
+        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in system.listStatus(folder)]
+    versions = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+    for version in reversed(versions):
+        path = f"{base}/version={version}"
+        if table_exists(spark, f"{path}/_SUCCESS"):
+            return path
+    return None
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -22,19 +22,33 @@ def open_directory(directory: str) -> tuple[list[str], Iterator[str]]:
     return folders, others()
 
 
-def walk(directory: str, deep: bool = True) -> Iterator[tuple[str, str | None]]:
-    """Everything below a directory that is no directory: (path, error). Flat if not `deep`."""
-    waiting = [directory]
+def changed_after(directory: str, moment: float | None) -> bool:
+    """Whether entries came or went, or the directory itself was moved, after the moment."""
+    try:
+        return moment is not None and os.lstat(directory).st_ctime > moment
+    except OSError:
+        return True
+
+
+def walk(
+    directory: str, deep: bool = True, renewed: bool = False, after: float | None = None
+) -> Iterator[tuple[str, str | None, bool]]:
+    """Everything below a directory that is no directory: (path, error, renewed).
+
+    Flat if not `deep`. `renewed` tells that a directory on the way changed after `after`: a file
+    in a directory that was moved does not look changed itself.
+    """
+    waiting = [(directory, renewed)]
     while waiting:
-        current = waiting.pop()
+        current, new = waiting.pop()
         folders, others = open_directory(current)
         try:
             for path in others:
-                yield path, None
+                yield path, None, new
         except OSError as problem:
-            yield current, str(problem)
+            yield current, str(problem), new
         if deep:
-            waiting.extend(folders)
+            waiting.extend((folder, new or changed_after(folder, after)) for folder in folders)
 
 
 def stat_row(path: str, error: str | None = None) -> tuple:
@@ -62,16 +76,18 @@ def stat_row(path: str, error: str | None = None) -> tuple:
     return (path, None, is_file, is_link, None, None, None, None, None, error)
 
 
-def plan_subtrees(root: str, wanted: int, effort: int) -> list[tuple[str, bool]]:
-    """Split a tree into (directory, whole subtree?) pieces.
+def plan_subtrees(
+    root: str, wanted: int, effort: int, after: float | None = None
+) -> list[tuple[str, bool, bool]]:
+    """Split a tree into (directory, whole subtree?, renewed?) pieces.
 
     Opens directories breadth first until there are enough pieces or `effort` entries were seen;
-    file names are passed over, not kept.
+    file names are passed over, not kept. The root is where it always was, so it is not renewed.
     """
-    pieces: list[tuple[str, bool]] = []
-    waiting, seen = deque([root]), 0
+    pieces: list[tuple[str, bool, bool]] = []
+    waiting, seen = deque([(root, False)]), 0
     while waiting and len(waiting) < wanted and seen < effort:
-        current = waiting.popleft()
+        current, new = waiting.popleft()
         folders, others = open_directory(current)
         try:
             for _ in others:
@@ -80,11 +96,11 @@ def plan_subtrees(root: str, wanted: int, effort: int) -> list[tuple[str, bool]]
                     break
             else:
                 seen += len(folders)
-                pieces.append((current, False))
-                waiting.extend(folders)
+                pieces.append((current, False, new))
+                waiting.extend((folder, new or changed_after(folder, after)) for folder in folders)
                 continue
         except OSError:
             pass
         # Too large to open here, or not readable: one task takes it as a whole.
-        pieces.append((current, True))
-    return pieces + [(directory, True) for directory in waiting]
+        pieces.append((current, True, new))
+    return pieces + [(directory, True, new) for directory, new in waiting]

@@ -31,7 +31,12 @@ from fileledger.schema import LISTING
 from fileledger.session import cut_lineage
 from fileledger.sources import content
 from fileledger.sources.directory import FORMAT, list_tree, register
-from fileledger.sources.tables import number_rows, read_inventory
+from fileledger.sources.tables import (
+    latest_snapshot,
+    number_rows,
+    read_inventory,
+    write_snapshot,
+)
 from fileledger.sources.walk import plan_subtrees
 from fileledger.streaming.incremental import ingest_new_files
 
@@ -102,9 +107,9 @@ def test_data_source_agrees_with_list_tree(spark, tree, options):
 def test_planned_pieces_cover_the_tree_once(tree):
     for wanted in (1, 2, 3, 50):
         pieces = plan_subtrees(str(tree), wanted, 1000)
-        folders = [d for d, _ in pieces]
+        folders = [d for d, _, _ in pieces]
         assert len(folders) == len(set(folders))
-        deep = [d for d, whole in pieces if whole]
+        deep = [d for d, whole, _ in pieces if whole]
         assert not any(a != b and a.startswith(b + "/") for a in folders for b in deep)
 
 
@@ -165,15 +170,19 @@ def test_append_is_repeatable_and_resumes(spark, tree, tmp_path):
     assert [r.path for r in again] == [str(tree / "later.txt")]
     stored = read_inventory(spark, target)
     ids = [r.file_id for r in stored.collect()]
+    assert stored.filter("ingested_at IS NULL").isEmpty()
     assert sorted(ids) == list(range(1, len(CONTENTS) + 2))
     assert {r.path for r in find_empty(stored).collect()} == {str(tree / "empty.txt")}
 
 
-def test_stream_takes_only_new_files(spark, tree, tmp_path):
+@pytest.mark.parametrize("settle", ["0", "60"])
+def test_stream_takes_only_new_files(spark, tree, tmp_path, settle):
     target, checkpoint = str(tmp_path / "inventory"), str(tmp_path / "checkpoint")
 
     def run():
-        ingest_new_files(spark, str(tree), target, checkpoint).awaitTermination()
+        ingest_new_files(
+            spark, str(tree), target, checkpoint, settle_seconds=settle
+        ).awaitTermination()
         return {r.path for r in read_inventory(spark, target).collect()}
 
     assert run() == full(tree)
@@ -182,8 +191,27 @@ def test_stream_takes_only_new_files(spark, tree, tmp_path):
     # A file written again is known already.
     (tree / "test.txt").write_text("changed")
     assert run() == full(tree) | {str(tree / "sub" / "later.txt")}
+    # Moved in with their directory, files keep the times they had.
+    outside = tmp_path / "outside" / "inner"
+    outside.mkdir(parents=True)
+    (outside / "moved.txt").write_text("moved")
+    run()
+    os.rename(tmp_path / "outside", tree / "sub" / "moved_in")
+    assert str(tree / "sub" / "moved_in" / "inner" / "moved.txt") in run()
     paths = [r.path for r in read_inventory(spark, target).collect()]
-    assert len(paths) == len(set(paths))
+    assert len(paths) == len(set(paths)) == len(CONTENTS) + 2
+
+
+def test_snapshots(spark, tmp_path):
+    base = str(tmp_path / "ledger")
+    assert latest_snapshot(spark, base) is None
+    first = write_snapshot(spark.range(3), base)
+    second = write_snapshot(spark.read.parquet(first).selectExpr("id + 1 AS id"), base)
+    assert latest_snapshot(spark, base) == second
+    os.remove(f"{second}/_SUCCESS")
+    assert latest_snapshot(spark, base) == first
+    assert write_snapshot(spark.range(9), base) == second
+    assert spark.read.parquet(latest_snapshot(spark, base)).count() == 9
 
 
 @pytest.fixture
