@@ -166,6 +166,11 @@ ORACLE: dict[str, str] = {
     "content_hash": f"WITH {_files()} SELECT file_id, path, sha256 FROM files",
     "text_stats": f"SELECT doc_id, {_TEXT.format(t='text')} FROM documents",
     "text_stats_pages": f"SELECT page_id, {_TEXT.format(t='html')} FROM pages",
+    "text_stats_conversations": (
+        f"SELECT conv_id, turn, {_TEXT.format(t='text')} FROM conversations"
+    ),
+    "files_left": f"""WITH {_files()}
+SELECT file_id, path, size FROM files WHERE file_id NOT IN (SELECT doc_id FROM labels)""",
     "metadata_gate": f"""WITH {_files()}, gated AS (SELECT *, {_GATE} AS reason FROM files)
 SELECT file_id,
        CASE WHEN reason IS NOT NULL THEN NULL WHEN ext = '.txt' THEN 'text' ELSE 'pdf' END
@@ -198,6 +203,8 @@ SELECT sha256, CAST(page AS BIGINT) AS page, "count", total_size,
        'Keep oldest: ' || keeper_path AS suggestion
 FROM paged GROUP BY sha256, page, "count", total_size, keeper_size, keeper_id, keeper_path
 ORDER BY total_size DESC, sha256, page""",
+    "report_items_of_duplicates": f"""WITH {_files()}, {_copies()}, {_REMOVABLE}
+SELECT file_id, path, size FROM removable""",
     "files_sharing_a_size": f"""WITH {_files()}
 SELECT file_id, path, size FROM files
 WHERE size IN (SELECT size FROM files GROUP BY size HAVING count(*) > 1)""",
@@ -220,6 +227,9 @@ SELECT file_id, path, name, ext, modified FROM files WHERE size = 0 ORDER BY pat
     "metadata_search": _SEARCH.format(files=_files(), keyword="src1"),
     "metadata_search_wildcard": _SEARCH.format(files=_files(), keyword="_ation%,"),
     "file_suffix": f"WITH {_files()} SELECT file_id, name, ext FROM files",
+    "iso_times": """SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0
+    THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS "at"
+FROM events""",
     "url_suffix": """WITH named AS (
   SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS name FROM pages)
 SELECT page_id, name, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS ext FROM named""",

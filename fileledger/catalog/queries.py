@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.catalog import inputs
-from fileledger.functions import attrs, names, sizes, text
+from fileledger.functions import attrs, names, sizes, text, times
 from fileledger.operators import duplicates, enrich, ledger, reports, scan
 from fileledger.plans import clean, quarantine
+from fileledger.sources.reports import report_items
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,18 @@ def text_stats_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def text_stats_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    turns = inputs.table(spark, sf, "conversations")
+    return turns.select("conv_id", "turn", text.text_stats(F.col("text")).alias("s")).select(
+        "conv_id", "turn", "s.*"
+    )
+
+
+def files_left(spark: SparkSession, sf: str) -> DataFrame:
+    files = inputs.inventory(spark, sf).select("file_id", "path", "size")
+    return enrich.files_left(files, inputs.labelled(spark, sf))
+
+
 def metadata_gate(spark: SparkSession, sf: str) -> DataFrame:
     gated = enrich.metadata_gate(inputs.inventory(spark, sf), size_cap=GATE_CAP)
     return gated.select("file_id", "extractor", "skip")
@@ -76,6 +89,11 @@ def duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.withColumn("files", F.array_join(ids, ","))
 
 
+def report_items_of_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    report = duplicates.find_duplicates(inputs.inventory(spark, sf), page_files=REPORT_PAGE)
+    return report_items(report)
+
+
 def files_sharing_a_size(spark: SparkSession, sf: str) -> DataFrame:
     files = inputs.inventory(spark, sf).select("file_id", "path", "size")
     return duplicates.files_sharing_a_size(files)
@@ -115,6 +133,11 @@ def file_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.inventory(spark, sf).select("file_id", "name", "ext")
 
 
+def iso_times(spark: SparkSession, sf: str) -> DataFrame:
+    events = inputs.table(spark, sf, "events")
+    return events.select("event_id", times.iso_text(F.col("ts")).alias("at"))
+
+
 def url_suffix(spark: SparkSession, sf: str) -> DataFrame:
     name = names.base_name(F.col("url"))
     return inputs.table(spark, sf, "pages").select(
@@ -319,12 +342,15 @@ QUERIES: dict[str, Query] = {
         content_hash,
         text_stats,
         text_stats_pages,
+        text_stats_conversations,
+        files_left,
         metadata_gate,
         metadata_documents,
         duplicate_groups,
         duplicate_groups_min_size,
         duplicate_members,
         duplicate_report,
+        report_items_of_duplicates,
         files_sharing_a_size,
         large_files,
         old_files,
@@ -333,6 +359,7 @@ QUERIES: dict[str, Query] = {
         metadata_search,
         metadata_search_wildcard,
         file_suffix,
+        iso_times,
         url_suffix,
         mime_type,
         attribute_flags,

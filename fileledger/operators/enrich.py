@@ -95,13 +95,15 @@ def files_left(inventory: DataFrame, results: DataFrame) -> DataFrame:
 def merge_results(inventory: DataFrame, results: DataFrame, *columns: str) -> DataFrame:
     """The inventory with new values where `results` has them, by file id.
 
-    Write the outcome to a new place: the inventory is still being read while it is written.
+    A file with several results, as after a job begun again, stays one row; a value goes before
+    none. Write the outcome to a new place: the inventory is still being read while it is written.
     """
-    fresh = results.select("file_id", *[F.col(c).alias(f"_new_{c}") for c in columns])
+    # On the key of the join, so the two share one shuffle.
+    fresh = results.groupBy("file_id").agg(F.max(F.struct(*columns)).alias("_new"))
     merged = inventory.join(fresh, "file_id", "left")
     return merged.select(
         *[
-            F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c)
+            F.coalesce(F.col("_new")[c], F.col(c)).alias(c) if c in columns else F.col(c)
             for c in inventory.columns
         ]
     )

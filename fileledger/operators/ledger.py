@@ -126,7 +126,7 @@ def next_work_batch(ledger: DataFrame, size: int = 100) -> DataFrame:
 
 def start_work(ledger: DataFrame, batch: DataFrame, worker: str, at: datetime) -> DataFrame:
     """Mark the items of a batch as running."""
-    taken = batch.select("work_id", F.lit(True).alias("_taken"))
+    taken = batch.select("work_id").distinct().withColumn("_taken", F.lit(True))
     mark = F.col("_taken").isNotNull()
     return (
         ledger.join(taken, "work_id", "left")
@@ -151,7 +151,12 @@ def record_outcomes(
     or not; any other running item without an outcome is left running.
     """
     running = F.coalesce(F.col("status") == "running", F.lit(False))
-    told = outcomes.select("work_id", "success", "message")
+    # Told of twice, an item counts once, and success goes before failure.
+    told = (
+        outcomes.groupBy("work_id")
+        .agg(F.max(F.struct("success", "message")).alias("_told"))
+        .select("work_id", "_told.success", "_told.message")
+    )
     known = inventory.select("file_id", F.lit(True).alias("_known"))
     # Only running rows meet the outcomes and the inventory.
     items = ledger.filter(running).join(told, "work_id", "left").join(known, "file_id", "left")

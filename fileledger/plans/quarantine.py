@@ -115,7 +115,12 @@ def restore_plan(
 
     Of several files that came from one path only the first, by quarantine path, can go back.
     """
-    records = manifest.select("quarantine_path", "original_path")
+    # A path recorded more than once holds the file recorded last.
+    records = (
+        manifest.groupBy("quarantine_path")
+        .agg(F.max(F.struct("quarantine_date", "original_path")).alias("_last"))
+        .select("quarantine_path", "_last.original_path")
+    )
     asked = (
         requests.filter(F.col("quarantine_path").isNotNull())
         .select("quarantine_path")

@@ -138,6 +138,17 @@ def test_outcomes(spark, ledger, inventory):
     assert tuple(work.outcome_totals(ledger, after).first()) == (1, 2)
 
 
+def test_outcome_told_twice_counts_once(spark, ledger, inventory):
+    told = spark.createDataFrame(
+        [(4, False, "x"), (4, True, None), (3, False, "a"), (3, False, "a")],
+        "work_id bigint, success boolean, message string",
+    )
+    after = work.record_outcomes(ledger, told, inventory, AT)
+    assert after.count() == len(ROWS)
+    rows = by_id(after)
+    assert rows[4].status == "done" and (rows[3].status, rows[3].attempts) == ("error", 3)
+
+
 def test_running_work_without_outcome_goes_on(spark, ledger, inventory):
     nothing = spark.createDataFrame([], "work_id bigint, success boolean, message string")
     rows = by_id(work.record_outcomes(ledger, nothing, inventory, AT))

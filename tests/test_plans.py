@@ -174,7 +174,7 @@ def test_manifest_and_quarantine_list(spark, inventory, tmp_path):
 @pytest.mark.parametrize("slice_rows", [1, 1_000_000])
 def test_restore_plan(spark, slice_rows):
     manifest = spark.createDataFrame(
-        [("/o/a", "/q/1/a", AT, 1), ("/o/b", "/q/1/b", AT, 2), ("/o/c", "/q/1/c", AT, 3), ("/o/c", "/q/2/c", AT, 4)],
+        [("/o/a", "/q/1/a", AT, 1), ("/o/b", "/q/1/b", AT, 2), ("/o/c", "/q/1/c", AT, 3), ("/o/c", "/q/2/c", AT, 4), ("/o/old", "/q/1/a", datetime(2025, 1, 1), 9)],
         "original_path string, quarantine_path string, quarantine_date timestamp_ntz, file_id bigint",
     )
     asked = spark.createDataFrame(

@@ -231,6 +231,16 @@ def test_hash_files(spark, tree, inventory):
     )
 
 
+def test_merging_results_twice_keeps_one_row_per_file(spark, inventory):
+    results = hash_files(inventory)
+    failed = results.withColumn("sha256", F.lit(None).cast("string"))
+    merged = merge_results(inventory, failed.unionByName(results).unionByName(results), "sha256")
+    assert merged.count() == len(CONTENTS) and merged.filter("sha256 IS NULL").isEmpty()
+    # No new value leaves the old one.
+    kept = merge_results(merged, failed, "sha256")
+    assert kept.filter("sha256 IS NULL").isEmpty()
+
+
 def test_hash_reads_in_chunks(monkeypatch, tmp_path):
     monkeypatch.setattr(content, "CHUNK_BYTES", 8)
     (tmp_path / "f").write_bytes(b"x" * 100)
