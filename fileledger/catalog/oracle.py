@@ -194,7 +194,8 @@ ORDER BY total_size DESC, sha256, created NULLS FIRST, file_id""",
     "duplicate_report": f"""WITH {_files()}, {_copies()},
 paged AS (
   SELECT *, CASE WHEN place = 1 THEN 0
-                 ELSE file_id % CAST(ceil(members / 16.0) AS BIGINT) END AS page
+                 ELSE CAST('0x' || substr(md5(CAST(file_id AS VARCHAR)), 1, 15) AS BIGINT)
+                      % CAST(ceil(members / 16.0) AS BIGINT) END AS page
   FROM ranked JOIN groups USING (sha256)
 )
 SELECT sha256, CAST(page AS BIGINT) AS page, "count", total_size,

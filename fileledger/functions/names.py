@@ -28,13 +28,9 @@ def base_name(path: Column) -> Column:
     return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 
 
-def raw_suffix(name: Column) -> Column:
-    """Last suffix with its dot, or `''`; a leading or trailing dot starts no suffix."""
-    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
-
-
 def suffix(name: Column) -> Column:
-    return F.lower(raw_suffix(name))
+    """Last suffix, lowercase with its dot, or `''`; a leading or trailing dot starts none."""
+    return F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1))
 
 
 def extractor_for(ext: Column) -> Column:

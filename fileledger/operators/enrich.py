@@ -87,9 +87,8 @@ def extract_metadata(
 
 def files_left(inventory: DataFrame, results: DataFrame) -> DataFrame:
     """Files without a result yet. Results kept in a table let a broken-off job go on from there."""
-    return inventory.join(results.select("file_id"), "file_id", "left_anti").select(
-        *inventory.columns
-    )
+    done = results.select("file_id").distinct()
+    return inventory.join(done, "file_id", "left_anti").select(*inventory.columns)
 
 
 def merge_results(inventory: DataFrame, results: DataFrame, *columns: str) -> DataFrame:

@@ -60,7 +60,9 @@ def missing_work(
     max_attempts: int = DEFAULT_MAX_ATTEMPTS,
 ) -> DataFrame:
     """Work items for files the ledger knows nothing of; run again, it adds nothing."""
-    unknown = inventory.select("file_id").join(ledger.select("file_id"), "file_id", "left_anti")
+    # Made distinct before the shuffle, so a file with most of the work is one row per task.
+    known = ledger.select("file_id").distinct()
+    unknown = inventory.select("file_id").join(known, "file_id", "left_anti")
     return work_fan_out(unknown, created_at, max_attempts)
 
 

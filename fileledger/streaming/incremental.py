@@ -22,8 +22,11 @@ def ingest_new_files(
 
     The checkpoint remembers up to when the tree was looked at and belongs outside the tree. A
     batch that is run again after a failure finds its paths in the inventory and adds none twice.
+    Where one branch of the tree holds most files below a single directory, `scan` and
+    `append_inventory` spread the walk better: here a piece of the tree stays with its task.
     """
     register(spark)
+    options.setdefault("pieces", str(max(64, 4 * spark.sparkContext.defaultParallelism)))
     changes = spark.readStream.format(FORMAT).options(**options).load(root)
 
     def add(batch: DataFrame, batch_id: int) -> None:

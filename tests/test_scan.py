@@ -273,13 +273,6 @@ def test_object_store_hashing(spark, tree):
         assert got[str(tree / name)] == hashlib.sha256(body).hexdigest()
 
 
-def test_plain_path(spark):
-    uris = ["file:/a%20b+c", "file:///a/%C3%A9%25", "s3://b/x%20y", "/plain"]
-    frame = spark.createDataFrame([(u,) for u in uris], "u string")
-    got = [r.p for r in frame.select(content.plain_path(F.col("u")).alias("p")).collect()]
-    assert got == ["/a b+c", "/a/é%", "s3://b/x y", "/plain"]
-
-
 def test_extract_metadata(spark, tree, inventory):
     def pdf(raw: bytes) -> dict:
         return {"paginas": 1, "versao": raw[:8].decode()}
