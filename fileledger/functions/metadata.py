@@ -31,7 +31,7 @@ def skip_reason(
     size_cap: int = DEFAULT_SIZE_CAP,
 ) -> Column:
     """Why a file is not analysed, null if it is. The first reason that applies wins."""
-    ext = F.lower(ext)
+    ext = F.lower(F.coalesce(ext, F.lit("")))
     return (
         F.when(size > size_cap, F.lit(TOO_LARGE))
         .when(

@@ -128,8 +128,9 @@ def find_duplicates(
 def files_sharing_a_size(inventory: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Files whose size occurs more than once: only these can be duplicates, so only these need
     a hash if nothing but the duplicate report is wanted."""
-    sizes = inventory.groupBy("size").agg(F.count("*").alias("same_size"))
+    sized = inventory.filter(F.col("size").isNotNull())
+    sizes = sized.groupBy("size").agg(F.count("*").alias("same_size"))
     shared = sizes.filter(F.col("same_size") > 1)
     return join_groups(
-        inventory, shared, "size", "same_size", row_id="file_id", slice_rows=slice_rows
+        sized, shared, "size", "same_size", row_id="file_id", slice_rows=slice_rows
     ).select(*inventory.columns)

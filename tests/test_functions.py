@@ -176,7 +176,7 @@ def test_bad_bytes_are_left_out(spark):
 
 
 GATED = [
-    (10, ".txt"), (11, ".txt"), (5, ".jpeg"), (5, ".xyz"), (5, ""), (5, ".PDF"), (11, ".xyz"), (0, ".zip"),
+    (10, ".txt"), (11, ".txt"), (5, ".jpeg"), (5, ".xyz"), (5, ""), (5, ".PDF"), (11, ".xyz"), (0, ".zip"), (5, None),
 ]
 
 
@@ -193,6 +193,7 @@ def test_skip_reasons_in_order(spark):
         None,
         {"skipped": "file too large"},
         {"skipped": "no analyzer for .zip"},
+        {"skipped": "extension  not in analysis list"},
     ]
 
 
