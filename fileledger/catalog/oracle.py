@@ -193,10 +193,7 @@ FROM ranked JOIN groups USING (sha256)
 ORDER BY total_size DESC, sha256, created NULLS FIRST, file_id""",
     "duplicate_report": f"""WITH {_files()}, {_copies()},
 paged AS (
-  SELECT *, CASE WHEN place = 1 THEN 0
-                 ELSE CAST('0x' || substr(md5(CAST(file_id AS VARCHAR)), 1, 15) AS BIGINT)
-                      % CAST(ceil(members / 16.0) AS BIGINT) END AS page
-  FROM ranked JOIN groups USING (sha256)
+  SELECT *, (place - 1) // 16 AS page FROM ranked JOIN groups USING (sha256)
 )
 SELECT sha256, CAST(page AS BIGINT) AS page, "count", total_size,
        total_size - keeper_size AS wasted_size, keeper_id,
@@ -204,6 +201,8 @@ SELECT sha256, CAST(page AS BIGINT) AS page, "count", total_size,
        'Keep oldest: ' || keeper_path AS suggestion
 FROM paged GROUP BY sha256, page, "count", total_size, keeper_size, keeper_id, keeper_path
 ORDER BY total_size DESC, sha256, page""",
+    "duplicate_numbers": f"""WITH {_files()}, {_copies()}
+SELECT sha256, place AS number, file_id, path FROM ranked JOIN groups USING (sha256)""",
     "report_items_of_duplicates": f"""WITH {_files()}, {_copies()}, {_REMOVABLE}
 SELECT file_id, path, size FROM removable""",
     "files_sharing_a_size": f"""WITH {_files()}

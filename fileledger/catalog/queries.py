@@ -89,6 +89,10 @@ def duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.withColumn("files", F.array_join(ids, ","))
 
 
+def duplicate_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.numbered_members(inputs.inventory(spark, sf))
+
+
 def report_items_of_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     report = duplicates.find_duplicates(inputs.inventory(spark, sf), page_files=REPORT_PAGE)
     return report_items(report)
@@ -350,6 +354,7 @@ QUERIES: dict[str, Query] = {
         duplicate_groups_min_size,
         duplicate_members,
         duplicate_report,
+        duplicate_numbers,
         report_items_of_duplicates,
         files_sharing_a_size,
         large_files,

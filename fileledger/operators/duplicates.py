@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
-from fileledger.operators.ordering import in_order
+from fileledger.operators.ordering import in_order, number_in_groups
 
 #: Files listed in one row of the nested report; a larger group continues on further rows.
 PAGE_FILES = 10_000
@@ -90,6 +90,22 @@ def removable_files(
     )
 
 
+def _numbered(
+    inventory: DataFrame, min_size: int, slice_rows: int, *about_group: str
+) -> DataFrame:
+    members = _members(inventory, min_size, slice_rows, *about_group).drop("members", "is_keeper")
+    return number_in_groups(
+        members, "sha256", ["created", "file_id"], "number", "file_id", slice_rows
+    )
+
+
+def numbered_members(
+    inventory: DataFrame, min_size: int = 0, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Every file of every duplicate group with its place in it: 1 is to be kept, the others not."""
+    return _numbered(inventory, min_size, slice_rows).select("sha256", "number", "file_id", "path")
+
+
 def find_duplicates(
     inventory: DataFrame,
     min_size: int = 0,
@@ -98,23 +114,17 @@ def find_duplicates(
 ) -> DataFrame:
     """Duplicate groups with their files nested, oldest first.
 
-    A group of up to `page_files` is one row. A larger one is spread by id over as many rows as it
-    needs, none of which has to hold the whole group; the copy to keep leads the first of them.
+    A group of up to `page_files` is one row. A larger one goes on over further rows, page after
+    page, none of which has to hold the whole group. The members are written down once, with their
+    number in the group, when this is called.
     """
-    pages = F.ceil(F.col("members") / page_files).cast("bigint")
-    # By a digest and not the id itself: ids in steps would fall on a few pages only. A digest any
-    # SQL engine has, too, since the page is part of the result.
-    digest = F.substring(F.md5(F.col("file_id").cast("string").cast("binary")), 1, 15)
-    page = F.when(F.col("is_keeper") | (pages == 1), F.lit(0)).otherwise(
-        F.conv(digest, 16, 10).cast("bigint") % pages
-    )
     group = ["sha256", "count", "total_size", "wasted_size", "keeper_id", "suggestion"]
-    listed = F.struct("created", "file_id", "path", "name", "size", "modified")
-    members = _members(
+    numbered = _numbered(
         inventory, min_size, slice_rows, "count", "total_size", "wasted_size", "suggestion"
     )
+    listed = F.struct("created", "file_id", "path", "name", "size", "modified")
     nested = (
-        members.withColumn("page", page)
+        numbered.withColumn("page", F.floor((F.col("number") - 1) / page_files))
         .groupBy(*group, "page")
         .agg(F.sort_array(F.collect_list(listed)).alias("files"))
         .select(

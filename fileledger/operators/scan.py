@@ -9,14 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.functions import attrs, names, times
+from fileledger.operators.ordering import number_rows
 from fileledger.schema import INVENTORY
 from fileledger.sources.directory import list_tree
-from fileledger.sources.tables import (
-    in_inventory_layout,
-    number_rows,
-    read_inventory,
-    table_exists,
-)
+from fileledger.sources.tables import in_inventory_layout, read_inventory, table_exists
 
 
 def _accepted(follow_symlinks: bool):
@@ -106,7 +102,7 @@ def append_inventory(
         new_files = resume_new_files(new_files, spark.createDataFrame([], INVENTORY))
     now = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
     numbered = in_inventory_layout(
-        number_rows(new_files.drop("file_id"), "path", "file_id", start).withColumn(
+        number_rows(new_files.drop("file_id"), ["path"], "file_id", start).withColumn(
             "ingested_at", times.ntz(now)
         )
     )

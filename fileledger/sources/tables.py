@@ -1,16 +1,12 @@
-"""Inventory and manifest tables: reading, appending, numbering rows."""
+"""Inventory and manifest tables: reading, layout, versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from fileledger.schema import INVENTORY, MANIFEST
-from fileledger.session import cut_lineage
-
-_SLICE_BITS = 33
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -33,29 +29,6 @@ def in_inventory_layout(files: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(rows: DataFrame, key: str, column: str, start: int = 1) -> DataFrame:
-    """Add consecutive numbers in the order of `key`, the same for every later reader.
-
-    Each range of keys is numbered on its own and written down; then every range is shifted by the
-    rows before it. Only the table of ranges, one row per task, is ever seen whole.
-    """
-    here = F.shiftright("_place", _SLICE_BITS)
-    placed = cut_lineage(
-        rows.repartitionByRange(key)
-        .sortWithinPartitions(key)
-        .withColumn("_place", F.monotonically_increasing_id())
-    ).withColumn("_range", here)
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    in_range = F.col("_place") - F.shiftleft("_range", _SLICE_BITS)
-    return (
-        placed.join(F.broadcast(shifts), "_range")
-        .withColumn(column, F.lit(start) + F.col("_shift") + in_range)
-        .drop("_place", "_range", "_shift")
-    )
-
-
 def append_manifest(moved: DataFrame, path: str) -> None:
     """Record quarantined files (one row each, in place of a side file next to every file)."""
     wanted = [field.split()[0] for field in MANIFEST.split(", ")]

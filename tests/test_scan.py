@@ -27,16 +27,12 @@ from fileledger import (
     scan_totals,
 )
 from fileledger.operators import ledger as work
+from fileledger.operators.ordering import number_rows
 from fileledger.schema import LISTING
 from fileledger.session import cut_lineage
 from fileledger.sources import content
 from fileledger.sources.directory import FORMAT, list_tree, register
-from fileledger.sources.tables import (
-    latest_snapshot,
-    number_rows,
-    read_inventory,
-    write_snapshot,
-)
+from fileledger.sources.tables import latest_snapshot, read_inventory, write_snapshot
 from fileledger.sources.walk import plan_subtrees
 from fileledger.streaming.incremental import ingest_new_files
 
@@ -154,7 +150,7 @@ def test_listing_rows_with_errors_are_rejected(spark):
 
 def test_number_rows_is_dense_and_in_order(spark):
     rows = spark.range(1000).select(F.format_string("/p/%04d", "id").alias("path")).repartition(7)
-    numbered = number_rows(rows, "path", "file_id", start=50)
+    numbered = number_rows(rows, ["path"], "file_id", start=50)
     got = [(r.path, r.file_id) for r in numbered.orderBy("path").collect()]
     assert got == [(f"/p/{i:04d}", 50 + i) for i in range(1000)]
 
