@@ -10,13 +10,8 @@ from fileledger.functions.times import iso_text
 
 # A report read back: flat reports fill the upper columns, duplicate reports the lower ones. The
 # Portuguese names are fixed values: the keys of array reports written by the earlier tool.
-_ITEM = "file_id bigint, path string, size bigint"
-_EARLIER_ITEM = "id bigint, caminho string, tamanho bigint"
-REPORT = (
-    f"{_ITEM}, {_EARLIER_ITEM}, sha256 string, hash string, count bigint, keeper_id bigint, "
-    f"files array<struct<{_ITEM.replace(' ', ':').replace(',:', ',')},"
-    f"{_EARLIER_ITEM.replace(' ', ':').replace(',:', ',')}>>"
-)
+_ITEM = "file_id bigint, path string, size bigint, id bigint, caminho string, tamanho bigint"
+REPORT = f"{_ITEM}, keeper_id bigint, files array<struct<{_ITEM}>>"
 
 
 def _iso_times(value: Column, kind: T.DataType) -> Column:
