@@ -53,21 +53,26 @@ def error_document(message: Column) -> Column:
 def contains_patterns(keyword: str) -> tuple[str, str]:
     """Regular expressions for LIKE `%keyword%`: for one value, and for text the value is part of.
 
-    `%` and `_` are wildcards, `\\` makes the next character literal.
+    `%` and `_` are wildcards, `\\` makes the next character literal. Between wildcards the first
+    place a piece fits is as good as any later one, so nothing is tried twice and the time grows
+    with the length of the text only.
     """
-    pieces, rest = [], iter("%" + keyword + "%")
+    pieces, rest = [""], iter("%" + keyword + "%")
     for char in rest:
         if char == "%":
-            pieces.append(".*")
+            pieces.append("")
         elif char == "_":
-            pieces.append(".")
+            pieces[-1] += "."
         else:
             literal = next(rest) if char == "\\" else char
-            pieces.append(re.escape(literal) if literal.isascii() else literal)
-    # A keyword ending in a backslash takes the wildcard after it as a literal percent sign.
-    open_end = pieces[-1] == ".*"
-    body = "(?s)" + "".join(pieces[1:-1] if open_end else pieces[1:])
-    return body + ("" if open_end else r"\z"), body
+            pieces[-1] += re.escape(literal) if literal.isascii() else literal
+    # A keyword ending in a backslash takes the wildcard after it as a literal percent sign, and
+    # then has to end the value.
+    *inner, last = pieces
+    found = r"(?s)\A" + "".join(f"(?>.*?{piece})" for piece in inner if piece)
+    if last:
+        return rf"{found}.*{last}\z", f"{found}(?>.*?{last})"
+    return found, found
 
 
 def has_value_like(document: Column, keyword: str) -> Column:

@@ -47,7 +47,7 @@ def _mime_tables() -> mimetypes.MimeTypes:
 
 
 def mime_pairs() -> dict[str, str]:
-    """Suffix to MIME type, the same on every host."""
+    """Suffix to MIME type, the same on every host with this Python version."""
     return dict(_mime_tables().types_map[True])
 
 

@@ -90,7 +90,8 @@ def append_inventory(
     """Append files whose path the inventory at `path` does not hold yet; returns what was added.
 
     Safe to run again after a failure: paths already written are not added twice. The added rows
-    come back from the written numbers, so a ledger made of them has the same ids.
+    come back from the written numbers, so a ledger made of them has the same ids. One append at a
+    time: two at once would give out the same numbers.
     """
     spark = new_files.sparkSession
     start = 1

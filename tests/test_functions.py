@@ -217,7 +217,7 @@ DOCUMENTS = [
 ]
 KEYWORDS = [
     "contrato", "Contrato", "12", "true", "k", "x", '"contrato"', "a_ual", "con%novo", "\\\\slash", "100\\%",
-    "\\_done", "ação", "_done_", "", "%", "tab\there", "line_break", "😀", "o\\", "yes\\", "a.ual", "[", "titulo",
+    "\\_done", "ação", "_done_", "", "%", "tab\there", "line_break", "😀", "o\\", "yes\\", "a.ual", "[", "titulo", "%a%o%a", "c_n%_o", "o%\\\\", "a%t%n%z", "ao%%l", "novo%\\",
 ]
 
 
@@ -257,3 +257,12 @@ def test_search_by_definition(spark, keyword, ascii_only):
 def test_search_survives_long_strings(spark):
     long = json.dumps({"a": "x" * 2_000_000 + '"\\' * 20_000 + "needle"})
     assert column(spark, [long, None], lambda c: metadata.has_value_like(c, "needle")) == [True, None]
+
+
+def test_search_time_grows_with_the_text_only(spark):
+    """Tried in every way, these wildcards would take longer than anyone can wait."""
+    text_of_one_letter = json.dumps({"a": "a" * 300_000})
+    found = column(
+        spark, [text_of_one_letter], lambda c: metadata.has_value_like(c, "a%a_a%a%a%a%a%b")
+    )
+    assert found == [False]
