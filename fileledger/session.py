@@ -22,18 +22,28 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from `spark.checkpoint.dir`.
+
+    Without that setting a local session makes one folder and keeps to it; a cluster has to name one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="fileledger-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
-    Lost executors then cost a re-read of files, not a re-run of the work that made them.
+    Lost executors then cost a re-read of files, not a re-run of the work that made them. Spark
+    removes the files of frames no longer used if `spark.cleaner.referenceTracking.cleanCheckpoints`
+    is set; else they belong to whoever owns the folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="fileledger-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
