@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from fileledger.llm.decontamination import op4_contamination
 from fileledger.llm.pieces import op7_pieces
+from fileledger.llm.simhash import op8_simhash
 from fileledger.llm.token_files import op10_token_files
 
 LLM_QUERIES = {
+    "op4_contamination": op4_contamination,
     "op7_pieces": op7_pieces,
+    "op8_simhash": op8_simhash,
     "op10_token_files": op10_token_files,
 }
 
