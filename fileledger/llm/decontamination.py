@@ -131,7 +131,8 @@ def _search(
             pa.array(hit > 0),
         ]
 
-    return add_columns(documents, _RESULT if last else _SO_FAR, compute, text, keep)
+    uses = [] if first else ["_runs", "_items"]
+    return add_columns(documents, _RESULT if last else _SO_FAR, compute, text, keep, uses=uses)
 
 
 def _offsets(raw: bytes, runs: np.ndarray) -> np.ndarray:

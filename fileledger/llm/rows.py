@@ -18,14 +18,16 @@ def add_columns(
     text: str = "text",
     keep: Sequence[str] | None = None,
     most: int = flat.GROUP_BYTES,
+    uses: Sequence[str] = (),
 ) -> DataFrame:
     """The rows with the columns `fields`, which `compute` gives for a batch with a few MB of text.
 
     `keep` names the columns kept, all by default; columns called like new ones are replaced.
+    `uses` names columns that `compute` looks at besides the text.
     """
     names = [field.name for field in fields]
     kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
-    needed = list(dict.fromkeys([*kept, text]))
+    needed = list(dict.fromkeys([*kept, text, *uses]))
     schema = StructType([*documents.select(*kept).schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
