@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fileledger.llm.decontamination import op4_contamination
 from fileledger.llm.pieces import op7_pieces
+from fileledger.llm.repeated_bytes import op5_repeated_bytes
 from fileledger.llm.repeated_words import SQL as REPEATED_WORDS_SQL
 from fileledger.llm.repeated_words import op2_repeated_words
 from fileledger.llm.simhash import op8_simhash
@@ -13,6 +14,7 @@ from fileledger.llm.weighted_sampling import op9_weighted_fingerprints
 LLM_QUERIES = {
     "op2_repeated_words": op2_repeated_words,
     "op4_contamination": op4_contamination,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op7_pieces": op7_pieces,
     "op8_simhash": op8_simhash,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,

@@ -21,13 +21,9 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from fileledger.llm import flat
 from fileledger.llm.rows import add_columns, table
+from fileledger.llm.sketch import MOST_BITS, ROWS, maybe_repeated, repeated_cells
 
 WINDOW = 13
-ROWS = 2
-#: Most counters in a row: 2^29, of which a bit each is broadcast, 64 MB a row. With more windows
-#: than counters the second look passes more windows on; none is ever lost.
-MOST_BITS = 29
-_SLICE_BITS = 22
 #: Windows a task keeps before it sends them on.
 _HELD = 1 << 21
 _LAST_ID = 2**63 - 1
@@ -55,108 +51,7 @@ def _window_hashes(data, starts, ends, first, size):
     return flat.window_hashes(words, size, 7)[at], flat.window_hashes(words, size, 11)[at], at
 
 
-def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (flat.mix(hashes + np.uint64(row * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _packed(sorted_values: np.ndarray, width: int) -> bytes:
-    """Ascending numbers as differences, byte by byte of equal place: the upper ones are mostly zero."""
-    steps = np.diff(sorted_values, prepend=0).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _unpacked(raw: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :width] = planes.T
-    return np.cumsum(steps.view("<u8")[:, 0]).astype(np.int64)
-
-
-def _sketch(documents: DataFrame, size: int, bits: int, rows: int) -> np.ndarray:
-    """For each row of counters, a bit for each that has two or more, as bytes."""
-    slice_bits = min(bits, _SLICE_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def send() -> pa.RecordBatch:
-            out: dict[str, list] = {"slice": [], "once": [], "more": []}
-            hashes = np.concatenate(held)
-            for row in range(rows):
-                cells = np.sort(_cells(hashes, row, bits))
-                new = np.append(True, cells[1:] != cells[:-1])
-                more = np.unique(cells[~new])
-                cells = cells[new]
-                borders = np.arange((1 << (bits - slice_bits)) + 1) << slice_bits
-                cuts, more_cuts = np.searchsorted(cells, borders), np.searchsorted(more, borders)
-                for k in range(len(borders) - 1):
-                    if cuts[k] < cuts[k + 1]:
-                        out["slice"].append(row << (bits - slice_bits) | k)
-                        out["once"].append(_packed(cells[cuts[k] : cuts[k + 1]] - borders[k], 3))
-                        out["more"].append(_packed(more[more_cuts[k] : more_cuts[k + 1]] - borders[k], 3))
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out["slice"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["more"], pa.binary())],
-                names=list(out),
-            )
-
-        waiting = 0
-        for batch in batches:
-            for one, _, _ in windows(batch, size):
-                if len(one):
-                    held.append(one)
-                    waiting += len(one)
-                if waiting > _HELD:
-                    yield send()
-                    waiting = 0
-        if held:
-            yield send()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, more = None, None, None
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([np.packbits(more, bitorder="little").tobytes()], pa.binary())],
-                names=["slice", "bits"],
-            )
-
-        for batch in batches:
-            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != now:
-                    if now is not None:
-                        yield out()
-                    now, once, more = k, np.zeros(1 << slice_bits, bool), np.zeros(1 << slice_bits, bool)
-                touched = _unpacked(a, 3)
-                more[touched[once[touched]]] = True
-                once[touched] = True
-                more[_unpacked(b, 3)] = True
-        if now is not None:
-            yield out()
-
-    slices = rows << (bits - slice_bits)
-    merged = (
-        documents.mapInArrow(count, "slice int, once binary, more binary")
-        .repartition(min(slices, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "slice")
-        .sortWithinPartitions("slice")
-        .mapInArrow(merge, "slice int, bits binary")
-    )
-    sketch = np.zeros((slices, (1 << slice_bits) // 8), np.uint8)
-    for row in merged.toLocalIterator():  # a slice at a time
-        sketch[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return sketch.reshape(rows, -1)
-
-
-def _maybe_repeated(hashes: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the hashes all whose counters have two or more."""
-    at = np.arange(len(hashes))
-    for row in range(len(sketch)):
-        cells = _cells(hashes[at], row, bits)
-        at = at[(sketch[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1]
-    return at
-
-
-def _first_documents(documents: DataFrame, size: int, bits: int, sketch: Broadcast, parts: int) -> DataFrame:
+def _first_documents(documents: DataFrame, size: int, sketch: Broadcast, parts: int) -> DataFrame:
     """Rows (doc, hashes): windows that an earlier document holds too; a document may have several rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +89,7 @@ def _first_documents(documents: DataFrame, size: int, bits: int, sketch: Broadca
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for one, two, row in windows(batch, size):
-                at = _maybe_repeated(one, sketch.value, bits)
+                at = maybe_repeated(one, sketch.value)
                 if len(at):
                     held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), ids[row[at]]))
                     waiting += len(at)
@@ -280,12 +175,14 @@ def without_repeats(
     source = documents.select(
         F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST_ID)).alias("doc_id"), F.col(text).alias("text")
     )
-    # A word and its space take two bytes at least; mostly there are fewer windows than a sixth.
+    # About as many windows as words, and a word to six bytes.
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(most_bits, max(16, int(4 * n_bytes / 6).bit_length()))
-    sketch = spark.sparkContext.broadcast(_sketch(source, size, bits, rows))
+    seen = repeated_cells(
+        source, lambda batch: (one for one, _, _ in windows(batch, size)), n_bytes // 6, rows, most_bits
+    )
+    sketch = spark.sparkContext.broadcast(seen)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = _first_documents(source, size, bits, sketch, parts)
+    marks = _first_documents(source, size, sketch, parts)
     marks = marks.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("hashes").alias("_hashes"))
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
