@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from fileledger.llm.decontamination import op4_contamination
+from fileledger.llm.language import op3_language
 from fileledger.llm.pieces import op7_pieces
 from fileledger.llm.repeated_bytes import op5_repeated_bytes
 from fileledger.llm.repeated_words import SQL as REPEATED_WORDS_SQL
 from fileledger.llm.repeated_words import op2_repeated_words
 from fileledger.llm.simhash import op8_simhash
 from fileledger.llm.token_files import op10_token_files
+from fileledger.llm.tool_calls import SQL as TOOL_CALLS_SQL
+from fileledger.llm.tool_calls import op6_tool_calls
+from fileledger.llm.toxicity import op1_toxicity
 from fileledger.llm.weighted_sampling import op9_weighted_fingerprints
 
 LLM_QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_repeated_words": op2_repeated_words,
+    "op3_language": op3_language,
     "op4_contamination": op4_contamination,
     "op5_repeated_bytes": op5_repeated_bytes,
+    "op6_tool_calls": op6_tool_calls,
     "op7_pieces": op7_pieces,
     "op8_simhash": op8_simhash,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
@@ -23,4 +30,5 @@ LLM_QUERIES = {
 
 LLM_ORACLE = {
     "op2_repeated_words": REPEATED_WORDS_SQL,
+    "op6_tool_calls": TOOL_CALLS_SQL,
 }
