@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from fileledger.llm.decontamination import op4_contamination
 from fileledger.llm.language import op3_language
 from fileledger.llm.pieces import op7_pieces
@@ -16,6 +17,7 @@ from fileledger.llm.toxicity import op1_toxicity
 from fileledger.llm.weighted_sampling import op9_weighted_fingerprints
 
 LLM_QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_repeated_words": op2_repeated_words,
     "op3_language": op3_language,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
+from fileledger.llm import flat
 from fileledger.llm.components import components
 from fileledger.llm.rows import add_columns, table
 from fileledger.operators.heavy_keys import join_groups
@@ -24,44 +25,54 @@ _SHINGLES_AT_ONCE = 1 << 16
 BUCKET = 4096
 
 
-def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
-    """A bit is set if it is set in over half the hashes of the text's word shingles."""
+def fingerprint(text: bytes, size: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
+    """A bit is set if it is set in over half the hashes of the text's word shingles.
+
+    The first of `count` fingerprints is made from the hashes themselves, each further one from the
+    hashes mixed anew.
+    """
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: letters A to Z and white space of ASCII only
     if not words:
-        return 0
+        return [0] * count
     line = b" ".join(words)
     ends = np.cumsum([len(x) + 1 for x in words]) - 1
     starts = np.append(0, ends[:-1] + 1)
-    count = max(1, len(words) - size + 1)
-    starts, ends = starts[:count].tolist(), ends[-count:].tolist()
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, count, _SHINGLES_AT_ONCE):
-        part = range(at, min(count, at + _SHINGLES_AT_ONCE))
+    shingles = max(1, len(words) - size + 1)
+    starts, ends = starts[:shingles].tolist(), ends[-shingles:].tolist()
+    set_bits = np.zeros((count, 64), np.int64)
+    for at in range(0, shingles, _SHINGLES_AT_ONCE):
+        part = range(at, min(shingles, at + _SHINGLES_AT_ONCE))
         hashes = np.fromiter(
             map(xxh64_intdigest, [line[starts[i] : ends[i]] for i in part], repeat(_SEED)), "<u8", len(part)
         )
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > count, bitorder="little").view("<u8")[0])
+        for k in range(count):
+            with np.errstate(over="ignore"):
+                own = flat.mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else hashes
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_bits[k] += bits.sum(axis=0, dtype=np.int64)
+    return [int(x.view("<u8")[0]) for x in np.packbits(set_bits * 2 > shingles, axis=1, bitorder="little")]
 
 
 def fingerprints(
     documents: DataFrame,
     size: int = SHINGLE_WORDS,
     text: str = "text",
-    column: str = "fingerprint",
+    columns: Sequence[str] = ("fingerprint",),
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add each text's 64-bit SimHash; a text without words, empty or null, has fingerprint 0."""
+    """Add a 64-bit SimHash of each text for each of `columns`, each from other hashes.
+
+    A text without words, empty or null, has fingerprint 0.
+    """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(text).cast(pa.binary()).fill_null(b"").to_pylist()
-        found = np.array([fingerprint(x, size) for x in texts], np.uint64)
-        return [pa.array(found.view(np.int64))]
+        found = np.array([fingerprint(x, size, len(columns)) for x in texts], np.uint64).reshape(-1, len(columns))
+        return [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(len(columns))]
 
-    return add_columns(documents, [StructField(column, LongType())], compute, text, keep)
+    return add_columns(documents, [StructField(c, LongType()) for c in columns], compute, text, keep)
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -76,7 +87,7 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _bucket_links(values: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(values: np.ndarray, ids: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what lies within `bits` bits in one bucket, at most one for each value."""
     root, pattern = np.arange(len(values)), values.view(np.uint64)
     last = np.append(np.flatnonzero(np.diff(bucket)), len(bucket) - 1)
@@ -95,111 +106,119 @@ def _bucket_links(values: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np
         lag += 1
         at = at[left[at] >= lag]
     linked = np.flatnonzero(root != np.arange(len(root)))
-    return values[linked], values[root[linked]]
+    return ids[linked], ids[root[linked]]
 
 
 def _links_in_buckets(values: DataFrame, bits: int, blocks: int, most: int | None) -> DataFrame:
     """Rows (a, b): links; with b null, values of buckets with over `most` of them."""
+    columns = [c for c in values.columns if c != "id"]
     masks = block_masks(bits, blocks)
-    keys: list[Column] = [
-        F.struct(F.lit(k).alias("k"), F.col("a").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)
-    ]
+    # One row for each column and mask; as a loop over an array, so that the code stays small.
+    literals = F.array(*[F.lit(_signed(m)) for m in masks])
+
+    def keys(n: int, column: str) -> Column:
+        return F.transform(
+            literals,
+            lambda m, k: F.struct(
+                (k + n * len(masks)).alias("k"), F.col(column).bitwiseAND(m).alias("key"), F.col(column).alias("value")
+            ),
+        )
+
+    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), other], names=["a", "b"])
+
+    def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole buckets; the large ones' values."""
+        if len(rows) < 2:
+            return
+        bucket = np.cumsum(np.append(False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        if most is not None:
+            large = np.bincount(bucket)[bucket] > most
+            if large.any():
+                yield out(rows[large, 3], None)
+                rows, bucket = rows[~large], bucket[~large]
+        if len(rows) > 1:
+            yield out(*_bucket_links(rows[:, 2].copy(), rows[:, 3], bucket, bits))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the bucket that may go on
+        held = np.empty((0, 4), np.int64)  # the bucket that may go on
         over = None  # the key of a bucket that has grown too large
-
-        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), other], names=["a", "b"])
-
-        def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                new = np.append(False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))
-                yield out(*_bucket_links(rows[:, 2].copy(), np.cumsum(new), bits))
-
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
             if over is not None:
                 same = (rows[:, :2] == over).all(axis=1)
                 if same.any():
-                    yield out(rows[same, 2], None)
-                if same.all():
+                    yield out(rows[same, 3], None)
+                    rows = rows[~same]
+                if not len(rows):
                     continue
-                rows, over = rows[~same], None
-            if held:
-                rows = np.concatenate([*held, rows])
-            tail = len(rows) - int((rows[:, :2] == rows[-1, :2]).all(axis=1)[::-1].cumprod().sum()) if len(rows) else 0
-            new = np.append(True, (rows[1:tail, :2] != rows[: tail - 1, :2]).any(axis=1)) if tail else np.empty(0, bool)
-            bucket = np.cumsum(new) - 1
-            if most is not None and tail:
-                large = np.bincount(bucket)[bucket] > most
-                if large.any():
-                    yield out(rows[:tail][large, 2], None)
-                yield from settle(rows[:tail][~large])
-            else:
-                yield from settle(rows[:tail])
-            held = [rows[tail:]]
-            if most is not None and len(held[0]) > most:
-                yield out(held[0][:, 2], None)
-                over, held = held[0][0, :2].copy(), []
-        if held:
-            yield from settle(held[0])
+                over = None
+            rows = np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            of_last = (rows[:, :2] == rows[-1, :2]).all(axis=1)
+            tail = len(rows) - int(of_last.sum())  # rows are sorted, so these are the last ones
+            yield from settle(rows[:tail])
+            held = rows[tail:]
+            if most is not None and len(held) > most:
+                yield out(held[:, 3], None)
+                over, held = held[0, :2].copy(), held[:0]
+        yield from settle(held)
 
     return (
-        values.select("a", F.explode(F.array(*keys)).alias("x"))
-        .select("x.k", "x.key", "a")
+        values.select("id", F.explode(F.concat(*map(keys, range(len(columns)), columns))).alias("x"))
+        .select("x.k", "x.key", "x.value", "id")
         .repartition("k", "key")
-        .sortWithinPartitions("k", "key", "a")
+        .sortWithinPartitions("k", "key", "value", "id")
         .mapInArrow(link, "a bigint, b bigint")
     )
 
 
 def near_values(values: DataFrame, bits: int = MOST_BITS, blocks: int = 5, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect all distinct 64-bit values `a` with a chain of steps of `bits` bits.
-
-    Each value goes to one bucket for every choice of `blocks - bits` blocks; two values at most
-    `bits` bits apart share one at least. With 5 blocks a bucket is named by 25 bits. A bucket of
-    more than `bucket` values is not compared: its values are dealt again by 16 blocks, where
-    52 bits name a bucket, so that it can't hold more than 4096 values. In a bucket every pair is
-    looked at by one task, but only links that join parts not joined yet are given out, less than
-    the bucket has values.
+    """Links (a, b) between ids, by which all rows reach each other that chains of near rows join.
+
+    `values` has `id` and 64-bit values in all other columns; rows are near if in one of these columns
+    they differ in at most `bits` bits. Each value goes to one bucket for every choice of `blocks` -
+    `bits` blocks; two values at most `bits` bits apart share one at least. With 5 blocks a bucket is
+    named by 25 bits. A bucket of more than `bucket` values is not compared: its values are dealt
+    again by 16 blocks, where 52 bits name a bucket, so that it can't hold more than 4096 different
+    ones. In a bucket every pair is looked at by one task, but only links that join parts not joined
+    yet are given out, less than the bucket has values.
     """
     first = cut_lineage(_links_in_buckets(values, bits, blocks, bucket))
-    again = first.filter("b is null").select("a").distinct()
+    again = first.filter("b is null").select(F.col("a").alias("id")).distinct()
     links = first.filter("b is not null")
     if not again.isEmpty():
-        links = links.unionByName(_links_in_buckets(again, bits, 16, None))
+        large = cut_lineage(values.join(again, "id", "left_semi"))
+        links = links.unionByName(_links_in_buckets(large, bits, 16, None))
     return links
 
 
 def near_groups(
-    fingerprinted: DataFrame, column: str = "fingerprint", bits: int = MOST_BITS, doc_id: str = "doc_id"
+    fingerprinted: DataFrame,
+    columns: Sequence[str] = ("fingerprint",),
+    bits: int = MOST_BITS,
+    doc_id: str = "doc_id",
 ) -> DataFrame:
     """Add `component_id`: the smallest id reachable over fingerprints at most `bits` bits apart.
 
-    Takes a few columns a row, not texts. Equal fingerprints are one value from the first shuffle
-    on, so a group of exact copies of any size is a single row; only at the end rows meet the value
-    of their fingerprint, heavy ones in slices. Rows without fingerprint or without id have a null
-    component. Repeated rows stay.
+    With several columns, two rows are linked if the fingerprints in any of them are. Takes a few
+    columns a row, not texts. Rows with equal fingerprints are one row, named by its smallest id, from
+    the first shuffle on, so a group of exact copies of any size is a single row; only at the end rows
+    meet their component, those of large groups in slices. Rows without fingerprint or without id
+    have a null component. Repeated rows stay; rows of one id are taken for one document.
     """
-    rows = cut_lineage(fingerprinted)
-    values = cut_lineage(
-        rows.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("a"))
-        .agg(F.min(doc_id).alias("first"), F.count("*").alias("n"))
-    )
-    found = cut_lineage(components(near_values(values.select("a"), bits)))
-    # The smallest id of each component, and that of each value in one.
-    firsts = values.join(found.withColumnRenamed("node", "a"), "a")
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
-    linked = join_groups(firsts.select("a", "root"), least, "root", "m", "a").select("a", "component_id")
-    named = values.join(linked, "a", "left").select(
-        F.col("a").alias(column), "n", F.coalesce("component_id", "first").alias("component_id")
+    rows = cut_lineage(fingerprinted.withColumn("__key", F.struct(*columns)))
+    whole = rows.filter(F.col(doc_id).isNotNull()).dropna(subset=list(columns))
+    values = cut_lineage(whole.groupBy("__key").agg(F.min(doc_id).alias("id"), F.count("*").alias("__n")))
+    found = cut_lineage(components(near_values(values.select("id", "__key.*"), bits)))
+    named = values.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select(
+        "__key", "__n", F.coalesce("root", "id").alias("component_id")
     )
-    joined = join_groups(rows.drop("component_id", "n"), named, column, "n", doc_id, how="left")
+    joined = join_groups(rows.drop("component_id"), named, "__key", "__n", doc_id, how="left")
     has_id = F.col(doc_id).isNotNull()
-    return joined.withColumn("component_id", F.when(has_id, F.col("component_id"))).drop("n")
+    return joined.withColumn("component_id", F.when(has_id, F.col("component_id"))).drop("__key", "__n")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

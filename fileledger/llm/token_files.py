@@ -10,7 +10,6 @@ the number of ids before each part.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +25,9 @@ from pyspark.sql.window import Window
 from fileledger.llm import flat
 from fileledger.llm.pieces import clean_texts
 from fileledger.llm.rows import table
+from fileledger.llm.shared_files import new_folder, open_folder, write_file
 from fileledger.llm.words import WordIds
-from fileledger.session import cut_lineage, shared_folder
+from fileledger.session import cut_lineage
 
 _NO_ID = -(2**63)
 
@@ -64,10 +64,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder)
-
-
 def write_token_files(
     documents: DataFrame,
     folder: str,
@@ -93,7 +89,7 @@ def write_token_files(
         for whole in batches:
             for batch in flat.row_groups(whole, "text"):
                 if out is None:
-                    system, path = _open(folder)
+                    system, path = open_folder(folder)
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(f"{path}/.{part}.bin.{attempt}")
                 ids, starts = encode(batch.column("text"))
@@ -107,11 +103,9 @@ def write_token_files(
         out.close()
         offsets = np.append(0, np.cumsum(np.concatenate(sizes))).astype("<u8")
         ids_of = np.concatenate(docs).astype("<i8")
-        for end, values in ((".idx", offsets), (".doc", ids_of)):
-            with system.open_output_stream(f"{path}/.{part}{end}.{attempt}") as file:
-                file.write(values.tobytes())
-        for end in (".bin", ".idx", ".doc"):
-            system.move(f"{path}/.{part}{end}.{attempt}", f"{path}/{part}{end}")
+        system.move(f"{path}/.{part}.bin.{attempt}", f"{path}/{part}.bin")
+        write_file(folder, f"{part}.idx", attempt, offsets.tobytes())
+        write_file(folder, f"{part}.doc", attempt, ids_of.tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids_of)], "n_ids": [int(offsets[-1])]})
 
     place = [F.col("doc_id"), F.xxhash64("text")]
@@ -147,7 +141,7 @@ def read_token_files(manifest: DataFrame, docs_a_batch: int = 4096) -> DataFrame
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                system, path = _open(row["folder"])
+                system, path = open_folder(row["folder"])
                 path = f"{path}/{row['part']}"
                 ids = _mapped(system, f"{path}.bin", f"<u{row['id_bits'] // 8}")
                 offsets = _mapped(system, f"{path}.idx", "<u8").astype(np.int64)
@@ -179,7 +173,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    folder = f"{shared_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-ids")
     manifest = write_token_files(
         table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1, id_bits=16
     )
