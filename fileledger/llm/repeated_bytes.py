@@ -13,13 +13,11 @@ third look joins what is to go, as bits of segments, to the texts.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
@@ -27,9 +25,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField
 from fileledger.llm import flat
 from fileledger.llm.rows import add_columns, table
 from fileledger.llm.run_index import RunIndex
-from fileledger.llm.sketch import maybe_repeated, repeated_cells
+from fileledger.llm.shared_files import new_folder
+from fileledger.llm.sketch import Sketch, maybe_repeated, repeated_cells
 from fileledger.operators.heavy_keys import join_groups
-from fileledger.session import shared_folder
 
 LENGTH = 50
 _KEY_LENGTH = 24
@@ -143,7 +141,7 @@ def _all_strings(size: np.ndarray) -> np.ndarray:
 _SENT = "bucket bigint, one binary, two binary, docs binary, sizes binary, texts binary, doc_id bigint, segment bigint, strings int"
 
 
-def _marks(documents: DataFrame, sketch: Broadcast, parts: int, bucket_bytes: int) -> DataFrame:
+def _marks(documents: DataFrame, sketch: Sketch, parts: int, bucket_bytes: int) -> DataFrame:
     """Rows (doc_id, segment, strings): which strings of which segments a document is to lose."""
     buckets = parts * _BUCKETS_A_PART
 
@@ -190,7 +188,7 @@ def _marks(documents: DataFrame, sketch: Broadcast, parts: int, bucket_bytes: in
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for found, row in _of_batch(batch):
-                at = maybe_repeated(found.key, sketch.value)
+                at = maybe_repeated(found.key, sketch)
                 if len(at):
                     size = found.end[at] - found.start[at]
                     text = found.data[flat.ragged(found.start[at], size)]
@@ -240,7 +238,7 @@ def _marks(documents: DataFrame, sketch: Broadcast, parts: int, bucket_bytes: in
         documents.mapInArrow(send, _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _OUT)
     )
     # Written down, as strings of large buckets are looked at apart.
-    folder = f"{shared_folder(documents.sparkSession).rstrip('/')}/segments-{uuid.uuid4().hex}"
+    folder = new_folder(documents.sparkSession, "segments")
     found.write.parquet(folder)
     found = documents.sparkSession.read.schema(_OUT).parquet(folder)
     singly = found.filter("one is not null").withColumn("string", F.struct("one", "two"))
@@ -361,11 +359,11 @@ def without_repeats(
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST_ID))
     source = documents.select(key.alias("doc_id"), F.col(text).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cells = repeated_cells(
+    sketch = repeated_cells(
         source, lambda batch: (x.key for x, _ in _of_batch(batch)), n_bytes // (_SPAN // 2)
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = _marks(source, spark.sparkContext.broadcast(cells), parts, bucket_bytes)
+    marks = _marks(source, sketch, parts, bucket_bytes)
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("segment", "strings")).alias("__marks"))
     joined = documents.withColumn("__id", key).join(marks, "__id", "left")
 

@@ -14,14 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from fileledger.llm import flat
 from fileledger.llm.rows import add_columns, table
-from fileledger.llm.sketch import MOST_BITS, ROWS, maybe_repeated, repeated_cells
+from fileledger.llm.sketch import MOST_BITS, ROWS, Sketch, maybe_repeated, repeated_cells
 
 WINDOW = 13
 #: Windows a task keeps before it sends them on.
@@ -51,7 +50,7 @@ def _window_hashes(data, starts, ends, first, size):
     return flat.window_hashes(words, size, 7)[at], flat.window_hashes(words, size, 11)[at], at
 
 
-def _first_documents(documents: DataFrame, size: int, sketch: Broadcast, parts: int) -> DataFrame:
+def _first_documents(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataFrame:
     """Rows (doc, hashes): windows that an earlier document holds too; a document may have several rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +88,7 @@ def _first_documents(documents: DataFrame, size: int, sketch: Broadcast, parts:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for one, two, row in windows(batch, size):
-                at = maybe_repeated(one, sketch.value)
+                at = maybe_repeated(one, sketch)
                 if len(at):
                     held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), ids[row[at]]))
                     waiting += len(at)
@@ -177,10 +176,9 @@ def without_repeats(
     )
     # About as many windows as words, and a word to six bytes.
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    seen = repeated_cells(
+    sketch = repeated_cells(
         source, lambda batch: (one for one, _, _ in windows(batch, size)), n_bytes // 6, rows, most_bits
     )
-    sketch = spark.sparkContext.broadcast(seen)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = _first_documents(source, size, sketch, parts)
     marks = marks.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("hashes").alias("_hashes"))

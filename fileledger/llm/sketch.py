@@ -2,18 +2,23 @@
 
 Each task sends, for every row of counters, which counters its hashes touch once and which more
 often; a merge per slice of counters adds them up. Such counts are never too low, so a hash with a
-counter below two occurs once. Two is all that is asked, so counters stop there.
+counter below two occurs once. Two is all that is asked, so counters stop there. The merged sketch
+lies in the shared folder, from where tasks read it; it does not go through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fileledger.llm import flat
+from fileledger.llm.shared_files import new_folder, read_file, write_file
 
 ROWS = 2
 #: Most counters in a row: 2^29, of which a bit each is kept, 64 MB a row. With more hashes than
@@ -41,14 +46,23 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return np.cumsum(steps.view("<u8")[:, 0]).astype(np.int64)
 
 
+class Sketch(NamedTuple):
+    """Where a merged sketch lies: a file per slice that has counters of two or more."""
+
+    folder: str
+    rows: int
+    bits: int
+    slices: tuple[int, ...]
+
+
 def repeated_cells(
     documents: DataFrame,
     hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
     expected: int,
     rows: int = ROWS,
     most_bits: int = MOST_BITS,
-) -> np.ndarray:
-    """For each row of counters, a bit for each that has two or more, as bytes.
+) -> Sketch:
+    """For each row of counters, a bit for each that has two or more.
 
     A row has at least four counters per expected hash, and not over 2^`most_bits`.
     """
@@ -92,26 +106,27 @@ def repeated_cells(
         if held:
             yield send()
 
+    folder = new_folder(documents.sparkSession, "sketch")
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, more = None, None, None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([np.packbits(more, bitorder="little").tobytes()], pa.binary())],
-                names=["slice", "bits"],
-            )
+            bits_of = np.packbits(more, bitorder="little").tobytes()
+            write_file(folder, f"{now:08d}", TaskContext.get().taskAttemptId(), bits_of)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["slice"])
 
         for batch in batches:
             for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if k != now:
-                    if now is not None:
+                    if now is not None and more.any():
                         yield out()
                     now, once, more = k, np.zeros(1 << slice_bits, bool), np.zeros(1 << slice_bits, bool)
                 touched = _unpacked(a, 3)
                 more[touched[once[touched]]] = True
                 once[touched] = True
                 more[_unpacked(b, 3)] = True
-        if now is not None:
+        if now is not None and more.any():
             yield out()
 
     slices = rows << (bits - slice_bits)
@@ -119,19 +134,24 @@ def repeated_cells(
         documents.mapInArrow(count, "slice int, once binary, more binary")
         .repartition(min(slices, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "slice")
         .sortWithinPartitions("slice")
-        .mapInArrow(merge, "slice int, bits binary")
+        .mapInArrow(merge, "slice int")
     )
-    sketch = np.zeros((slices, (1 << slice_bits) // 8), np.uint8)
-    for row in merged.collect():  # 2^(most_bits - 3) bytes a row of counters at most
-        sketch[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return sketch.reshape(rows, -1)
+    return Sketch(folder, rows, bits, tuple(sorted(row["slice"] for row in merged.collect())))
+
+
+@lru_cache(maxsize=1)
+def _loaded(sketch: Sketch) -> np.ndarray:
+    slice_bytes = (1 << min(sketch.bits, _SLICE_BITS)) // 8
+    out = np.zeros((sketch.rows << sketch.bits) // 8, np.uint8)
+    for k in sketch.slices:
+        out[k * slice_bytes : (k + 1) * slice_bytes] = np.frombuffer(read_file(sketch.folder, f"{k:08d}"), np.uint8)
+    return out.reshape(sketch.rows, -1)
 
 
-def maybe_repeated(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def maybe_repeated(hashes: np.ndarray, sketch: Sketch) -> np.ndarray:
     """Places of the hashes all whose counters have two or more."""
-    bits = int(sketch.shape[1] * 8).bit_length() - 1
-    at = np.arange(len(hashes))
-    for row in range(len(sketch)):
-        cells = _cells(hashes[at], row, bits)
-        at = at[(sketch[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1]
+    cells_of_rows, at = _loaded(sketch), np.arange(len(hashes))
+    for row in range(sketch.rows):
+        cells = _cells(hashes[at], row, sketch.bits)
+        at = at[(cells_of_rows[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1]
     return at
