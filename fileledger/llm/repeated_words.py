@@ -50,105 +50,102 @@ def _window_hashes(data, starts, ends, first, size):
     return flat.window_hashes(words, size, 7)[at], flat.window_hashes(words, size, 11)[at], at
 
 
-def _first_documents(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataFrame:
-    """Rows (doc, hashes): windows that an earlier document holds too; a document may have several rows."""
+_SENT = "part bigint, one binary, two binary, docs binary"
+_FOUND = "doc_id bigint, hash bigint, hashes binary"
+
+
+def _distinct(one: np.ndarray, two: np.ndarray, doc: np.ndarray):
+    """Entries in the order of window and document, where each window begins, and which entries are
+    not of its smallest document."""
+    order = np.lexsort((doc, two, one))
+    one, two, doc = one[order], two[order], doc[order]
+    heads = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    later = doc > np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
+    return one, two, doc, heads, later
+
+
+def _held_windows(
+    batches: Iterator[pa.RecordBatch], size: int, sketch: Sketch
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows that may be repeated, some millions at a time, as `_distinct` gives them."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for one, two, row in windows(batch, size):
+            at = maybe_repeated(one, sketch)
+            if len(at):
+                held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), ids[row[at]]))
+                waiting += len(at)
+            if waiting > _HELD:
+                yield _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, waiting = [], 0
+    if held:
+        yield _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _marks(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataFrame:
+    """Windows that an earlier document holds too: rows (doc_id, hash, hashes), with one or several."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is not of a task's smallest document of a window: a row for each document."""
+        for one, _, doc, _, later in _held_windows(batches, size, sketch):
+            if later.any():
+                order = np.lexsort((one[later], doc[later]))
+                doc, one = doc[later][order], one[later][order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (one[1:] != one[:-1]))
+                doc, one = doc[new], one[new]
+                cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+                lists = [one[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield _found(doc[cuts[:-1]], None, lists)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            one, two, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((doc, two, one))
-            one, two, doc = one[order], two[order], doc[order]
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-            heads = np.flatnonzero(new)
-            least = doc[heads]
-            later = doc > np.repeat(least, np.diff(np.append(heads, len(doc))))
-            # What is not of the task's smallest document of a window is known to go.
-            yield _marks(doc[later], one[later], lambda ids: -1 - flat.mix(ids.astype(np.uint64)).astype(np.int64) % parts)
-            one, two = one[heads], two[heads]
+        for one, two, doc, heads, _ in _held_windows(batches, size, sketch):
+            one, two, doc = one[heads], two[heads], doc[heads]
             part = ((one >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cuts))
             pieces = [slice(cuts[k], cuts[k + 1]) for k in full]
+            # Small numbers have zeros in their upper bytes, so these go together.
+            docs = [doc[x].view(np.uint8).reshape(-1, 8).T.tobytes() for x in pieces]
+            lists = [[one[x].tobytes() for x in pieces], [two[x].tobytes() for x in pieces], docs]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full, pa.int64()),
-                    pa.nulls(len(full), pa.int64()),
-                    pa.array([one[x].tobytes() for x in pieces], pa.binary()),
-                    pa.array([two[x].tobytes() for x in pieces], pa.binary()),
-                    # Small numbers have zeros in their upper bytes, so these go together.
-                    pa.array([least[x].view(np.uint8).reshape(-1, 8).T.tobytes() for x in pieces], pa.binary()),
-                ],
-                names=["part", "doc", "one", "two", "docs"],
+                [pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in lists)],
+                names=[x.split()[0] for x in _SENT.split(", ")],
             )
 
-        waiting = 0
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for one, two, row in windows(batch, size):
-                at = maybe_repeated(one, sketch)
-                if len(at):
-                    held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), ids[row[at]]))
-                    waiting += len(at)
-                if waiting > _HELD:
-                    yield from out()
-                    waiting = 0
-        if held:
-            yield from out()
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            one, two, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, two, one))
-            one, two, doc = one[order], two[order], doc[order]
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-            heads = np.flatnonzero(new)
-            later = doc > np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
-            return _marks(doc[later], one[later], None)
+            one, _, doc, _, later = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            later[1:] &= (one[1:] != one[:-1]) | (doc[1:] != doc[:-1])
+            return _found(doc[later], one[later].view(np.int64), None)
 
         for batch in batches:
-            for part, doc, one, two, docs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for part, one, two, docs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != now and held:
                     yield out()
                     held = []
                 now = part
-                if part < 0:  # known before
-                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([one], pa.binary())], names=["doc", "hashes"])
-                else:
-                    ids = np.ascontiguousarray(np.frombuffer(docs, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
-                    held.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint32), ids))
+                ids = np.ascontiguousarray(np.frombuffer(docs, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+                held.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint32), ids))
         if held:
             yield out()
 
-    return (
-        documents.mapInArrow(send, "part bigint, doc bigint, one binary, two binary, docs binary")
-        .repartition(parts, "part")
-        .sortWithinPartitions("part")
-        .mapInArrow(meet, "doc bigint, hashes binary")
-    )
+    met = documents.mapInArrow(send, _SENT).repartition(parts, "part").sortWithinPartitions("part")
+    return documents.mapInArrow(known, _FOUND).unionByName(met.mapInArrow(meet, _FOUND))
 
 
-def _marks(doc: np.ndarray, hashes: np.ndarray, part) -> pa.RecordBatch:
-    """One row per document with its hashes; with `part`, in the layout of what is sent to meet."""
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    keep = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])) if len(doc) else np.empty(0, bool)
-    doc, hashes = doc[keep], hashes[keep]
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-    cuts = np.append(heads, len(doc))
-    lists = pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-    ids = doc[heads]
-    if part is None:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc", "hashes"])
-    none = pa.nulls(len(ids), pa.binary())
+def _found(doc: np.ndarray, hashes: np.ndarray | None, lists: list[bytes] | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(part(ids), pa.int64()), pa.array(ids, pa.int64()), lists, none, none],
-        names=["part", "doc", "one", "two", "docs"],
+        [
+            pa.array(doc, pa.int64()),
+            pa.nulls(len(doc), pa.int64()) if hashes is None else pa.array(hashes, pa.int64()),
+            pa.nulls(len(doc), pa.binary()) if lists is None else pa.array(lists, pa.binary()),
+        ],
+        names=["doc_id", "hash", "hashes"],
     )
 
 
@@ -180,27 +177,30 @@ def without_repeats(
         source, lambda batch: (one for one, _, _ in windows(batch, size)), n_bytes // 6, rows, most_bits
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = _first_documents(source, size, sketch, parts)
-    marks = marks.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("hashes").alias("_hashes"))
+    marks = _marks(source, size, sketch, parts)
+    marks = marks.groupBy("doc_id").agg(F.collect_list("hash").alias("_some"), F.collect_list("hashes").alias("_more"))
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         counts, removed, kept = [], [], []
         texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-        for raw, lists in zip(texts, batch.column("_hashes").to_pylist(), strict=True):
+        some, more = batch.column("_some"), batch.column("_more")
+        for k, raw in enumerate(texts):
             words = raw.split()
             counts.append(len(words))
-            if lists:
+            if some[k].is_valid:  # both lists are there
+                known = np.frombuffer(b"".join(more[k].as_py()), np.uint64)
+                known = np.concatenate([some[k].values.to_numpy().view(np.uint64), known])
                 data = np.frombuffer(raw, np.uint8)
                 starts, ends, first = flat.spans(data, np.array([0, len(data)]), flat.WORD_BYTES)
                 one, _, _ = _window_hashes(data, starts, ends, first, size)
-                go = flat.covered(np.isin(one, np.frombuffer(b"".join(lists), np.uint64)), size)
+                go = flat.covered(np.isin(one, known), size)
                 words = [words[i] for i in np.flatnonzero(~go)]
             removed.append(counts[-1] - len(words))
             kept.append(b" ".join(words))
         return [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
 
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", BinaryType())]
-    found = add_columns(source.join(marks, "doc_id", "left"), fields, cut, keep=["doc_id"], uses=["_hashes"])
+    found = add_columns(source.join(marks, "doc_id", "left"), fields, cut, keep=["doc_id"], uses=["_some", "_more"])
     return found.withColumns(
         {"doc_id": F.nullif("doc_id", F.lit(_LAST_ID)), "kept": F.col("kept").cast("string")}
     )
