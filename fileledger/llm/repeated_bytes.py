@@ -33,12 +33,14 @@ LENGTH = 50
 _KEY_LENGTH = 24
 #: Windows of consecutive strings that one place can be the smallest of.
 _SPAN = LENGTH - _KEY_LENGTH + 1
-_BLOCK = 4 << 20
+#: Bytes of text looked at at once; arrays of 64-bit numbers as long take some memory.
+_BLOCK = (1 << 20) - 64
 #: Bytes of segments a task keeps before it sends them on.
 _HELD = 24 << 20
 #: A bucket with more bytes of segments is not indexed; its strings are dealt singly.
-BUCKET_BYTES = 6 << 20
-_BUCKETS_A_PART = 8
+BUCKET_BYTES = 3 << 20
+#: Bytes of input for each bucket; segments that may be repeated are fewer.
+_INPUT_A_BUCKET = 1 << 19
 _LAST_ID = 2**63 - 1
 
 _MARKS = "doc_id bigint, segment bigint, strings int"
@@ -109,7 +111,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Segments:
 def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[Segments, int]]:
     """Segments of a batch's texts, and the number of the row that their first text has."""
     row = 0
-    for group in flat.row_groups(batch):
+    for group in flat.row_groups(batch, most=_BLOCK):
         for data, offsets, _, _ in blocks(*flat.flat(group.column("text"))):
             yield segments(data, offsets), row
         row += group.num_rows
@@ -141,9 +143,8 @@ def _all_strings(size: np.ndarray) -> np.ndarray:
 _SENT = "bucket bigint, one binary, two binary, docs binary, sizes binary, texts binary, doc_id bigint, segment bigint, strings int"
 
 
-def _marks(documents: DataFrame, sketch: Sketch, parts: int, bucket_bytes: int) -> DataFrame:
+def _marks(documents: DataFrame, sketch: Sketch, parts: int, buckets: int, bucket_bytes: int) -> DataFrame:
     """Rows (doc_id, segment, strings): which strings of which segments a document is to lose."""
-    buckets = parts * _BUCKETS_A_PART
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -363,7 +364,7 @@ def without_repeats(
         source, lambda batch: (x.key for x, _ in _of_batch(batch)), n_bytes // (_SPAN // 2)
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = _marks(source, sketch, parts, bucket_bytes)
+    marks = _marks(source, sketch, parts, max(parts, n_bytes // _INPUT_A_BUCKET), bucket_bytes)
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("segment", "strings")).alias("__marks"))
     joined = documents.withColumn("__id", key).join(marks, "__id", "left")
 
