@@ -1,7 +1,8 @@
 """A file inventory, work ledger and listings seen in the given tables.
 
 Each row of `documents` stands for one file: its text is the content, and name, times and
-attributes follow from the id by fixed rules. Which files are already known, still on disk, or back
+attributes follow from the id by fixed rules. Empty files are further rows, one for every fiftieth
+document, with ids from a billion on. Which files are already known, still on disk, or back
 at their old place follows from `labels`.
 """
 
@@ -28,6 +29,8 @@ SUFFIXES = (
 STATES = ("pending", "queued", "running", "done", "error", "retry")
 
 _FIRST_CREATED = 1577836800  # 2020-01-01
+#: Ids of empty files begin here, beyond those of documents.
+FIRST_EMPTY = 1_000_000_000
 
 
 # Given outright, so that building a query starts no job to read file footers.
@@ -52,13 +55,15 @@ def _pick(values: tuple[str, ...], place: Column) -> Column:
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, source, lang, content); every fiftieth file is empty."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("file_id"),
-        "source",
-        "lang",
-        F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise(F.col("text")).alias("content"),
+    """(file_id, source, lang, content): every document, and the empty files."""
+    documents = table(spark, sf_dir, "documents")
+    empty = documents.filter(F.col("doc_id") % 50 == 0).select(
+        (F.col("doc_id") + FIRST_EMPTY).alias("file_id"), "source", "lang", F.lit("").alias("content")
+    )
+    files = documents.select(
+        F.col("doc_id").alias("file_id"), "source", "lang", F.col("text").alias("content")
     )
+    return files.unionByName(empty)
 
 
 def listing_with_content(
@@ -69,12 +74,17 @@ def listing_with_content(
     number = d.cast("string")
     ext = _pick(SUFFIXES, d % len(SUFFIXES))
     if shared_names:
-        path = F.concat(F.lit("/"), "source", F.lit("/"), number, F.lit("/"), "lang", ext)
+        # Many files of one name, and every fifth called like another with that one's id added.
+        other = F.concat(_pick(SUFFIXES, (d + 1) % len(SUFFIXES)), F.lit("_"), (d + 1).cast("string"))
+        tail = F.when(d % 5 == 0, other).otherwise(ext)
+        path = F.concat(F.lit("/"), "source", F.lit("/"), number, F.lit("/"), "lang", tail)
     else:
         path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), number, ext)
     day = F.lit(86400)
-    created = F.lit(_FIRST_CREATED) + d * 7919 % 2000 * day + d * 31 % 86400
-    modified = created + d % 300 * day
+    # Quarters of seconds; for some files nobody knows when they were created.
+    started = F.lit(_FIRST_CREATED) + d * 7919 % 2000 * day + d * 31 % 86400 + d % 4 / 4
+    created = F.when(d % 37 != 0, started)
+    modified = started + d % 300 * day
     accessed = F.when(d % 29 != 0, modified + d * 13 % 400 * day)
     return contents(spark, sf_dir).select(
         "file_id",
@@ -95,7 +105,18 @@ def listing_with_content(
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing_with_content(spark, sf_dir).drop("file_id", "source", "lang", "content")
+    """The files, and what else a walk meets: a folder, a link or a failure for every tenth."""
+    listed = listing_with_content(spark, sf_dir)
+    kind = F.col("file_id") % 30
+    others = listed.filter(F.col("file_id") % 10 == 0).withColumns(
+        {
+            "path": F.concat("path", F.lit("+")),
+            "is_file": kind != 0,
+            "is_symlink": kind == 10,
+            "error": F.when(kind == 20, F.lit("Permission denied")),
+        }
+    )
+    return listed.unionByName(others).drop("file_id", "source", "lang", "content")
 
 
 def metadata_document() -> Column:

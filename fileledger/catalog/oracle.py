@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fileledger.functions.names import mime_pairs
-
 # Fixed values, as in `inputs`.
 _SUFFIXES = (
     "['.txt', '.csv', '.json', '.log', '.tmp', '.bak', '.old', '.temp', "
@@ -15,26 +13,34 @@ _STATES = "['pending', 'queued', 'running', 'done', 'error', 'retry']"
 def _files(shared_names: bool = False) -> str:
     number = "CAST(doc_id AS VARCHAR)"
     if shared_names:
-        path = f"'/' || source || '/' || {number} || '/' || lang || raw_ext"
-        name = "lang || raw_ext"
+        name = f"""lang || CASE WHEN doc_id % 5 = 0
+           THEN {_SUFFIXES}[(doc_id + 1) % 16 + 1] || '_' || CAST(doc_id + 1 AS VARCHAR)
+           ELSE raw_ext END"""
+        path = f"'/' || source || '/' || {number} || '/' || {name}"
     else:
         path = f"'/' || source || '/' || lang || '/' || {number} || raw_ext"
         name = f"{number} || raw_ext"
     return f"""
 raw AS (
-  SELECT *, CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END AS content,
-         {_SUFFIXES}[doc_id % 16 + 1] AS raw_ext
-  FROM documents
+  SELECT *, {_SUFFIXES}[doc_id % 16 + 1] AS raw_ext
+  FROM (
+    SELECT doc_id, source, lang, text AS content FROM documents
+    UNION ALL
+    SELECT doc_id + 1000000000, source, lang, '' FROM documents WHERE doc_id % 50 = 0
+  )
 ),
 named AS (
   SELECT doc_id AS file_id, source, lang, content, {path} AS path, {name} AS name,
          CAST(octet_length(encode(content)) AS BIGINT) AS size, sha256(content) AS sha256,
          TIMESTAMP '2020-01-01' + to_days(CAST(doc_id * 7919 % 2000 AS INTEGER))
-           + to_seconds(doc_id * 31 % 86400) AS created
+           + to_seconds(doc_id * 31 % 86400)
+           + to_microseconds(CAST(doc_id % 4 * 250000 AS BIGINT)) AS started
   FROM raw
 ),
 dated AS (
-  SELECT *, created + to_days(CAST(file_id % 300 AS INTEGER)) AS modified FROM named
+  SELECT *, CASE WHEN file_id % 37 <> 0 THEN started END AS created,
+         started + to_days(CAST(file_id % 300 AS INTEGER)) AS modified
+  FROM named
 ),
 files AS (
   SELECT *, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS ext,
@@ -59,9 +65,7 @@ ledger AS (
   FROM documents, (VALUES (0), (1)) AS kinds(k)
 ),
 tiers AS (
-  SELECT doc_id AS file_id,
-         octet_length(encode(CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END))
-           * (1 + doc_id % 5 * 500) AS size
+  SELECT doc_id AS file_id, octet_length(encode(text)) * (1 + doc_id % 5 * 500) AS size
   FROM documents
 )"""
 
@@ -105,7 +109,11 @@ _GATE = """CASE
   WHEN ext NOT IN ('.pdf', '.docx', '.xlsx', '.pptx', '.txt', '.jpg', '.png', '.mp3', '.mp4')
     THEN 'extension ' || ext || ' not in analysis list' END"""
 
-_MIMES = ", ".join(f"('{ext}', '{mime}')" for ext, mime in mime_pairs().items())
+# Media types of the suffixes handed out; the others have none.
+_MIMES = (
+    "('.txt', 'text/plain'), ('.csv', 'text/csv'), ('.json', 'application/json'), "
+    "('.pdf', 'application/pdf'), ('.jpeg', 'image/jpeg'), ('.md', 'text/markdown')"
+)
 
 
 def _plan(shared_names: bool = False) -> str:
@@ -127,9 +135,9 @@ judged AS (
 ),
 plan AS (
   SELECT file_id, path,
-         CASE WHEN reason IS NULL THEN '/quarantine/20260101_000000/' || name
-           || CASE WHEN count(*) OVER (PARTITION BY reason, name) > 1
-                   THEN '_' || CAST(file_id AS VARCHAR) ELSE '' END END AS destination,
+         CASE WHEN reason IS NULL AND count(*) OVER (PARTITION BY reason, name) > 1
+              THEN '/quarantine/20260101_000000_same/' || CAST(file_id AS VARCHAR) || '/' || name
+              WHEN reason IS NULL THEN '/quarantine/20260101_000000/' || name END AS destination,
          CASE WHEN reason IS NULL THEN 'moved' ELSE 'skipped' END AS action,
          reason
   FROM judged
@@ -191,16 +199,29 @@ FROM gated""",
 SELECT sha256, file_id, path, name, size, created, modified, place = 1 AS is_keeper
 FROM ranked JOIN groups USING (sha256)
 ORDER BY total_size DESC, sha256, created NULLS FIRST, file_id""",
+    "merged_results": f"""WITH {_files()} SELECT file_id, path, sha256, metadata FROM files""",
+    "next_work_batch_large": f"""WITH {_LEDGER},
+queued AS (
+  SELECT work_id, l.file_id, CASE WHEN work_id % 7 = 0 THEN NULL ELSE kind END AS kind,
+         CASE WHEN size IS NOT NULL THEN {_TIER} ELSE priority END AS priority
+  FROM ledger l LEFT JOIN tiers USING (file_id)
+  WHERE status IN ('pending', 'queued') OR (status = 'retry' AND attempts < max_attempts)
+)
+SELECT * FROM queued
+QUALIFY row_number() OVER (PARTITION BY kind ORDER BY priority DESC, work_id) <= 2000""",
     "duplicate_report": f"""WITH {_files()}, {_copies()},
 paged AS (
   SELECT *, (place - 1) // 16 AS page FROM ranked JOIN groups USING (sha256)
 )
-SELECT sha256, CAST(page AS BIGINT) AS page, "count", total_size,
-       total_size - keeper_size AS wasted_size, keeper_id,
-       string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY created NULLS FIRST, file_id) AS files,
-       'Keep oldest: ' || keeper_path AS suggestion
-FROM paged GROUP BY sha256, page, "count", total_size, keeper_size, keeper_id, keeper_path
-ORDER BY total_size DESC, sha256, page""",
+SELECT sha256, CAST(page AS BIGINT) AS page,
+       CASE WHEN page = 0 THEN "count" END AS "count",
+       CASE WHEN page = 0 THEN total_size END AS total_size,
+       CASE WHEN page = 0 THEN total_size - keeper_size END AS wasted_size, keeper_id,
+       string_agg(CAST(file_id AS VARCHAR) || '|' || path || '|' || name || '|' || size || '|'
+         || coalesce(CAST(epoch_us(created) AS VARCHAR), '') || '|' || epoch_us(modified), ','
+         ORDER BY created NULLS FIRST, file_id) AS files,
+       CASE WHEN page = 0 THEN 'Keep oldest: ' || keeper_path END AS suggestion
+FROM paged GROUP BY sha256, page, "count", total_size, keeper_size, keeper_id, keeper_path""",
     "duplicate_numbers": f"""WITH {_files()}, {_copies()}
 SELECT sha256, place AS number, file_id, path FROM ranked JOIN groups USING (sha256)""",
     "report_items_of_duplicates": f"""WITH {_files()}, {_copies()}, {_REMOVABLE}
@@ -227,7 +248,10 @@ SELECT file_id, path, name, ext, modified FROM files WHERE size = 0 ORDER BY pat
     "metadata_search": _SEARCH.format(files=_files(), keyword="src1"),
     "metadata_search_wildcard": _SEARCH.format(files=_files(), keyword="_ation%,"),
     "file_suffix": f"WITH {_files()} SELECT file_id, name, ext FROM files",
-    "iso_times": """SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0
+    "iso_times": """WITH events AS (
+  SELECT event_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE ts END AS ts
+  FROM events)
+SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0
     THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS "at"
 FROM events""",
     "url_suffix": """WITH named AS (
@@ -261,21 +285,30 @@ FROM files LEFT JOIN mimes ON mime_ext = ext""",
   SELECT path FROM files WHERE file_id IN (SELECT doc_id FROM labels))
 SELECT path, name, ext, size FROM files
 WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.path = files.path)""",
+    "rejected_files": f"""WITH {_files()}
+SELECT path || '+' AS path, CASE file_id % 30 WHEN 0 THEN 'not a regular file'
+       WHEN 10 THEN 'symbolic link' ELSE 'Permission denied' END AS reason
+FROM files WHERE file_id % 10 = 0""",
+    "append_twice": f"""WITH {_files()}, known AS (
+  SELECT path FROM files WHERE file_id IN (SELECT doc_id FROM labels)),
+added AS (SELECT * FROM files WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.path = files.path))
+SELECT path, 1 AS times FROM added""",
     "scan_totals": f"""WITH {_files()}
 SELECT count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM files""",
     "refresh_inventory": f"""WITH {_files()}
 SELECT file_id, path, size FROM files
 WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-    "work_fan_out": """SELECT doc_id * 2 + k AS work_id, doc_id AS file_id,
+    "work_fan_out": f"""WITH {_files()}
+SELECT file_id * 2 + k AS work_id, file_id,
        CASE k WHEN 0 THEN 'hash' ELSE 'analyze' END AS kind, 'pending' AS status, 0 AS priority,
        0 AS attempts, 3 AS max_attempts, TIMESTAMP '2026-01-01' AS created_at
-FROM documents, (VALUES (0), (1)) AS kinds(k)
-WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
-    "missing_work": f"""WITH {_LEDGER}
-SELECT doc_id * 2 + k AS work_id, doc_id AS file_id,
+FROM files, (VALUES (0), (1)) AS kinds(k)
+WHERE file_id NOT IN (SELECT doc_id FROM labels)""",
+    "missing_work": f"""WITH {_files()}, {_LEDGER}
+SELECT f.file_id * 2 + k AS work_id, f.file_id,
        CASE k WHEN 0 THEN 'hash' ELSE 'analyze' END AS kind, 'pending' AS status
-FROM documents, (VALUES (0), (1)) AS kinds(k)
-WHERE doc_id NOT IN (SELECT file_id FROM ledger)""",
+FROM files f, (VALUES (0), (1)) AS kinds(k)
+WHERE f.file_id NOT IN (SELECT file_id FROM ledger)""",
     "size_tier_priority": f"""WITH {_LEDGER}
 SELECT work_id, l.file_id, kind, status,
        CASE WHEN status = 'queued' AND size IS NOT NULL THEN {_TIER} ELSE priority END AS priority,
@@ -323,6 +356,8 @@ FROM ledger GROUP BY kind""",
 SELECT work_id, file_id, kind FROM ledger WHERE file_id IN (SELECT doc_id FROM documents)""",
     "quarantine_plan": f"WITH {_plan()} SELECT * FROM plan",
     "quarantine_plan_shared_names": f"WITH {_plan(shared_names=True)} SELECT * FROM plan",
+    "quarantine_collisions": f"""WITH {_plan(shared_names=True)}
+SELECT count(*) AS moved, count(DISTINCT destination) AS places FROM plan WHERE action = 'moved'""",
     "quarantine_totals": f"WITH {_plan()} SELECT action, count(*) AS files FROM plan GROUP BY action",
     "quarantine_list": f"""WITH {_plan()}
 SELECT path AS original_path, destination AS quarantine_path,

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from fileledger.catalog import inputs
 from fileledger.functions import attrs, names, sizes, text, times
 from fileledger.operators import duplicates, enrich, ledger, reports, scan
+from fileledger.operators.ordering import number_rows
 from fileledger.plans import clean, quarantine
+from fileledger.session import cut_lineage
 from fileledger.sources.reports import report_items
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 LARGE_BYTES = 8192
 GATE_CAP = 16384
 WORK_BATCH = 100
+LARGE_BATCH = 2000
 #: Small enough that the largest groups of the test data go on to a second row.
 REPORT_PAGE = 16
 AS_OF = inputs.AS_OF
@@ -33,6 +36,16 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("file_id", "path", "sha256")
 
 
+def merged_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes and metadata of two jobs, each in rows of its own, folded back into the inventory."""
+    files = inputs.inventory(spark, sf).select("file_id", "path", "sha256", "metadata")
+    none = F.lit(None).cast("string")
+    hashes = files.select("file_id", "sha256", none.alias("metadata"))
+    documents = files.select("file_id", none.alias("sha256"), "metadata")
+    unread = files.select("file_id", "path", none.alias("sha256"), none.alias("metadata"))
+    return enrich.merge_results(unread, hashes.unionByName(documents), "sha256", "metadata")
+
+
 def text_stats(spark: SparkSession, sf: str) -> DataFrame:
     documents = inputs.table(spark, sf, "documents")
     return documents.select("doc_id", text.text_stats(F.col("text")).alias("s")).select(
@@ -41,8 +54,11 @@ def text_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_stats_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """With the line ends of other systems on two pages of three: they count as one character."""
     pages = inputs.table(spark, sf, "pages")
-    return pages.select("page_id", text.text_stats(F.col("html")).alias("s")).select(
+    ends = F.when(F.col("page_id") % 3 == 0, "\n").when(F.col("page_id") % 3 == 1, "\r\n").otherwise("\r")
+    html = F.replace(F.col("html"), F.lit("\n"), ends)
+    return pages.select("page_id", text.text_stats(html).alias("s")).select(
         "page_id", "s.*"
     )
 
@@ -85,8 +101,19 @@ def duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
 
 def duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
     report = duplicates.find_duplicates(inputs.inventory(spark, sf), page_files=REPORT_PAGE)
-    ids = F.transform("files", lambda item: item["file_id"].cast("string"))
-    return report.withColumn("files", F.array_join(ids, ","))
+    fields = F.transform(
+        "files",
+        lambda item: F.concat_ws(
+            "|",
+            item["file_id"],
+            item["path"],
+            item["name"],
+            item["size"],
+            F.coalesce(times.epoch_micros(item["created"]).cast("string"), F.lit("")),
+            times.epoch_micros(item["modified"]),
+        ),
+    )
+    return report.withColumn("files", F.array_join(fields, ","))
 
 
 def duplicate_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,8 +165,11 @@ def file_suffix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iso_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other time without its fraction, which is then not written."""
     events = inputs.table(spark, sf, "events")
-    return events.select("event_id", times.iso_text(F.col("ts")).alias("at"))
+    whole = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    at = F.when(F.col("event_id") % 2 == 0, whole).otherwise(F.col("ts"))
+    return events.select("event_id", times.iso_text(at).alias("at"))
 
 
 def url_suffix(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,6 +227,25 @@ def resume_new_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rejected_files(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.rejected_files(inputs.listing(spark, sf))
+
+
+def append_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers for new files of which each is listed twice: how often each path got one.
+
+    A number given to two paths, or one left out, would show as a row too many.
+    """
+    found = scan.describe_files(inputs.listing(spark, sf))
+    new = scan.resume_new_files(found.unionByName(found), inputs.known_inventory(spark, sf))
+    numbered = cut_lineage(number_rows(new, [], "file_id", 100))
+    bounds = numbered.agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.count("*").alias("n"))
+    odd = bounds.filter("low <> 100 or high <> 99 + n").select(F.lit("gap").alias("path"), F.lit(0).alias("times"))
+    shared = numbered.groupBy("file_id").count().filter("count > 1").select(F.lit("shared").alias("path"), F.lit(0).alias("times"))
+    times_ = numbered.groupBy("path").agg(F.count("*").cast("int").alias("times"))
+    return times_.unionByName(odd).unionByName(shared)
+
+
 def scan_totals(spark: SparkSession, sf: str) -> DataFrame:
     return scan.scan_totals(inputs.inventory(spark, sf))
 
@@ -235,6 +284,16 @@ def next_work_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def next_work_batch_large(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch beyond what Spark limits by itself, with items whose kind is missing."""
+    queued = ledger.promote(inputs.ledger(spark, sf)).drop("changed")
+    ranked = ledger.prioritize(queued, inputs.sizes_of_all_tiers(spark, sf))
+    kind = F.when(F.col("work_id") % 7 != 0, F.col("kind"))
+    return ledger.next_work_batch(ranked.withColumn("kind", kind), LARGE_BATCH).select(
+        "work_id", "file_id", "kind", "priority"
+    )
+
+
 def ledger_advance(spark: SparkSession, sf: str) -> DataFrame:
     moved = ledger.promote(inputs.ledger(spark, sf), count_attempt=True)
     return moved.select("work_id", "kind", "status", "attempts", "changed")
@@ -281,13 +340,17 @@ def ledger_prune_orphans(spark: SparkSession, sf: str) -> DataFrame:
 # Plans
 
 
-def _quarantine(spark: SparkSession, sf: str, shared_names: bool = False) -> DataFrame:
+def _hashed(spark: SparkSession, sf: str, shared_names: bool = False) -> DataFrame:
+    """What plans need of the inventory, hashed once and written down."""
     files = inputs.inventory(spark, sf, shared_names)
+    return cut_lineage(files.select("file_id", "path", "name", "size", "created", "modified", "sha256"))
+
+
+def _quarantine(spark: SparkSession, sf: str, files: DataFrame, copies: DataFrame, shared_names: bool = False) -> DataFrame:
     # A report may name files the inventory does not have: here, those of the orphaned work.
     lost = inputs.ledger(spark, sf).filter("file_id < 0").select("file_id")
-    items = duplicates.removable_files(files).select("file_id").unionByName(lost)
     return quarantine.quarantine_plan(
-        items,
+        copies.select("file_id").unionByName(lost),
         files,
         inputs.listing_after_losses(spark, sf, shared_names),
         inputs.QUARANTINE_ROOT,
@@ -296,19 +359,27 @@ def _quarantine(spark: SparkSession, sf: str, shared_names: bool = False) -> Dat
 
 
 def quarantine_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _quarantine(spark, sf)
+    files = _hashed(spark, sf)
+    return _quarantine(spark, sf, files, duplicates.removable_files(files))
 
 
 def quarantine_plan_shared_names(spark: SparkSession, sf: str) -> DataFrame:
-    return _quarantine(spark, sf, shared_names=True)
+    files = _hashed(spark, sf, shared_names=True)
+    return _quarantine(spark, sf, files, duplicates.removable_files(files), shared_names=True)
+
+
+def quarantine_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Files moved, and different places they are moved to, where many have one name."""
+    moved = quarantine_plan_shared_names(spark, sf).filter("action = 'moved'")
+    return moved.agg(F.count("*").alias("moved"), F.countDistinct("destination").alias("places"))
 
 
 def quarantine_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return quarantine.action_totals(_quarantine(spark, sf))
+    return quarantine.action_totals(quarantine_plan(spark, sf))
 
 
 def quarantine_list(spark: SparkSession, sf: str) -> DataFrame:
-    manifest = quarantine.manifest_of(_quarantine(spark, sf), AS_OF)
+    manifest = quarantine.manifest_of(quarantine_plan(spark, sf), AS_OF)
     # Looking for the quarantined files where the returned ones lie tells some as still there.
     folder = quarantine.run_folder(inputs.QUARANTINE_ROOT, AS_OF)
     name = names.base_name(F.col("path"))
@@ -319,12 +390,12 @@ def quarantine_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def restore_plan(spark: SparkSession, sf: str) -> DataFrame:
-    manifest = quarantine.manifest_of(_quarantine(spark, sf), AS_OF)
+    files = _hashed(spark, sf)
+    copies = cut_lineage(duplicates.removable_files(files))
+    manifest = quarantine.manifest_of(_quarantine(spark, sf, files, copies), AS_OF)
     folder = quarantine.run_folder(inputs.QUARANTINE_ROOT, AS_OF)
     name = names.base_name(F.col("path"))
-    requests = duplicates.removable_files(inputs.inventory(spark, sf)).select(
-        F.concat(F.lit(folder + "/"), name).alias("quarantine_path")
-    )
+    requests = copies.select(F.concat(F.lit(folder + "/"), name).alias("quarantine_path"))
     return quarantine.restore_plan(requests, manifest, inputs.listing_of_returned(spark, sf))
 
 
@@ -344,6 +415,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         content_hash,
+        merged_results,
         text_stats,
         text_stats_pages,
         text_stats_conversations,
@@ -371,12 +443,15 @@ QUERIES: dict[str, Query] = {
         parse_size,
         scan_inventory,
         resume_new_files,
+        rejected_files,
+        append_twice,
         scan_totals,
         refresh_inventory,
         work_fan_out,
         missing_work,
         size_tier_priority,
         next_work_batch,
+        next_work_batch_large,
         ledger_advance,
         ledger_changes,
         work_left,
@@ -387,6 +462,7 @@ QUERIES: dict[str, Query] = {
         ledger_prune_orphans,
         quarantine_plan,
         quarantine_plan_shared_names,
+        quarantine_collisions,
         quarantine_totals,
         quarantine_list,
         restore_plan,

@@ -14,6 +14,8 @@ from fileledger.functions.names import extractor_for
 DEFAULT_TYPES = ("pdf", "docx", "xlsx", "pptx", "txt", "jpg", "png", "mp3", "mp4")
 DEFAULT_SIZE_CAP = 52428800
 TOO_LARGE = "file too large"
+NOT_LISTED = ("extension ", " not in analysis list")
+NO_ANALYZER = "no analyzer for "
 
 # A JSON string with, for a key, the colon after it. Possessive, so it runs without recursion.
 _STRING_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
@@ -36,9 +38,9 @@ def skip_reason(
         F.when(size > size_cap, F.lit(TOO_LARGE))
         .when(
             ~ext.isin(*["." + t for t in types]),
-            F.concat(F.lit("extension "), ext, F.lit(" not in analysis list")),
+            F.concat(F.lit(NOT_LISTED[0]), ext, F.lit(NOT_LISTED[1])),
         )
-        .when(extractor_for(ext).isNull(), F.concat(F.lit("no analyzer for "), ext))
+        .when(extractor_for(ext).isNull(), F.concat(F.lit(NO_ANALYZER), ext))
     )
 
 
@@ -96,8 +98,10 @@ def has_value_like(document: Column, keyword: str) -> Column:
         tokens = F.regexp_extract_all(whole, F.lit(_STRING_TOKEN), F.lit(0))
         exact = F.exists(tokens, lambda token: ~token.endswith(":") & matches(token))
         # Without an escape the values stand in the document as they are, so a document that does
-        # not match as a whole cannot match in part; only the others are taken apart.
-        return (whole.contains("\\") | like(whole, part_pattern)) & exact
+        # not match as a whole cannot match in part; only the others are taken apart. Letters and
+        # digits can only be hidden by an escape with their number.
+        escape = "\\u" if keyword.isascii() and keyword.isalnum() else "\\"
+        return (whole.contains(escape) | like(whole, part_pattern)) & exact
 
     # As the item of an array the document is worked out once, however often it is looked at.
     return F.exists(F.array(document), found_in)

@@ -23,6 +23,12 @@ def from_epoch(seconds: Column, zone: str = "UTC") -> Column:
     return utc if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
+def epoch_micros(moment: Column) -> Column:
+    """Microseconds since 1970 on the zone-free clock."""
+    seconds = (moment - ntz(datetime(1970, 1, 1))).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1000000).cast("bigint")
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Whole days elapsed from `start` to `end`, rounded down also when negative."""
     elapsed = end - start

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fileledger.functions.times import epoch_micros
 from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
 from fileledger.operators.ordering import in_order, number_in_groups
 
@@ -16,11 +17,11 @@ def duplicate_groups(inventory: DataFrame, min_size: int = 0) -> DataFrame:
     """One row per hash held by at least two files of `min_size`, largest total first.
 
     The copy to keep is the oldest of all files with that hash, whatever `min_size` says; an
-    unknown creation time counts as oldest and the lower id breaks ties. Sums, counts and the
-    oldest file are combined before the shuffle, so a group of any size travels as one row per
-    map task.
+    unknown creation time counts as oldest and the lower id breaks ties. Counts, sums and the
+    oldest file's id are combined before the shuffle, so a group of any size travels as one row per
+    map task, and in buffers of fixed size, so nothing is sorted for it.
     """
-    groups = _groups(inventory, min_size).select(
+    groups = _with_keepers(_groups(inventory, min_size), inventory).select(
         "sha256", "count", "total_size", "wasted_size", "keeper_id", "keeper_path", "suggestion"
     )
     # Spread by the keeper: by hash they lie spread already, and the shuffle would be left out.
@@ -28,28 +29,40 @@ def duplicate_groups(inventory: DataFrame, min_size: int = 0) -> DataFrame:
 
 
 def _groups(inventory: DataFrame, min_size: int) -> DataFrame:
+    """One row per hash of at least two files: counts, the total and the id of the oldest file."""
     large_enough = F.col("size") >= min_size
-    oldest = F.min(F.struct("created", "file_id", "size", "path"))
+    # (time, id) as one number, ids counted from the lowest there is, unknown times before all
+    # others. The smallest number of 38 digits is kept in place; pairs would have to be sorted.
+    age = F.coalesce(epoch_micros(F.col("created")), F.lit(-(10**18)))
+    lowest = F.lit(str(2**63)).cast("decimal(20,0)")
+    ids = F.lit(str(2 * 10**19)).cast("decimal(20,0)")
+    place = age.cast("decimal(19,0)") * ids + (F.col("file_id").cast("decimal(20,0)") + lowest)
+    keeper_id = (F.pmod(F.col("oldest"), ids) - lowest).cast("bigint")
     return (
-        inventory.filter(F.col("sha256").isNotNull())
-        .groupBy("sha256")
+        inventory.groupBy("sha256")
         .agg(
             F.count_if(large_enough).alias("count"),
             F.sum(F.when(large_enough, F.col("size"))).alias("total_size"),
-            F.count("*").alias("members"),
-            oldest.alias("keeper"),
-        )
-        .filter(F.col("count") > 1)
-        .select(
-            "sha256",
-            "count",
-            "total_size",
-            "members",
-            (F.col("total_size") - F.col("keeper.size")).alias("wasted_size"),
-            F.col("keeper.file_id").alias("keeper_id"),
-            F.col("keeper.path").alias("keeper_path"),
-            F.concat(F.lit("Keep oldest: "), "keeper.path").alias("suggestion"),
+            # None for files without hash. So these are left out behind the sums, and the hash is
+            # not worked out once more for a filter before them.
+            F.count("sha256").alias("members"),
+            F.min(place.cast("decimal(38,0)")).alias("oldest"),
         )
+        .filter((F.col("count") > 1) & (F.col("members") > 0))
+        .select("sha256", "count", "total_size", "members", keeper_id.alias("keeper_id"))
+    )
+
+
+def _with_keepers(groups: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Add what is told of the file to keep, looked up by id, one row per group."""
+    keepers = inventory.select(
+        F.col("file_id").alias("keeper_id"), F.col("size").alias("_size"), F.col("path").alias("keeper_path")
+    )
+    return (
+        groups.join(keepers, "keeper_id")
+        .withColumn("wasted_size", F.col("total_size") - F.col("_size"))
+        .withColumn("suggestion", F.concat(F.lit("Keep oldest: "), "keeper_path"))
+        .drop("_size")
     )
 
 
@@ -57,10 +70,11 @@ def _members(
     inventory: DataFrame, min_size: int, slice_rows: int, *about_group: str
 ) -> DataFrame:
     """All files of the duplicate groups, with the named columns of their group."""
-    files = inventory.filter(F.col("sha256").isNotNull()).select(
-        "sha256", "file_id", "path", "name", "size", "created", "modified"
-    )
-    groups = _groups(inventory, min_size).select("sha256", "members", "keeper_id", *about_group)
+    files = inventory.select("sha256", "file_id", "path", "name", "size", "created", "modified")
+    groups = _groups(inventory, min_size)
+    if {"wasted_size", "suggestion"} & set(about_group):
+        groups = _with_keepers(groups, inventory)
+    groups = groups.select("sha256", "members", "keeper_id", *about_group)
     return join_groups(
         files, groups, "sha256", "members", row_id="file_id", slice_rows=slice_rows
     ).withColumn("is_keeper", F.col("file_id") == F.col("keeper_id"))
@@ -115,7 +129,8 @@ def find_duplicates(
     """Duplicate groups with their files nested, oldest first.
 
     A group of up to `page_files` is one row. A larger one goes on over further rows, page after
-    page, none of which has to hold the whole group. The members are written down once, with their
+    page, none of which has to hold the whole group. Totals and suggestion are on page 0 only, so
+    sums over the report are those over the groups. The members are written down once, with their
     number in the group, when this is called.
     """
     group = ["sha256", "count", "total_size", "wasted_size", "keeper_id", "suggestion"]
@@ -127,12 +142,16 @@ def find_duplicates(
         numbered.withColumn("page", F.floor((F.col("number") - 1) / page_files))
         .groupBy(*group, "page")
         .agg(F.sort_array(F.collect_list(listed)).alias("files"))
-        .select(
-            "sha256", "page", "count", "total_size", "wasted_size", "keeper_id", "files",
-            "suggestion",
-        )
     )
-    return nested.orderBy(F.desc("total_size"), "sha256", "page")
+    first = F.col("page") == 0
+    return nested.orderBy(F.desc("total_size"), "sha256", "page").select(
+        "sha256",
+        "page",
+        *[F.when(first, F.col(c)).alias(c) for c in ("count", "total_size", "wasted_size")],
+        "keeper_id",
+        "files",
+        F.when(first, F.col("suggestion")).alias("suggestion"),
+    )
 
 
 def files_sharing_a_size(inventory: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from fileledger.functions.sizes import size_priority
 from fileledger.functions.times import ntz
+from fileledger.operators.ordering import number_in_groups
 from fileledger.schema import DEFAULT_MAX_ATTEMPTS, KINDS, NEW_FILE_KINDS, STATUSES
 
 # Fixed value: message of a work item whose file the inventory does not have.
@@ -112,18 +113,20 @@ def prioritize(ledger: DataFrame, inventory: DataFrame) -> DataFrame:
 def next_work_batch(ledger: DataFrame, size: int = 100) -> DataFrame:
     """The next `size` queued items of each kind, highest priority first, lower id on ties.
 
-    Each task first keeps its own best rows, so a kind with most of the work still sends only
-    `size` rows per task to the shuffle.
+    Every kind there is counts, an unknown or missing one too. Each task first keeps its own best
+    rows, so a kind with most of the work still sends only `size` rows per task to the shuffle. For
+    a batch larger than Spark does this for, queued items are numbered by kind in sorted ranges; the
+    rows are the same, and no task gets a whole kind or a whole batch.
     """
     queued = ledger.filter(F.col("status") == "queued")
-    order = [F.desc("priority"), F.asc("work_id")]
     threshold = ledger.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
     if size <= int(threshold):
+        order = [F.desc("priority"), F.asc("work_id")]
         place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
-        return queued.withColumn("place", place).filter(F.col("place") <= size).drop("place")
-    # Above the threshold the window would take a whole kind into one task; a limit never does.
-    best = [queued.filter(F.col("kind") == kind).orderBy(*order).limit(size) for kind in KINDS]
-    return best[0].unionByName(best[1]).unionByName(best[2])
+        return queued.withColumn("_place", place).filter(F.col("_place") <= size).drop("_place")
+    keyed = queued.withColumns({"_kind": F.struct("kind"), "_last": -F.col("priority")})
+    numbered = number_in_groups(keyed, "_kind", ["_last", "work_id"], "_place", "work_id")
+    return numbered.filter(F.col("_place") <= size).select(*queued.columns)
 
 
 def start_work(ledger: DataFrame, batch: DataFrame, worker: str, at: datetime) -> DataFrame:

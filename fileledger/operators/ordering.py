@@ -16,11 +16,12 @@ _TASK_BIT = 33
 
 
 def in_order(report: DataFrame, spread_by: str, *order: Column | str) -> DataFrame:
-    """The report sorted as a whole, with `spread_by` its unique column.
+    """The result of joins or costly filters sorted as a whole, with `spread_by` its unique column.
 
     To cut the sort into ranges Spark looks at the rows once before it moves them, and runs all
     that lies below to get them. After this shuffle of the finished rows, which are few next to the
-    inventory, that is a second look at shuffle files and not a second scan.
+    inventory, that is a second look at shuffle files and not a second run. Where a report is a
+    filter that reaches the scan, a second look at its columns is cheaper than moving rows twice.
     """
     return report.repartition(spread_by).orderBy(*order)
 
@@ -30,14 +31,13 @@ def number_rows(
 ) -> DataFrame:
     """Add consecutive numbers in the given ascending order, the same for every later reader.
 
+    With no order the rows are numbered as they lie, and not shuffled.
+
     Each range of rows is numbered on its own and written down; then every range is shifted by the
     rows before it. Only the table of ranges, one row per task, is ever seen whole.
     """
-    placed = cut_lineage(
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-    ).withColumn("_range", F.shiftright("_place", _TASK_BIT))
+    in_ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    placed = cut_lineage(in_ranges.withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", _TASK_BIT))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))

@@ -30,7 +30,7 @@ def find_large(inventory: DataFrame, min_bytes: int = DEFAULT_LARGE) -> DataFram
         sizes.megabytes(F.col("size")).alias("size_mb"),
         "modified",
     )
-    return in_order(large, "file_id", F.desc("size"), "file_id")
+    return large.orderBy(F.desc("size"), "file_id")
 
 
 def find_old(inventory: DataFrame, days: int = DEFAULT_DAYS, *, as_of: datetime) -> DataFrame:
@@ -40,14 +40,14 @@ def find_old(inventory: DataFrame, days: int = DEFAULT_DAYS, *, as_of: datetime)
         "file_id", "path", "name", "size", "accessed", "modified",
         times.whole_days(F.col("accessed"), times.ntz(as_of)).alias("days_idle"),
     )
-    return in_order(old, "file_id", "accessed", "file_id")
+    return old.orderBy("accessed", "file_id")
 
 
 def find_temp(inventory: DataFrame) -> DataFrame:
     """Temporary files by suffix, largest first."""
     temporary = F.col("ext").rlike("(" + "|".join(map(re.escape, TEMP_SUFFIXES)) + r")\z")
     files = inventory.filter(temporary).select("file_id", "path", "name", "ext", "size", "modified")
-    return in_order(files, "file_id", F.desc("size"), "file_id")
+    return files.orderBy(F.desc("size"), "file_id")
 
 
 def find_empty(inventory: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def find_empty(inventory: DataFrame) -> DataFrame:
     empty = inventory.filter(F.col("size") == 0).select(
         "file_id", "path", "name", "ext", "modified"
     )
-    return in_order(empty, "path", "path")
+    return empty.orderBy("path")
 
 
 def search_metadata(inventory: DataFrame, keyword: str) -> DataFrame:

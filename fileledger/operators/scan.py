@@ -73,15 +73,14 @@ def scan(
 def resume_new_files(files: DataFrame, known: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Files whose path the inventory does not hold; a path given twice comes out once.
 
-    One shuffle by path serves both steps. Of two rows for a path the smaller one stays, so a
-    re-run takes the same row. With `ignore_case`, paths differing only in case are one path.
+    Known paths go first, on a usual run nearly all; what is left is reduced to one row a path, in the
+    same shuffle. Of two rows for a path the smaller one stays, so a re-run takes the same row. With
+    `ignore_case`, paths differing only in case are one path.
     """
     path = F.lower("path") if ignore_case else F.col("path")
-    row = F.min(F.struct(*files.columns))
-    once = files.groupBy(path.alias("_key")).agg(row.alias("_row"))
-    return once.join(known.select(path.alias("_key")), "_key", "left_anti").select(
-        *[F.col("_row")[c].alias(c) for c in files.columns]
-    )
+    new = files.withColumn("_key", path).join(known.select(path.alias("_key")), "_key", "left_anti")
+    row = F.min(F.struct(*files.columns)).alias("_row")
+    return new.groupBy("_key").agg(row).select(*[F.col("_row")[c].alias(c) for c in files.columns])
 
 
 def append_inventory(
@@ -103,7 +102,7 @@ def append_inventory(
         new_files = resume_new_files(new_files, spark.createDataFrame([], INVENTORY))
     now = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
     numbered = in_inventory_layout(
-        number_rows(new_files.drop("file_id"), ["path"], "file_id", start).withColumn(
+        number_rows(new_files.drop("file_id"), [], "file_id", start).withColumn(
             "ingested_at", times.ntz(now)
         )
     )

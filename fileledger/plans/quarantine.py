@@ -19,6 +19,10 @@ NO_RECORD = "Quarantine metadata not found"
 ORIGINAL_EXISTS = "Original path already exists"
 
 
+#: Added to a run's folder for files that share a name.
+SAME_NAME = "_same"
+
+
 def run_folder(root: str, run_ts: datetime) -> str:
     return f"{root.rstrip('/')}/{run_ts.strftime('%Y%m%d_%H%M%S')}"
 
@@ -45,7 +49,9 @@ def quarantine_plan(
 ) -> DataFrame:
     """For each file id asked for: where it would go, or why it stays.
 
-    Files of one name would meet in the run's folder; those get their id added.
+    A file whose name no other has goes to the run's folder. Files of one name would meet there; each
+    of those goes to a folder of its own, named by its id, in a folder beside the run's. So no two
+    files have one destination, whatever they are called.
     """
     asked = (
         items.filter(F.col("file_id").isNotNull())
@@ -69,13 +75,15 @@ def quarantine_plan(
         .agg(F.count("*").alias("_same_name"))
         .filter(F.col("_same_name") > 1)
     )
-    plain = F.concat(F.lit(run_folder(root, run_ts) + "/"), F.col("_name"))
+    folder = run_folder(root, run_ts)
+    plain = F.concat(F.lit(folder + "/"), F.col("_name"))
+    own = F.concat(F.lit(folder + SAME_NAME + "/"), F.col("file_id"), F.lit("/"), F.col("_name"))
     return join_groups(
         judged, shared_names, "_name", "_same_name", "file_id", "left", slice_rows
     ).select(
         "file_id",
         "path",
-        F.when(F.col("_same_name").isNotNull(), F.concat(plain, F.lit("_"), F.col("file_id")))
+        F.when(F.col("_same_name").isNotNull(), own)
         .otherwise(plain)
         .alias("destination"),
         F.when(F.col("reason").isNull(), F.lit("moved")).otherwise(F.lit("skipped")).alias("action"),

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: bytes read at a time while hashing; the digest does not depend on it.
+from fileledger.operators.ordering import number_rows
+
+# Fixed value: bytes read at a time; digests do not depend on it.
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 64 << 20
 
@@ -27,6 +29,18 @@ def spread_by_path(files: DataFrame, tasks: int | None) -> DataFrame:
     return files.repartition(tasks, "path")
 
 
+def spread_by_size(files: DataFrame, row_id: str, tasks: int | None) -> DataFrame:
+    """Hand out files so that tasks have about the same number of bytes to read.
+
+    Numbered from the largest down and dealt in turn: the largest files go to tasks of their own, and
+    each task gets as many of every size. A file without size comes last. `files` has `size`.
+    """
+    tasks = tasks or 4 * files.sparkSession.sparkContext.defaultParallelism
+    keyed = files.withColumn("_small", -F.coalesce("size", F.lit(-1)))
+    numbered = number_rows(keyed, ["_small", row_id], "_number")
+    return numbered.repartitionById(tasks, F.pmod("_number", F.lit(tasks)).cast("int")).drop("_small", "_number")
+
+
 def sha256_of_file(path: str) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as stream:
@@ -66,7 +80,11 @@ def enrich_files(
                 }
             )
 
-    return spread_by_path(files.select("file_id", "path"), tasks).mapInPandas(
+    if "size" in files.columns:
+        spread = spread_by_size(files.select("file_id", "path", "size"), "file_id", tasks)
+    else:
+        spread = spread_by_path(files.select("file_id", "path"), tasks)
+    return spread.mapInPandas(
         body, f"file_id bigint, {columns}, error string"
     )
 
@@ -146,10 +164,3 @@ def read_objects(spark: SparkSession, root: str) -> DataFrame:
         F.col("modificationTime").alias("modified"),
         "content",
     )
-
-
-def hash_objects(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, sha256), hashed where the content is read; only these columns travel on."""
-    return read_objects(spark, root).select(
-        "path", "size", F.sha2("content", 256).alias("sha256")
-    )

@@ -173,6 +173,26 @@ def _stat_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield listed.astype({"size": "Int64", "attr_bits": "Int32"})
 
 
+def list_again(paths: DataFrame) -> DataFrame:
+    """Listing rows of the given files, and of everything below the given directories."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for path in batch["path"]:
+                if os.path.isdir(path) and not os.path.islink(path):
+                    yield from (stat_row(found, error) for found, error, _ in walk(path))
+                elif os.path.lexists(path):  # what is gone by now is not missed
+                    yield stat_row(path)
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [field.split()[0] for field in LISTING.split(", ")]
+        for listed in _in_frames(entries(batches), columns):
+            yield listed.astype({"size": "Int64", "attr_bits": "Int32"})
+
+    tasks = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.select("path").repartition(tasks, "path").mapInPandas(body, LISTING)
+
+
 def list_tree(
     spark: SparkSession, root: str, tasks: int | None = None, entries_per_task: int = 200_000
 ) -> DataFrame:

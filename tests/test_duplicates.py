@@ -110,6 +110,36 @@ def test_nested_report(inventory, files, page_files):
         ids[r.sha256] += [f.file_id for f in r.files]
     assert ids == {sha: g["members"] for sha, g in expected.items()}
     assert len(rows) == sum(-(-len(i) // page_files) for i in ids.values())
+    # Sums over the report are those over the groups.
+    groups = duplicates.duplicate_groups(inventory).collect()
+    for column in ("count", "total_size", "wasted_size"):
+        assert sum(r[column] or 0 for r in rows) == sum(g[column] for g in groups)
+
+
+def test_every_heavy_key_is_split(spark):
+    rows = spark.range(0, 1001 * 6, numPartitions=8).selectExpr("id", "id % 1001 AS key")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"))
+    met = join_groups(rows, groups, "key", "n", "id", slice_rows=2)
+    slices = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in slices
+    assert met.count() == 1001 * 6 and met.select("id").distinct().count() == 1001 * 6
+
+
+def test_groups_are_summed_up_without_sorting(spark, tmp_path):
+    files = [(i, f"/{i}", str(i), 5, START, START, f"h{i // 2}") for i in range(20)]
+    spark.createDataFrame(files, SCHEMA).write.parquet(str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    for report in (duplicates.duplicate_groups, duplicates.duplicate_members, duplicates.removable_files):
+        plan = report(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_ids_below_zero_and_early_times_are_kept_apart(spark):
+    early = datetime(1900, 1, 1)
+    files = [(-5, "/a", "a", 1, early, START, "x"), (7, "/b", "b", 1, early, START, "x"), (-9, "/c", "c", 1, START, START, "x"),
+             (2**62, "/d", "d", 1, None, START, "y"), (-(2**62), "/e", "e", 1, None, START, "y")]
+    rows = duplicates.duplicate_groups(spark.createDataFrame(files, SCHEMA)).collect()
+    assert {r.sha256: (r.keeper_id, r.keeper_path) for r in rows} == {"x": (-5, "/a"), "y": (-(2**62), "/e")}
 
 
 def test_all_empty_group_wastes_nothing(spark):

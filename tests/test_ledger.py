@@ -114,6 +114,22 @@ def test_next_batch_is_the_best_per_kind(spark, threshold):
         )
 
 
+def test_next_batch_has_every_kind_whatever_its_size(spark):
+    kinds = ["hash", "thumbnail", None]
+    rows = [(i, i, kinds[i % 3], "queued", 0) for i in range(9)]
+    ledger = make(spark, rows).withColumn("priority", F.col("work_id").cast("int"))
+    for size in (2, 1000, 1001):
+        got = work.next_work_batch(ledger, size)
+        assert got.columns == ledger.columns
+        found = sorted(r.work_id for r in got.collect())
+        assert found == (list(range(3, 9)) if size == 2 else list(range(9)))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1")
+    try:
+        assert sorted(r.work_id for r in work.next_work_batch(ledger, 2).collect()) == list(range(3, 9))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_next_batch_limits_before_the_shuffle(spark):
     ledger = make(spark, ROWS)
     plan = work.next_work_batch(ledger, 2)._jdf.queryExecution().executedPlan().toString()

@@ -138,8 +138,8 @@ def test_quarantine_plan(spark, inventory, slice_rows):
     present = listing(spark, ["/b/x.txt", "/c/x.txt", "/e/z.tmp", "/e/z.tmp"])
     plan = quarantine_plan(items, inventory, present, "/q/", AT, slice_rows)
     assert {r.file_id: tuple(r)[1:] for r in plan.collect()} == {
-        2: ("/b/x.txt", "/q/20260101_000000/x.txt_2", "moved", None),
-        3: ("/c/x.txt", "/q/20260101_000000/x.txt_3", "moved", None),
+        2: ("/b/x.txt", "/q/20260101_000000_same/2/x.txt", "moved", None),
+        3: ("/c/x.txt", "/q/20260101_000000_same/3/x.txt", "moved", None),
         5: ("/e/z.tmp", "/q/20260101_000000/z.tmp", "moved", None),
         4: ("/d/y.txt~", None, "skipped", "file not found"),
         77: (None, None, "skipped", "not found"),
@@ -157,10 +157,20 @@ def test_quarantine_spreads_one_name_held_by_most(spark):
     ).collect()
     targets = [r.destination for r in plan]
     assert len(plan) == len(set(targets)) == 600
-    assert all(t.endswith(f"index.html_{r.file_id}") for r, t in zip(plan, targets) if r.file_id % 3)
+    assert all(t.endswith(f"_same/{r.file_id}/index.html") for r, t in zip(plan, targets) if r.file_id % 3)
     assert all(t.endswith(f"page{r.file_id}.html") for r, t in zip(plan, targets) if not r.file_id % 3)
 
 
+def test_quarantine_destinations_differ(spark):
+    files = [(1, "/a/x"), (2, "/b/x"), (3, "/c/x_1"), (4, "/d/x_2"), (5, "/e/1"), (6, "/f/x_1")]
+    inventory = spark.createDataFrame(files, "file_id bigint, path string")
+    plan = quarantine_plan(inventory.select("file_id"), inventory, inventory.select("path"), "/q", AT).collect()
+    targets = [r.destination for r in plan]
+    assert len(set(targets)) == 6
+    # Nor is a file's place a folder of another's.
+    assert not any(a != b and b.startswith(a + "/") for a in targets for b in targets)
+
+
 def test_manifest_and_quarantine_list(spark, inventory, tmp_path):
     items = spark.createDataFrame([(2,), (5,)], "file_id bigint")
     plan = quarantine_plan(items, inventory, inventory.select("path"), "/q", AT)

@@ -34,7 +34,8 @@ from fileledger.sources import content
 from fileledger.sources.directory import FORMAT, list_tree, register
 from fileledger.sources.tables import latest_snapshot, read_inventory, write_snapshot
 from fileledger.sources.walk import plan_subtrees
-from fileledger.streaming.incremental import ingest_new_files
+from fileledger.sources.objects import hash_objects
+from fileledger.streaming.incremental import ingest_new_files, unread_path
 
 CONTENTS = {
     "test.txt": b"hello world",
@@ -198,6 +199,26 @@ def test_stream_takes_only_new_files(spark, tree, tmp_path, settle):
     assert len(paths) == len(set(paths)) == len(CONTENTS) + 2
 
 
+def test_what_a_run_could_not_read_is_looked_at_again(spark, tree, tmp_path):
+    target, checkpoint = str(tmp_path / "inventory"), str(tmp_path / "checkpoint")
+
+    def run():
+        ingest_new_files(spark, str(tree), target, checkpoint, settle_seconds="0").awaitTermination()
+        return {r.path for r in read_inventory(spark, target).collect()}
+
+    assert run() == full(tree)
+    # As if a directory had not been readable: its files are older than the last look.
+    late = tmp_path / "late" / "deep"
+    late.mkdir(parents=True)
+    (late / "file.txt").write_text("late")
+    gone = str(tmp_path / "gone")
+    failed = spark.createDataFrame([(str(tmp_path / "late"),), (gone,)], "path string")
+    failed.write.mode("append").parquet(unread_path(target))
+    assert run() == full(tree) | {str(late / "file.txt")}
+    assert run() == full(tree) | {str(late / "file.txt")}
+    assert spark.read.parquet(unread_path(target)).filter(F.col("path").isin(gone, str(tmp_path / "late"))).isEmpty()
+
+
 def test_snapshots(spark, tmp_path):
     base = str(tmp_path / "ledger")
     assert latest_snapshot(spark, base) is None
@@ -261,12 +282,36 @@ def test_failed_reads_become_outcomes(spark, tree, inventory):
 
 
 def test_object_store_hashing(spark, tree):
-    got = {r.path: r.sha256 for r in content.hash_objects(spark, str(tree)).collect()}
-    visible = {
-        n: b for n, b in CONTENTS.items() if b and os.path.basename(n)[0] not in "._"
-    }
-    for name, body in visible.items():
-        assert got[str(tree / name)] == hashlib.sha256(body).hexdigest()
+    for root in (str(tree), tree.as_uri()):
+        rows = hash_objects(spark, root, tasks=3).collect()
+        got = {os.path.relpath(r.path, tree): (r.size, r.sha256, r.error) for r in rows}
+        assert len(got) == len(rows)
+        assert got.pop("pipe")[2]
+        assert got.pop("link.txt")[1] == hashlib.sha256(CONTENTS["test.txt"]).hexdigest()
+        assert got == {n: (len(b), hashlib.sha256(b).hexdigest(), None) for n, b in CONTENTS.items()}
+
+
+def test_object_store_rows_for_what_cannot_be_read(spark, tmp_path):
+    (tmp_path / ".h").mkdir()
+    for name, body in (("a.txt", "a"), ("empty.txt", ""), ("_u.txt", "u"), (".h/b.txt", "b")):
+        (tmp_path / name).write_text(body)
+    os.mkfifo(tmp_path / "pipe")
+    rows = {os.path.relpath(r.path, tmp_path): r for r in hash_objects(spark, str(tmp_path)).collect()}
+    assert {n for n, r in rows.items() if r.sha256} == {"a.txt", "empty.txt", "_u.txt", ".h/b.txt"}
+    assert rows["pipe"].error
+    missing = hash_objects(spark, str(tmp_path / "none")).collect()
+    assert len(missing) == 1 and missing[0].error
+
+
+def test_files_are_dealt_by_size(spark):
+    sizes = [10**6, 10**6] + [10] * 40
+    files = spark.createDataFrame([(i, f"/{i}", s) for i, s in enumerate(sizes)], "file_id bigint, path string, size bigint")
+    spread = content.spread_by_size(files, "file_id", 4).withColumn("task", F.spark_partition_id())
+    tasks = {}
+    for row in spread.collect():
+        tasks.setdefault(row.task, []).append(row.size)
+    assert sorted(len(x) for x in tasks.values()) == [10, 10, 11, 11]
+    assert max(x.count(10**6) for x in tasks.values()) == 1
 
 
 def test_extract_metadata(spark, tree, inventory):
@@ -338,6 +383,30 @@ def test_enrich_files_with_own_work(spark, tree, inventory):
             assert result.first is None and "out of range" in result.error
 
 
+def test_results_of_two_jobs_are_merged_by_column(spark):
+    inventory = spark.createDataFrame([(1, None, None), (2, "old", None)], "file_id bigint, sha256 string, metadata string")
+    results = spark.createDataFrame(
+        [(1, "aa", None), (1, None, "{}"), (2, None, "{}")], "file_id bigint, sha256 string, metadata string"
+    )
+    merged = merge_results(inventory, results, "sha256", "metadata")
+    assert sorted(map(tuple, merged.collect())) == [(1, "aa", "{}"), (2, "old", "{}")]
+
+
+def test_known_paths_go_before_repeats_are_looked_for(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id AS string) AS path", "id AS size").write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = resume_new_files(files, files.filter("size < 990").select("path"))
+        assert new.count() == 10
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.index("Aggregate") < final.index("LeftAnti")
+    assert final.count("Exchange hashpartitioning") == 2
+
+
 def test_files_left(spark, inventory):
     done = hash_files(inventory.filter("size > 0")).filter("error IS NULL")
     assert {r.name for r in files_left(inventory, done).collect()} == {"empty.txt"}
