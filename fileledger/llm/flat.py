@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 GROUP_BYTES = 4 << 20
-_BLOCK = 1 << 20
+#: Bytes hashed at once, so that the tables of powers stay small.
+_BLOCK = (1 << 18) - 64
 
 #: Bytes of words: everything but space and U+0009 to U+000D.
 WORD_BYTES = np.ones(256, bool)
@@ -62,7 +63,7 @@ def _byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number, and of its inverse, modulo 2^64."""
     base = int(np.random.default_rng(seed + 1).integers(2**61, 2**62)) * 2 + 1
@@ -86,8 +87,7 @@ def prefix_hashes(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
     The hash of bytes i to j is (sums[j] - sums[i]) * factors[i].
     """
-    size = max(_BLOCK, len(data) + 1)
-    up, down = _powers(seed, 1 << int(size - 1).bit_length())
+    up, down = _powers(seed, 1 << max(16, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_byte_values(seed)[data] * up[: len(data)], out=sums[1:])
@@ -132,9 +132,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def covered(marks: np.ndarray, size: int) -> np.ndarray:
-    """Where a run of `size` that begins at a marked place reaches; as long as `marks` + `size` - 1."""
+def covered(marks: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which of `length` places lie in a run of `size` that begins at a marked one."""
     depth = np.zeros(len(marks) + size, np.int32)
     depth[: len(marks)] += marks
     depth[size:] -= marks
-    return np.cumsum(depth[:-1]) > 0
+    return (np.cumsum(depth[:-1]) > 0)[:length]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from fileledger.llm.decontamination import SQL as CONTAMINATION_SQL
 from fileledger.llm.decontamination import op4_contamination
 from fileledger.llm.language import op3_language
 from fileledger.llm.pieces import op7_pieces
+from fileledger.llm.repeated_bytes import SQL as REPEATED_BYTES_SQL
 from fileledger.llm.repeated_bytes import op5_repeated_bytes
 from fileledger.llm.repeated_words import SQL as REPEATED_WORDS_SQL
 from fileledger.llm.repeated_words import op2_repeated_words
@@ -32,5 +34,7 @@ LLM_QUERIES = {
 
 LLM_ORACLE = {
     "op2_repeated_words": REPEATED_WORDS_SQL,
+    "op4_contamination": CONTAMINATION_SQL,
+    "op5_repeated_bytes": REPEATED_BYTES_SQL,
     "op6_tool_calls": TOOL_CALLS_SQL,
 }

@@ -26,7 +26,7 @@ from fileledger.llm import flat
 from fileledger.llm.rows import add_columns, table
 from fileledger.llm.run_index import RunIndex
 from fileledger.llm.shared_files import new_folder
-from fileledger.llm.sketch import Sketch, maybe_repeated, repeated_cells
+from fileledger.llm.sketch import Sketch, forget, maybe_repeated, repeated_cells
 from fileledger.operators.heavy_keys import join_groups
 
 LENGTH = 50
@@ -34,9 +34,9 @@ _KEY_LENGTH = 24
 #: Windows of consecutive strings that one place can be the smallest of.
 _SPAN = LENGTH - _KEY_LENGTH + 1
 #: Bytes of text looked at at once; arrays of 64-bit numbers as long take some memory.
-_BLOCK = (1 << 20) - 64
+_BLOCK = (1 << 19) - 64
 #: Bytes of segments a task keeps before it sends them on.
-_HELD = 24 << 20
+_HELD = 12 << 20
 #: A bucket with more bytes of segments is not indexed; its strings are dealt singly.
 BUCKET_BYTES = 3 << 20
 #: Bytes of input for each bucket; segments that may be repeated are fewer.
@@ -72,8 +72,8 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield part, np.array([0, len(part)]), 0, at
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> Segments:
-    """All segments of texts given behind each other, in order."""
+def segments(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Segments:
+    """All segments of texts given behind each other, in order; their hashes only if asked for."""
     strings = len(data) - LENGTH + 1
     if strings < 1:
         none = np.empty(0, np.int64)
@@ -98,22 +98,24 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Segments:
     # A segment ends where the next begins, or before a border.
     stop = np.flatnonzero(np.append(new, True) | (inside == 0))
     end = stop[np.searchsorted(stop, start, side="right")] + LENGTH - 1
+    text = np.searchsorted(offsets, start, side="right") - 1
+    if not hashed:
+        return Segments(data, start, end, text, keys[place[start]], keys[:0], keys[:0])
     size = (end - start).astype(np.uint64)
     with np.errstate(over="ignore"):
         one = flat.mix((sums[end] - sums[start]) * down[start] + size)
         del sums, down
         sums, down = flat.prefix_hashes(data, 11)
         two = flat.mix((sums[end] - sums[start]) * down[start] + size)
-    text = np.searchsorted(offsets, start, side="right") - 1
     return Segments(data, start, end, text, keys[place[start]], one, two >> np.uint64(32))
 
 
-def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[Segments, int]]:
+def _of_batch(batch: pa.RecordBatch, hashed: bool = True) -> Iterator[tuple[Segments, int]]:
     """Segments of a batch's texts, and the number of the row that their first text has."""
     row = 0
     for group in flat.row_groups(batch, most=_BLOCK):
         for data, offsets, _, _ in blocks(*flat.flat(group.column("text"))):
-            yield segments(data, offsets), row
+            yield segments(data, offsets, hashed), row
         row += group.num_rows
 
 
@@ -202,6 +204,7 @@ def _marks(documents: DataFrame, sketch: Sketch, parts: int, buckets: int, bucke
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the sketch, if this worker has it from the step before
         now: int | None = None
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
@@ -324,7 +327,7 @@ def _gone(raw: bytes, segment: np.ndarray, strings: np.ndarray) -> np.ndarray:
         for k in range(_SPAN):
             with_bit = hit[(strings[place[hit]] >> k) & 1 == 1]
             starts[at + found.start[with_bit] + k] = True
-    return flat.covered(starts, LENGTH)
+    return flat.covered(starts, LENGTH, len(data))
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -361,7 +364,7 @@ def without_repeats(
     source = documents.select(key.alias("doc_id"), F.col(text).alias("text"))
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sketch = repeated_cells(
-        source, lambda batch: (x.key for x, _ in _of_batch(batch)), n_bytes // (_SPAN // 2)
+        source, lambda batch: (x.key for x, _ in _of_batch(batch, hashed=False)), n_bytes // (_SPAN // 2)
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = _marks(source, sketch, parts, max(parts, n_bytes // _INPUT_A_BUCKET), bucket_bytes)
@@ -398,3 +401,34 @@ def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many bytes every document loses to earlier ones, in how many stretches, and a digest of the rest."""
     found = without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in SQL, on two hexadecimal digits a byte.
+SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
+    octet_length(encode(coalesce(text, '')))::BIGINT AS n
+  FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS key
+  FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM bytes WHERE n >= 50)
+), firsts AS (SELECT key, min(doc_id) AS first FROM strings GROUP BY key),
+gone AS (SELECT doc_id, i FROM strings JOIN firsts USING (key) WHERE doc_id > first),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new
+  FROM gone
+), numbered AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked
+), spans AS (
+  SELECT doc_id, span, min(i) AS a, max(i) + 49 AS b FROM numbered GROUP BY doc_id, span
+), cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS front
+  FROM cuts JOIN bytes USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""

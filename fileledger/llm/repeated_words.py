@@ -193,7 +193,7 @@ def without_repeats(
                 data = np.frombuffer(raw, np.uint8)
                 starts, ends, first = flat.spans(data, np.array([0, len(data)]), flat.WORD_BYTES)
                 one, _, _ = _window_hashes(data, starts, ends, first, size)
-                go = flat.covered(np.isin(one, known), size)
+                go = flat.covered(np.isin(one, known), size, len(words))
                 words = [words[i] for i in np.flatnonzero(~go)]
             removed.append(counts[-1] - len(words))
             kept.append(b" ".join(words))

@@ -34,21 +34,29 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
         reach = max(0, size - k)
         key[:reach] |= np.where(left[:reach] > k, symbols[k:], 0)
     order = np.argsort(key)
-    in_order, depth, coarse = key[order], 7, None
+    in_order = key[order]
+    head = np.append(True, in_order[1:] != in_order[:-1])
+    rank = np.empty(size, np.int64)  # the row where a suffix's group of ties begins
+    rank[order] = np.maximum.accumulate(np.where(head, place, 0))
+    depth, coarse = 7, rank
     while True:
-        rank = np.empty(size, np.int64)
-        rank[order] = np.append(0, np.cumsum(in_order[1:] != in_order[:-1]))
         if depth <= 28:
-            coarse = rank
-        if rank[order[-1]] == size - 1:
+            coarse = rank.copy()
+        tied = np.flatnonzero(~head | ~np.append(head[1:], True))
+        if not len(tied):
             break
         # Ties agree in the places of separators; those with one in reach differ by which it is.
-        behind = end.copy()
-        far = np.flatnonzero(left >= depth)
-        behind[far] = rank[far + depth]
-        key = rank * size + behind
-        order = np.argsort(key)
-        in_order, depth = key[order], depth * 2
+        own = order[tied]
+        behind = end[own]
+        far = np.flatnonzero(left[own] >= depth)
+        behind[far] = rank[own[far] + depth]
+        key = rank[own] * size + behind
+        by_key = np.argsort(key)
+        own, key = own[by_key], key[by_key]
+        head[tied] = np.append(True, key[1:] != key[:-1])
+        order[tied] = own
+        rank[own] = np.maximum.accumulate(np.where(head[tied], tied, 0))
+        depth *= 2
     return order, coarse
 
 

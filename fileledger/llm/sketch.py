@@ -148,6 +148,11 @@ def _loaded(sketch: Sketch) -> np.ndarray:
     return out.reshape(sketch.rows, -1)
 
 
+def forget() -> None:
+    """Give up the sketch that this process has loaded."""
+    _loaded.cache_clear()
+
+
 def maybe_repeated(hashes: np.ndarray, sketch: Sketch) -> np.ndarray:
     """Places of the hashes all whose counters have two or more."""
     cells_of_rows, at = _loaded(sketch), np.arange(len(hashes))
