@@ -128,11 +128,16 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
     The ids are chosen first, and only their texts read. One task fits the model; it holds `sample`
     feature rows of 8 KB per language. None if there is nothing to learn from.
     """
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
     rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("lang is not null and text is not null")
+    ids = rows.select("doc_id", "lang", hash_.alias("hash"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     chosen = (
-        rows.select("doc_id", "lang")
+        # About twice the sample of each language is left by the hash, however many documents it has.
+        ids.join(sizes, "lang")
+        .filter(F.col("hash") * F.col("n") / (2 * sample) < 1 << 32)
         .withColumn("place", F.row_number().over(by_hash))
         .filter(F.col("place") <= sample)
         .select("doc_id", "lang")
@@ -144,9 +149,10 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
         return [pa.array([x.tobytes() for x in found], pa.binary())]
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        own_batches = [batch for batch in batches if batch.num_rows]
+        if not own_batches:
             return
+        all_ = pa.Table.from_batches(own_batches)
         # In one order, whatever order the rows come in.
         order = np.lexsort((all_.column("x").to_numpy(), all_.column("lang").to_numpy()))
         x = np.frombuffer(b"".join(all_.column("x").to_pylist()), np.float32).reshape(-1, _WIDTH)[order]

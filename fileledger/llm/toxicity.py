@@ -28,6 +28,7 @@ FOLDS = 5
 _BITS = 20
 _FEATURES = 400
 _LEAST_TEXTS = 5
+_PART = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -58,6 +59,11 @@ def _distinct(text: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.nda
     return both >> _BITS, both & ((1 << _BITS) - 1)
 
 
+def _parts(size: int) -> Iterator[slice]:
+    """A long array a piece at a time, as numpy widens the numbers it counts."""
+    return (slice(low, low + _PART) for low in range(0, size, _PART))
+
+
 class Link:
     """One model of the chain: features, their weights, those of the earlier probabilities, intercept."""
 
@@ -66,10 +72,11 @@ class Link:
 
     def margins(self, text: np.ndarray, feature: np.ndarray, texts: int, earlier: np.ndarray) -> np.ndarray:
         """`text` and `feature` without repeats; `earlier` has a column per category before."""
-        at = np.searchsorted(self.chosen, feature)
-        known = np.append(self.chosen, -1)[at] == feature
-        size = len(self.chosen)
-        sums = np.bincount(text[known], weights=self.weights[at[known]], minlength=texts)
+        size, sums = len(self.chosen), np.zeros(texts)
+        for part in _parts(len(text)):
+            at = np.searchsorted(self.chosen, feature[part])
+            known = np.append(self.chosen, -1)[at] == feature[part]
+            sums += np.bincount(text[part][known], weights=self.weights[at[known]], minlength=texts)
         return sums + earlier @ self.weights[size:-1] + self.weights[-1]
 
 
@@ -77,21 +84,23 @@ def _fit_link(text, feature, rows: np.ndarray, target: np.ndarray, earlier: np.n
     """A model for the given rows; the features are chosen by them as well."""
     is_row = np.zeros(len(target), bool)
     is_row[rows] = True
-    own = is_row[text]
-    text, feature = text[own], feature[own]
     yes, no = max(1, int(target[rows].sum())), max(1, int((1 - target[rows]).sum()))
-    with_yes = np.bincount(feature, weights=target[text], minlength=1 << _BITS)
-    all_ = np.bincount(feature, minlength=1 << _BITS)
+    with_yes, all_ = np.zeros(1 << _BITS), np.zeros(1 << _BITS)
+    for part in _parts(len(text)):
+        own = is_row[text[part]]
+        with_yes += np.bincount(feature[part][own], weights=target[text[part][own]], minlength=1 << _BITS)
+        all_ += np.bincount(feature[part][own], minlength=1 << _BITS)
     share = all_ / (yes + no)
     apart = np.abs(with_yes / yes - (all_ - with_yes) / no)
     score = np.where(all_ >= _LEAST_TEXTS, apart / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / yes + 1 / no)), 0)
     chosen = np.sort(np.argsort(-score, kind="stable")[:_FEATURES])
     chosen = chosen[score[chosen] > 0]
-    at = np.minimum(np.searchsorted(chosen, feature), max(0, len(chosen) - 1))
-    known = chosen[at] == feature if len(chosen) else np.zeros(len(feature), bool)
     place = np.cumsum(is_row) - 1
     x = np.zeros((len(rows), len(chosen) + earlier.shape[1]), np.float32)
-    x[place[text[known]], at[known]] = 1
+    for part in _parts(len(text)):
+        at = np.searchsorted(chosen, feature[part])
+        known = (np.append(chosen, -1)[at] == feature[part]) & is_row[text[part]]
+        x[place[text[part][known]], at[known]] = 1
     x[:, len(chosen) :] = earlier[np.flatnonzero(is_row)]
     return Link(chosen, logistic(x, target[np.flatnonzero(is_row)]))
 
@@ -150,10 +159,11 @@ def learn(
     """
     marked = labels.select(F.col(doc_id).alias("doc_id"), *[c.cast("int").alias(f"c{k}") for k, c in enumerate(categories.values())])
     names = [f"c{k}" for k in range(len(categories))]
-    chosen = (
-        marked.dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    whole = marked.dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
+    # About twice the sample is left by the hash, however many labels there are.
+    below = int(min(1, 2 * sample / max(1, whole.count())) * (1 << 32))
+    chosen = whole.filter(hash_ < below).orderBy(hash_, "doc_id").limit(sample)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def describe(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -162,16 +172,17 @@ def learn(
         return [pa.array([found[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        own_batches = [batch for batch in batches if batch.num_rows]
+        if not own_batches:
             return
+        all_ = pa.Table.from_batches(own_batches)
         ids, raw = all_.column("doc_id").to_numpy(), all_.column("x").to_pylist()
         order = np.lexsort((np.array([len(x) for x in raw]), ids))  # in one order, however the rows come
         own = [np.frombuffer(raw[k], np.int32) for k in order]
-        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        of = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
         targets = np.stack([all_.column(c).to_numpy()[order] for c in names], axis=1)
         folds = (flat.mix(ids[order].astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-        for link in fit_chain(of, np.concatenate(own).astype(np.int64), targets, folds):
+        for link in fit_chain(of, np.concatenate(own), targets, folds):
             yield pa.RecordBatch.from_pydict({"chosen": [link.chosen.astype(np.int64).tobytes()], "weights": [link.weights.tobytes()]})
 
     described = add_columns(rows, [StructField("x", BinaryType())], describe, keep=["doc_id", *names])
