@@ -162,7 +162,7 @@ def _marks(documents: DataFrame, sketch: Sketch, parts: int, buckets: int, bucke
                 # What is not of the task's smallest document of a segment is known to go.
                 yield _batch(
                     _SENT,
-                    bucket=-1 - (flat.mix(doc[later].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64),
+                    bucket=-1 - (one[later] % np.uint64(buckets)).astype(np.int64),
                     doc_id=doc[later],
                     segment=one[later].view(np.int64),
                     strings=_all_strings(size[later]),
