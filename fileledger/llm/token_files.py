@@ -163,7 +163,8 @@ def read_token_files(manifest: DataFrame, docs_a_batch: int = 4096) -> DataFrame
                     )
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return manifest.repartition("part").mapInArrow(read, schema)
+    # As many tasks as parts, said outright: the rows are few and small, the files are not.
+    return manifest.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(read, schema)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
