@@ -23,7 +23,7 @@ from fileledger.llm.linear import sigmoid, support_vector, with_intercept
 from fileledger.llm.rows import add_columns, table
 
 #: Most documents per language to learn from: a bound on what the fitting task holds.
-SAMPLE = 1200
+SAMPLE = 1000
 _WIDTH = 2048
 _GRAMS = (2, 3)
 _TEXTS_AT_ONCE = 256
@@ -128,16 +128,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
     The ids are chosen first, and only their texts read. One task fits the model; it holds `sample`
     feature rows of 8 KB per language. None if there is nothing to learn from.
     """
-    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("lang is not null and text is not null")
-    ids = rows.select("doc_id", "lang", hash_.alias("hash"))
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     chosen = (
-        # About twice the sample of each language is left by the hash, however many documents it has.
-        ids.join(sizes, "lang")
-        .filter(F.col("hash") * F.col("n") / (2 * sample) < 1 << 32)
+        rows.select("doc_id", "lang")
         .withColumn("place", F.row_number().over(by_hash))
         .filter(F.col("place") <= sample)
         .select("doc_id", "lang")

@@ -159,11 +159,8 @@ def learn(
     """
     marked = labels.select(F.col(doc_id).alias("doc_id"), *[c.cast("int").alias(f"c{k}") for k, c in enumerate(categories.values())])
     names = [f"c{k}" for k in range(len(categories))]
-    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     whole = marked.dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
-    # About twice the sample is left by the hash, however many labels there are.
-    below = int(min(1, 2 * sample / max(1, whole.count())) * (1 << 32))
-    chosen = whole.filter(hash_ < below).orderBy(hash_, "doc_id").limit(sample)
+    chosen = whole.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def describe(batch: pa.RecordBatch) -> list[pa.Array]:
