@@ -1,0 +1,62 @@
+"""Near copies of the pipeline against all pairs; the session comes from the tests above."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from fileledger.llm import near_copies
+
+
+def shingle_set(text: str | None) -> frozenset[bytes]:
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    root = {i: i for i, _ in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[k + 1 :]:
+            if x == y or 10 * len(x & y) >= 8 * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}
+
+
+def make_rows() -> list[tuple[int | None, str | None]]:
+    pick = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    texts: list[str | None] = [None, "", "  \n", "One two", "one  TWO", "one two three", "Über alles", "über alles"]
+    for _ in range(12):
+        base = pick.choices(words, k=pick.choice([40, 150, 400]))
+        for edits in range(14):
+            own = list(base)
+            for _ in range(len(base) * pick.randint(0, edits) // 140):
+                own[pick.randrange(len(own))] = pick.choice(words)
+            texts.append(" ".join(own))
+    texts += [" ".join(texts[-1].split()[:-k]) for k in (5, 30)] + [texts[-1]] * 40
+    order = list(range(len(texts)))
+    pick.shuffle(order)
+    rows = [(10 * i, texts[k]) for k, i in enumerate(order)]
+    return [*rows, rows[9], (rows[9][0], "something else of the same id"), (None, rows[9][1]), (None, None)]
+
+
+def test_near_copies_are_those_of_all_pairs(spark):
+    rows = make_rows()
+    named = [r for r in rows if r[0] is not None]
+    want = brute(named)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = near_copies.near_copies(docs.repartition(3)).collect()
+    assert len(found) == len(rows)
+    assert all(r.component_id == (None if r.doc_id is None else want[r.doc_id]) for r in found)
+    kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert {r.doc_id for r in kept if r.doc_id is not None} == {i for i, root in want.items() if i == root}
+    assert sum(r.doc_id is None for r in kept) == 2
+    assert near_copies.near_copies(docs.limit(0)).count() == 0
