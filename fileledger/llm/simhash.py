@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -179,13 +180,20 @@ def near_values(values: DataFrame, bits: int = MOST_BITS, blocks: int = 5, bucke
     """Links (a, b) between ids, by which all rows reach each other that chains of near rows join.
 
     `values` has `id` and 64-bit values in all other columns; rows are near if in one of these columns
-    they differ in at most `bits` bits. Each value goes to one bucket for every choice of `blocks` -
+    they differ in at most `bits` bits. With several columns, rows of one value in a column are linked to
+    the smallest of their ids, and only that one is dealt for it. With one column values are taken to be
+    distinct. Each value goes to one bucket for every choice of `blocks` -
     `bits` blocks; two values at most `bits` bits apart share one at least. With 5 blocks a bucket is
     named by 25 bits. A bucket of more than `bucket` values is not compared: its values are dealt
     again by 16 blocks, where 52 bits name a bucket, so that it can't hold more than 4096 different
     ones. In a bucket every pair is looked at by one task, but only links that join parts not joined
     yet are given out, less than the bucket has values.
     """
+    columns = [c for c in values.columns if c != "id"]
+    if len(columns) > 1:
+        each = [_distinct_values(values.select("id", F.col(c).alias("value"))) for c in columns]
+        links = [link for one, stars in each for link in (stars, near_values(one, bits, blocks, bucket))]
+        return reduce(DataFrame.unionByName, links)
     first = cut_lineage(_links_in_buckets(values, bits, blocks, bucket))
     again = first.filter("b is null").select(F.col("a").alias("id")).distinct()
     links = first.filter("b is not null")
@@ -195,6 +203,13 @@ def near_values(values: DataFrame, bits: int = MOST_BITS, blocks: int = 5, bucke
     return links
 
 
+def _distinct_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each value with the smallest id that has it, and links (a, b) from all ids to that one."""
+    least = cut_lineage(values.groupBy("value").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    stars = join_groups(values, least, "value", "n", "id").filter("id <> least")
+    return least.select(F.col("least").alias("id"), "value"), stars.select(F.col("id").alias("a"), F.col("least").alias("b"))
+
+
 def near_groups(
     fingerprinted: DataFrame,
     columns: Sequence[str] = ("fingerprint",),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from fileledger.llm import near_copies
+from fileledger.llm import near_copies, simhash
+from fileledger.llm.components import components
 
 
 def shingle_set(text: str | None) -> frozenset[bytes]:
@@ -60,3 +61,23 @@ def test_near_copies_are_those_of_all_pairs(spark):
     assert {r.doc_id for r in kept if r.doc_id is not None} == {i for i, root in want.items() if i == root}
     assert sum(r.doc_id is None for r in kept) == 2
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_a_value_of_many_rows_is_dealt_once(spark, monkeypatch):
+    pick = random.Random(6)
+    rows = [(i, 7 if i < 60 else pick.getrandbits(62), pick.getrandbits(62)) for i in range(90)]
+    rows += [(100, 7 ^ 5, rows[70][2]), (101, pick.getrandbits(62), rows[70][2] ^ 1)]
+    dealt = []
+    given = simhash._links_in_buckets
+
+    def counted(values, bits, blocks, most):
+        dealt.append(values.collect())
+        return given(values, bits, blocks, most)
+
+    monkeypatch.setattr(simhash, "_links_in_buckets", counted)
+    frame = spark.createDataFrame(rows, "id bigint, a bigint, b bigint")
+    found = {r.node: r.root for r in components(simhash.near_values(frame, bucket=3)).collect()}
+    assert found == {**{i: 0 for i in range(60)}, 70: 0, 100: 0, 101: 0}
+    # No value comes twice in one column, so that a bucket of 16 blocks can't grow with the rows.
+    for values in dealt:
+        assert all(len(set(column)) == len(values) for column in list(zip(*values))[1:])
