@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import decontamination, near_copies, pieces, repeated_bytes, toxicity
+from fileledger.llm import decontamination, pieces, repeated_bytes, simhash, toxicity
 from fileledger.llm.rows import table
 from fileledger.llm.shared_files import new_folder
 
@@ -28,13 +28,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Copies are near if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, told
-    by the sets themselves; copies of copies are in the group. Rows without id stay; of rows alike in
-    id and text one stays.
+    Copies are near if the SimHash fingerprints of their three-word shingles differ in at most three
+    bits; copies of copies are in the group, and texts without words are alike. Rows without id stay.
+    Of rows alike in id and text one stays, the smallest by its other columns.
     """
-    groups = near_copies.near_copies(docs)
+    groups = simhash.near_groups(simhash.fingerprints(docs, keep=["doc_id"]))
     gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "text", "__row.*")
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
