@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
@@ -26,54 +25,42 @@ _SHINGLES_AT_ONCE = 1 << 16
 BUCKET = 4096
 
 
-def fingerprint(text: bytes, size: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
-    """A bit is set if it is set in over half the hashes of the text's word shingles.
-
-    The first of `count` fingerprints is made from the hashes themselves, each further one from the
-    hashes mixed anew.
-    """
+def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
+    """A bit is set if it is set in over half the hashes of the text's word shingles."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: letters A to Z and white space of ASCII only
     if not words:
-        return [0] * count
+        return 0
     line = b" ".join(words)
     ends = np.cumsum([len(x) + 1 for x in words]) - 1
     starts = np.append(0, ends[:-1] + 1)
     shingles = max(1, len(words) - size + 1)
     starts, ends = starts[:shingles].tolist(), ends[-shingles:].tolist()
-    set_bits = np.zeros((count, 64), np.int64)
+    set_bits = np.zeros(64, np.int64)
     for at in range(0, shingles, _SHINGLES_AT_ONCE):
         part = range(at, min(shingles, at + _SHINGLES_AT_ONCE))
         hashes = np.fromiter(
             map(xxh64_intdigest, [line[starts[i] : ends[i]] for i in part], repeat(_SEED)), "<u8", len(part)
         )
-        for k in range(count):
-            with np.errstate(over="ignore"):
-                own = flat.mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else hashes
-            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            set_bits[k] += bits.sum(axis=0, dtype=np.int64)
-    return [int(x.view("<u8")[0]) for x in np.packbits(set_bits * 2 > shingles, axis=1, bitorder="little")]
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > shingles, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(
-    documents: DataFrame,
-    size: int = SHINGLE_WORDS,
-    text: str = "text",
-    columns: Sequence[str] = ("fingerprint",),
-    keep: Sequence[str] | None = None,
+    documents: DataFrame, size: int = SHINGLE_WORDS, text: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """Add a 64-bit SimHash of each text for each of `columns`, each from other hashes.
+    """Add `fingerprint`, a 64-bit SimHash of each whole text, however long.
 
     A text without words, empty or null, has fingerprint 0.
     """
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(text).cast(pa.binary()).fill_null(b"").to_pylist()
-        found = np.array([fingerprint(x, size, len(columns)) for x in texts], np.uint64).reshape(-1, len(columns))
-        return [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(len(columns))]
+        return [pa.array(np.array([fingerprint(x, size) for x in texts], np.uint64).view(np.int64))]
 
-    return add_columns(documents, [StructField(c, LongType()) for c in columns], compute, text, keep)
+    return add_columns(documents, [StructField("fingerprint", LongType())], compute, text, keep)
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -112,18 +99,9 @@ def _bucket_links(values: np.ndarray, ids: np.ndarray, bucket: np.ndarray, bits:
 
 def _links_in_buckets(values: DataFrame, bits: int, blocks: int, most: int | None) -> DataFrame:
     """Rows (a, b): links; with b null, values of buckets with over `most` of them."""
-    columns = [c for c in values.columns if c != "id"]
-    masks = block_masks(bits, blocks)
-    # One row for each column and mask; as a loop over an array, so that the code stays small.
-    literals = F.array(*[F.lit(_signed(m)) for m in masks])
-
-    def keys(n: int, column: str) -> Column:
-        return F.transform(
-            literals,
-            lambda m, k: F.struct(
-                (k + n * len(masks)).alias("k"), F.col(column).bitwiseAND(m).alias("key"), F.col(column).alias("value")
-            ),
-        )
+    # One row for each mask; as a loop over an array, so that the code stays small.
+    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(bits, blocks)])
+    keys = F.transform(masks, lambda m, k: F.struct(k.alias("k"), F.col("value").bitwiseAND(m).alias("key")))
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
@@ -168,8 +146,8 @@ def _links_in_buckets(values: DataFrame, bits: int, blocks: int, most: int | Non
         yield from settle(held)
 
     return (
-        values.select("id", F.explode(F.concat(*map(keys, range(len(columns)), columns))).alias("x"))
-        .select("x.k", "x.key", "x.value", "id")
+        values.select("id", "value", F.explode(keys).alias("x"))
+        .select("x.k", "x.key", "value", "id")
         .repartition("k", "key")
         .sortWithinPartitions("k", "key", "value", "id")
         .mapInArrow(link, "a bigint, b bigint")
@@ -177,23 +155,16 @@ def _links_in_buckets(values: DataFrame, bits: int, blocks: int, most: int | Non
 
 
 def near_values(values: DataFrame, bits: int = MOST_BITS, blocks: int = 5, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between ids, by which all rows reach each other that chains of near rows join.
-
-    `values` has `id` and 64-bit values in all other columns; rows are near if in one of these columns
-    they differ in at most `bits` bits. With several columns, rows of one value in a column are linked to
-    the smallest of their ids, and only that one is dealt for it. With one column values are taken to be
-    distinct. Each value goes to one bucket for every choice of `blocks` -
-    `bits` blocks; two values at most `bits` bits apart share one at least. With 5 blocks a bucket is
-    named by 25 bits. A bucket of more than `bucket` values is not compared: its values are dealt
-    again by 16 blocks, where 52 bits name a bucket, so that it can't hold more than 4096 different
-    ones. In a bucket every pair is looked at by one task, but only links that join parts not joined
-    yet are given out, less than the bucket has values.
+    """Links (a, b) between ids, by which all rows reach each other that chains of near values join.
+
+    `values` has `id` and `value`, 64 bits, no value twice; values are near if they differ in at most
+    `bits` bits. Each value goes to one bucket for every choice of `blocks` - `bits` blocks; two values
+    at most `bits` bits apart share one at least. With 5 blocks a bucket is named by 25 bits. A bucket
+    of more than `bucket` values is not compared: its values are dealt again by 16 blocks, where 52
+    bits name a bucket, so that it can't hold more than 4096 different ones. In a bucket every pair is
+    looked at by one task, but only links that join parts not joined yet are given out, less than the
+    bucket has values.
     """
-    columns = [c for c in values.columns if c != "id"]
-    if len(columns) > 1:
-        each = [_distinct_values(values.select("id", F.col(c).alias("value"))) for c in columns]
-        links = [link for one, stars in each for link in (stars, near_values(one, bits, blocks, bucket))]
-        return reduce(DataFrame.unionByName, links)
     first = cut_lineage(_links_in_buckets(values, bits, blocks, bucket))
     again = first.filter("b is null").select(F.col("a").alias("id")).distinct()
     links = first.filter("b is not null")
@@ -203,37 +174,28 @@ def near_values(values: DataFrame, bits: int = MOST_BITS, blocks: int = 5, bucke
     return links
 
 
-def _distinct_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each value with the smallest id that has it, and links (a, b) from all ids to that one."""
-    least = cut_lineage(values.groupBy("value").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    stars = join_groups(values, least, "value", "n", "id").filter("id <> least")
-    return least.select(F.col("least").alias("id"), "value"), stars.select(F.col("id").alias("a"), F.col("least").alias("b"))
-
-
-def near_groups(
-    fingerprinted: DataFrame,
-    columns: Sequence[str] = ("fingerprint",),
-    bits: int = MOST_BITS,
-    doc_id: str = "doc_id",
-) -> DataFrame:
+def near_groups(fingerprinted: DataFrame, bits: int = MOST_BITS, doc_id: str = "doc_id") -> DataFrame:
     """Add `component_id`: the smallest id reachable over fingerprints at most `bits` bits apart.
 
-    With several columns, two rows are linked if the fingerprints in any of them are. Takes a few
-    columns a row, not texts. Rows with equal fingerprints are one row, named by its smallest id, from
-    the first shuffle on, so a group of exact copies of any size is a single row; only at the end rows
-    meet their component, those of large groups in slices. Rows without fingerprint or without id
-    have a null component. Repeated rows stay; rows of one id are taken for one document.
+    Takes `fingerprint` and a few columns a row, not texts. Rows with equal fingerprints are one row,
+    named by its smallest id, from the first shuffle on, so a group of exact copies of any size is a
+    single row; only at the end rows meet their component, those of large groups in slices. Rows
+    without fingerprint or without id have a null component. Repeated rows stay; rows of one id are
+    taken for one document.
     """
-    rows = cut_lineage(fingerprinted.withColumn("__key", F.struct(*columns)))
-    whole = rows.filter(F.col(doc_id).isNotNull()).dropna(subset=list(columns))
-    values = cut_lineage(whole.groupBy("__key").agg(F.min(doc_id).alias("id"), F.count("*").alias("__n")))
-    found = cut_lineage(components(near_values(values.select("id", "__key.*"), bits)))
+    rows = cut_lineage(fingerprinted)
+    whole = rows.filter(F.col(doc_id).isNotNull() & F.col("fingerprint").isNotNull())
+    values = cut_lineage(
+        whole.groupBy("fingerprint").agg(F.min(doc_id).alias("id"), F.count("*").alias("__n"))
+    )
+    links = near_values(values.select("id", F.col("fingerprint").alias("value")), bits)
+    found = cut_lineage(components(links))
     named = values.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "__key", "__n", F.coalesce("root", "id").alias("component_id")
+        "fingerprint", "__n", F.coalesce("root", "id").alias("component_id")
     )
-    joined = join_groups(rows.drop("component_id"), named, "__key", "__n", doc_id, how="left")
+    joined = join_groups(rows.drop("component_id"), named, "fingerprint", "__n", doc_id, how="left")
     has_id = F.col(doc_id).isNotNull()
-    return joined.withColumn("component_id", F.when(has_id, F.col("component_id"))).drop("__key", "__n")
+    return joined.withColumn("component_id", F.when(has_id, F.col("component_id"))).drop("__n")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

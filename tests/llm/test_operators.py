@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from fileledger.llm import (
     decontamination,
@@ -290,7 +291,7 @@ def test_near_values(spark, bucket):
                 value ^= 1 << int(pick.integers(0, 64))
             values.append(value)
     values = np.unique(np.array(values, np.uint64))
-    frame = spark.createDataFrame([(k, int(v)) for k, v in enumerate(values.view(np.int64))], "id bigint, a bigint")
+    frame = spark.createDataFrame([(k, int(v)) for k, v in enumerate(values.view(np.int64))], "id bigint, value bigint")
     found = {r.node: r.root for r in components(simhash.near_values(frame, bucket=bucket)).collect()}
     assert [found.get(k, k) for k in range(len(values))] == brute_groups(values, 3)
 
@@ -326,6 +327,15 @@ def test_fingerprints_and_groups(documents, nothing):
         assert rows[k].component_id == least[g] or rows[k].doc_id == 210
     assert all(r.component_id is None for r in rows if r.doc_id is None)
     assert simhash.near_groups(simhash.fingerprints(nothing, keep=["doc_id"])).count() == 0
+    # The stage of the pipeline keeps the documents that name their group, and rows without id.
+    kept = corpus_pipeline.without_near_copies(documents.sparkSession, documents, "").collect()
+    first = {rows[k].doc_id for k in named if rows[k].component_id == rows[k].doc_id}
+    gone = {rows[k].doc_id for k in named} - first
+    assert not gone & {r.doc_id for r in kept}
+    assert first - {210} <= {r.doc_id for r in kept}
+    assert sum(r.doc_id is None for r in kept) == sum(i is None for i, _ in TEXTS)
+    assert all(sum(r.doc_id == i for r in kept) == 1 for i in first - {210})
+    assert corpus_pipeline.without_near_copies(documents.sparkSession, nothing, "").count() == 0
 
 
 # Consistent weighted sampling
