@@ -6,6 +6,8 @@ import corpus_pipeline
 from fileledger.llm.decontamination import SQL as CONTAMINATION_SQL
 from fileledger.llm.decontamination import op4_contamination
 from fileledger.llm.language import op3_language
+from fileledger.llm.license_scan import SQL as LICENSE_SCAN_SQL
+from fileledger.llm.license_scan import op12_license_scan
 from fileledger.llm.pieces import op7_pieces
 from fileledger.llm.repeated_bytes import SQL as REPEATED_BYTES_SQL
 from fileledger.llm.repeated_bytes import op5_repeated_bytes
@@ -30,6 +32,7 @@ LLM_QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_token_files": op10_token_files,
+    "op12_license_scan": op12_license_scan,
 }
 
 LLM_ORACLE = {
@@ -37,4 +40,5 @@ LLM_ORACLE = {
     "op4_contamination": CONTAMINATION_SQL,
     "op5_repeated_bytes": REPEATED_BYTES_SQL,
     "op6_tool_calls": TOOL_CALLS_SQL,
+    "op12_license_scan": LICENSE_SCAN_SQL,
 }
