@@ -19,6 +19,7 @@ from fileledger.llm.tool_calls import SQL as TOOL_CALLS_SQL
 from fileledger.llm.tool_calls import op6_tool_calls
 from fileledger.llm.toxicity import op1_toxicity
 from fileledger.llm.weighted_sampling import op9_weighted_fingerprints
+from fileledger.llm.whitening import op13_whitening
 
 LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -33,6 +34,7 @@ LLM_QUERIES = {
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_token_files": op10_token_files,
     "op12_license_scan": op12_license_scan,
+    "op13_whitening": op13_whitening,
 }
 
 LLM_ORACLE = {
