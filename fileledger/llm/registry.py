@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from fileledger.llm.alignment import op11_alignment
 from fileledger.llm.decontamination import SQL as CONTAMINATION_SQL
 from fileledger.llm.decontamination import op4_contamination
 from fileledger.llm.language import op3_language
@@ -33,6 +34,7 @@ LLM_QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_weighted_fingerprints": op9_weighted_fingerprints,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
     "op12_license_scan": op12_license_scan,
     "op13_whitening": op13_whitening,
 }
