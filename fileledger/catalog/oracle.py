@@ -203,12 +203,12 @@ ORDER BY total_size DESC, sha256, created NULLS FIRST, file_id""",
     "next_work_batch_large": f"""WITH {_LEDGER},
 queued AS (
   SELECT work_id, l.file_id, CASE WHEN work_id % 7 = 0 THEN NULL ELSE kind END AS kind,
-         CASE WHEN size IS NOT NULL THEN {_TIER} ELSE priority END AS priority
+         CASE WHEN work_id % 11 = 0 THEN NULL WHEN size IS NOT NULL THEN {_TIER} ELSE priority END AS priority
   FROM ledger l LEFT JOIN tiers USING (file_id)
   WHERE status IN ('pending', 'queued') OR (status = 'retry' AND attempts < max_attempts)
 )
 SELECT * FROM queued
-QUALIFY row_number() OVER (PARTITION BY kind ORDER BY priority DESC, work_id) <= 2000""",
+QUALIFY row_number() OVER (PARTITION BY kind ORDER BY priority DESC NULLS LAST, work_id) <= 2000""",
     "duplicate_report": f"""WITH {_files()}, {_copies()},
 paged AS (
   SELECT *, (place - 1) // 16 AS page FROM ranked JOIN groups USING (sha256)

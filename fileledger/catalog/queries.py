@@ -285,11 +285,13 @@ def next_work_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def next_work_batch_large(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch beyond what Spark limits by itself, with items whose kind is missing."""
+    """A batch beyond what Spark limits by itself, with items whose kind or priority is missing."""
     queued = ledger.promote(inputs.ledger(spark, sf)).drop("changed")
     ranked = ledger.prioritize(queued, inputs.sizes_of_all_tiers(spark, sf))
     kind = F.when(F.col("work_id") % 7 != 0, F.col("kind"))
-    return ledger.next_work_batch(ranked.withColumn("kind", kind), LARGE_BATCH).select(
+    priority = F.when(F.col("work_id") % 11 != 0, F.col("priority"))
+    open_items = ranked.withColumns({"kind": kind, "priority": priority})
+    return ledger.next_work_batch(open_items, LARGE_BATCH).select(
         "work_id", "file_id", "kind", "priority"
     )
 

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from fileledger.functions.sizes import size_priority
 from fileledger.functions.times import ntz
-from fileledger.operators.ordering import number_in_groups
+from fileledger.operators.heavy_keys import join_groups
+from fileledger.operators.selection import WINDOW_ROWS, last_of_first
 from fileledger.schema import DEFAULT_MAX_ATTEMPTS, KINDS, NEW_FILE_KINDS, STATUSES
+from fileledger.session import cut_lineage
 
 # Fixed value: message of a work item whose file the inventory does not have.
 NO_SUCH_FILE = "File not found in database"
@@ -110,23 +112,35 @@ def prioritize(ledger: DataFrame, inventory: DataFrame) -> DataFrame:
     return sized.select(*ledger.columns, "changed").unionByName(others)
 
 
-def next_work_batch(ledger: DataFrame, size: int = 100) -> DataFrame:
+def next_work_batch(ledger: DataFrame, size: int = 100, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """The next `size` queued items of each kind, highest priority first, lower id on ties.
 
-    Every kind there is counts, an unknown or missing one too. Each task first keeps its own best
-    rows, so a kind with most of the work still sends only `size` rows per task to the shuffle. For
-    a batch larger than Spark does this for, queued items are numbered by kind in sorted ranges; the
-    rows are the same, and no task gets a whole kind or a whole batch.
+    Every kind there is counts, an unknown or missing one too; a missing priority comes last. Ids are
+    unique. Each task first keeps its own best rows, so a kind with most of the work still sends only
+    `size` rows per task to the shuffle. For a batch larger than Spark does this for, the place of the
+    last item is found by counting (`selection.last_of_first`), first its priority, then, among items
+    of that priority, its id; the batch is what lies no further, and nothing is sorted or numbered.
+    Both forms give the same rows.
     """
     queued = ledger.filter(F.col("status") == "queued")
     threshold = ledger.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
     if size <= int(threshold):
-        order = [F.desc("priority"), F.asc("work_id")]
+        order = [F.desc_nulls_last("priority"), F.asc("work_id")]
         place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
         return queued.withColumn("_place", place).filter(F.col("_place") <= size).drop("_place")
-    keyed = queued.withColumns({"_kind": F.struct("kind"), "_last": -F.col("priority")})
-    numbered = number_in_groups(keyed, "_kind", ["_last", "work_id"], "_place", "work_id")
-    return numbered.filter(F.col("_place") <= size).select(*queued.columns)
+    # In a struct a missing kind is a key like any other; priorities are ints, so one more is last.
+    keyed = queued.withColumns(
+        {"_kind": F.struct("kind"), "_rank": F.coalesce(-F.col("priority").cast("bigint"), F.lit(2**31 + 1))}
+    )
+    slim = cut_lineage(keyed.select("_kind", "_rank", "work_id"))
+    ranks = last_of_first(slim.select("_kind", F.col("_rank").alias("value")), "_kind", F.lit(size), window_rows)
+    ranks = cut_lineage(ranks.select("_kind", "rows", F.col("last").alias("_last_rank"), (size - F.col("before")).alias("wanted")))
+    tied = join_groups(slim, ranks.drop("wanted"), "_kind", "rows", "work_id").filter("_rank = _last_rank")
+    wanted = ranks.select("_kind", "wanted")
+    ids = last_of_first(tied.select("_kind", F.col("work_id").alias("value")), "_kind", wanted, window_rows)
+    ends = ranks.join(ids.select("_kind", F.col("last").alias("_last_id")), "_kind")
+    met = join_groups(keyed, ends.select("_kind", "rows", "_last_rank", "_last_id"), "_kind", "rows", "work_id")
+    return met.filter("_rank < _last_rank or _rank = _last_rank and work_id <= _last_id").select(*queued.columns)
 
 
 def start_work(ledger: DataFrame, batch: DataFrame, worker: str, at: datetime) -> DataFrame:
