@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from fileledger.functions import attrs, names, sizes, text, times
 from fileledger.operators import duplicates, enrich, ledger, reports, scan
 from fileledger.operators.ordering import number_rows
 from fileledger.plans import clean, quarantine
-from fileledger.session import cut_lineage
+from fileledger.session import cut_lineage, shared_folder
 from fileledger.sources.reports import report_items
+from fileledger.sources.tables import write_bucketed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -255,6 +257,26 @@ def refresh_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return scan.refresh_inventory(files, inputs.listing_after_losses(spark, sf))
 
 
+def _bucketed(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The files as a table dealt by path into as many buckets as a shuffle has partitions."""
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    folder = f"{shared_folder(spark).rstrip('/')}/inventory-{uuid.uuid4().hex}"
+    return spark.table(write_bucketed(files, folder, buckets))
+
+
+def resume_new_files_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Against a known inventory in buckets: only the new listing is moved."""
+    found = scan.describe_files(inputs.listing(spark, sf))
+    known = _bucketed(spark, inputs.known_inventory(spark, sf).select("file_id", "path", "size"))
+    return scan.resume_new_files(found, known).select("path", "name", "ext", "size")
+
+
+def refresh_inventory_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """An inventory in buckets stays where it lies; the listing comes to it."""
+    files = _bucketed(spark, inputs.inventory(spark, sf).select("file_id", "path", "size"))
+    return scan.refresh_inventory(files, inputs.listing_after_losses(spark, sf))
+
+
 # Work ledger
 
 
@@ -449,6 +471,8 @@ QUERIES: dict[str, Query] = {
         append_twice,
         scan_totals,
         refresh_inventory,
+        resume_new_files_bucketed,
+        refresh_inventory_bucketed,
         work_fan_out,
         missing_work,
         size_tier_priority,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fileledger.functions.times import epoch_micros
 from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
+from fileledger.operators.membership import among
 from fileledger.operators.ordering import in_order, number_in_groups
+from fileledger.session import cut_lineage
 
 #: Files listed in one row of the nested report; a larger group continues on further rows.
 PAGE_FILES = 10_000
@@ -54,10 +56,16 @@ def _groups(inventory: DataFrame, min_size: int) -> DataFrame:
 
 
 def _with_keepers(groups: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Add what is told of the file to keep, looked up by id, one row per group."""
+    """Add what is told of the file to keep, looked up by id, one row per group.
+
+    The groups are written down. Then their keepers are known, and a filter of these ids keeps other
+    files from being shuffled for the lookup.
+    """
+    groups = cut_lineage(groups)
     keepers = inventory.select(
         F.col("file_id").alias("keeper_id"), F.col("size").alias("_size"), F.col("path").alias("keeper_path")
     )
+    keepers = among(keepers, "keeper_id", groups.select("keeper_id"), groups.count())
     return (
         groups.join(keepers, "keeper_id")
         .withColumn("wasted_size", F.col("total_size") - F.col("_size"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,33 @@ def read_inventory_jdbc(spark: SparkSession, url: str, table: str, **options: st
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def write_bucketed(inventory: DataFrame, path: str, buckets: int, name: str | None = None, mode: str = "error") -> str:
+    """Write an inventory dealt by path into sorted buckets; returns the table's name in the catalog.
+
+    Joins on the path then move the other side only, to as many partitions as there are buckets. Take at
+    least as many as `spark.sql.shuffle.partitions`; with fewer Spark may deal both sides anew. With
+    `mode` "append" rows are added to the buckets of a table written before. `path` is where the files
+    lie; another session finds them by `open_bucketed`.
+    """
+    name = name or f"inventory_{uuid.uuid4().hex}"
+    # Dealt first, so that a task writes whole buckets and not a file for each.
+    dealt = inventory.repartition(buckets, "path")
+    dealt.write.mode(mode).bucketBy(buckets, "path").sortBy("path").option("path", path).saveAsTable(name)
+    return name
+
+
+def open_bucketed(spark: SparkSession, path: str, buckets: int, layout: str = INVENTORY, name: str | None = None) -> DataFrame:
+    """The bucketed inventory at `path`, as written by `write_bucketed` with this number of buckets."""
+    name = name or f"inventory_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromDDL(layout))
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (path :path) "
+        f"CLUSTERED BY (path) SORTED BY (path) INTO {int(buckets)} BUCKETS",
+        args={"path": path},
+    )
+    return spark.table(name)
+
+
 def in_inventory_layout(files: DataFrame) -> DataFrame:
     """Exactly the inventory's columns, absent ones null."""
     layout = T.StructType.fromDDL(INVENTORY)
