@@ -385,4 +385,9 @@ HAVING count(*) > 10
 ORDER BY 1""",
 }
 # The same rows, from tables that lie otherwise.
-ORACLE |= {f"{name}_bucketed": ORACLE[name] for name in ("resume_new_files", "refresh_inventory")}
+ORACLE |= {
+    "resume_new_files_bucketed": ORACLE["resume_new_files"],
+    "refresh_inventory_bucketed": ORACLE["refresh_inventory"],
+    "metadata_search_postings": ORACLE["metadata_search"],
+    "metadata_search_postings_wildcard": ORACLE["metadata_search_wildcard"],
+}

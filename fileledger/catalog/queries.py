@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fileledger.catalog import inputs
 from fileledger.functions import attrs, names, sizes, text, times
-from fileledger.operators import duplicates, enrich, ledger, reports, scan
+from fileledger.operators import duplicates, enrich, ledger, reports, scan, search
 from fileledger.operators.ordering import number_rows
 from fileledger.plans import clean, quarantine
 from fileledger.session import cut_lineage, shared_folder
@@ -159,6 +159,24 @@ def metadata_search_wildcard(spark: SparkSession, sf: str) -> DataFrame:
     return reports.search_metadata(inputs.inventory(spark, sf), "_ation%,")
 
 
+def _search_with_postings(spark: SparkSession, sf: str, keyword: str, named: int) -> DataFrame:
+    files = inputs.inventory(spark, sf)
+    folder = f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    search.write_postings(files, folder)
+    postings = spark.read.schema("trigram string, file_id bigint").parquet(folder)
+    return search.search_with_postings(files, postings, keyword, named)
+
+
+def metadata_search_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates named to the scan."""
+    return _search_with_postings(spark, sf, "src1", search.NAMED)
+
+
+def metadata_search_postings_wildcard(spark: SparkSession, sf: str) -> DataFrame:
+    """More candidates than are named: they are joined."""
+    return _search_with_postings(spark, sf, "_ation%,", 0)
+
+
 # Scalars
 
 
@@ -459,6 +477,8 @@ QUERIES: dict[str, Query] = {
         empty_files,
         metadata_search,
         metadata_search_wildcard,
+        metadata_search_postings,
+        metadata_search_postings_wildcard,
         file_suffix,
         iso_times,
         url_suffix,

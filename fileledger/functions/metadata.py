@@ -77,6 +77,33 @@ def contains_patterns(keyword: str) -> tuple[str, str]:
     return found, found
 
 
+def literal_pieces(keyword: str) -> list[str]:
+    """The pieces of a LIKE keyword between its wildcards: a value like it holds each of them."""
+    pieces, rest = [""], iter(keyword)
+    for char in rest:
+        if char in "%_":
+            pieces.append("")
+        elif char == "\\":
+            # At the end it takes the wildcard that follows the keyword as a literal.
+            pieces[-1] += next(rest, "%")
+        else:
+            pieces[-1] += char
+    return [piece for piece in pieces if piece]
+
+
+def _unquoted(token: Column) -> Column:
+    """The text that a JSON string stands for."""
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    unescaped = F.get_json_object(F.concat(F.lit('{"a":'), token, F.lit("}")), "$.a")
+    return F.when(token.contains("\\"), unescaped).otherwise(plain)
+
+
+def string_values(document: Column) -> Column:
+    """All string values of a JSON document, at any depth, without keys."""
+    tokens = F.regexp_extract_all(document, F.lit(_STRING_TOKEN), F.lit(0))
+    return F.transform(F.filter(tokens, lambda token: ~token.endswith(":")), _unquoted)
+
+
 def has_value_like(document: Column, keyword: str) -> Column:
     """Some string value of the JSON document, at any depth, contains the keyword.
 
@@ -89,10 +116,7 @@ def has_value_like(document: Column, keyword: str) -> Column:
         return value.contains(keyword) if plain_keyword else value.rlike(pattern)
 
     def matches(token: Column) -> Column:
-        plain = F.substring(token, F.lit(2), F.length(token) - 2)
-        unescaped = F.get_json_object(F.concat(F.lit('{"a":'), token, F.lit("}")), "$.a")
-        value = F.when(token.contains("\\"), unescaped).otherwise(plain)
-        return like(value, value_pattern)
+        return like(_unquoted(token), value_pattern)
 
     def found_in(whole: Column) -> Column:
         tokens = F.regexp_extract_all(whole, F.lit(_STRING_TOKEN), F.lit(0))
