@@ -127,6 +127,18 @@ def test_bitmaps():
     assert seen == len(sets)
 
 
+def test_encoding_by_ranks_is_the_library(spark):
+    kit = alignment.Tokenizers(A, B)
+    assert kit._plain is not None
+    texts = [kit.a.joined(np.array([i])).tobytes().decode(errors="ignore") for i in range(len(kit.a.lengths))]
+    texts += [r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    texts += [x or "" for x in make_texts()] + ["ÀÿŁ ſ ǅ ɏ 5½ \u00a0 \u0085 x\u2028y", "don't I'LL we're 12a b3 !?  \n\n x"]
+    want = [x.ids for x in kit._a.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)]
+    assert kit.encode(texts)[0] == want
+    plain = [k for k, x in enumerate(texts) if not alignment._NEWER.search(x)]
+    assert len(plain) > 40_000 and [kit._plain(f" {texts[k]}") for k in plain] == [want[k] for k in plain]
+
+
 def test_long_text(spark):
     text = "".join(random.Random(1).choices("abcdefgh ", k=400_000))
     found = alignment.cross_alignment(spark.createDataFrame([(1, text, "", 0)], KIND), A, B).first()
