@@ -20,6 +20,7 @@ from fileledger.operators.enrich import (
     metadata_gate,
     outcomes_of,
 )
+from fileledger.operators import search
 from fileledger.operators.reports import (
     analyze,
     find_empty,
@@ -37,6 +38,7 @@ from fileledger.operators.scan import (
     scan_inventory,
     scan_totals,
 )
+from fileledger.operators.search import search_with_postings, write_postings
 from fileledger.plans.clean import clean_plan, clean_preview, clean_totals
 from fileledger.plans.quarantine import list_quarantine, quarantine_plan, restore_plan
 from fileledger.sources import content, directory, objects, sidecars, walk
@@ -44,7 +46,7 @@ from fileledger.sources.objects import hash_objects, list_objects
 from fileledger.sources.reports import read_report, report_items, write_report
 
 # The functions run inside tasks travel with the job, so executors need no copy of the package.
-for _module in (content, directory, objects, sidecars, text, walk):
+for _module in (content, directory, objects, search, sidecars, text, walk):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = [
@@ -84,5 +86,7 @@ __all__ = [
     "scan_inventory",
     "scan_totals",
     "search_metadata",
+    "search_with_postings",
+    "write_postings",
     "write_report",
 ]

@@ -163,7 +163,7 @@ def _search_with_postings(spark: SparkSession, sf: str, keyword: str, named: int
     files = inputs.inventory(spark, sf)
     folder = f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
     search.write_postings(files, folder)
-    postings = spark.read.schema("trigram string, file_id bigint").parquet(folder)
+    postings = spark.read.schema(search.POSTINGS).parquet(folder)
     return search.search_with_postings(files, postings, keyword, named)
 
 

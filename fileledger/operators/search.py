@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,37 +14,70 @@ from fileledger.operators.membership import among
 from fileledger.operators.reports import search_metadata
 from fileledger.session import cut_lineage
 
+POSTINGS = "trigram int, file_id bigint"
 #: A keyword is looked up by so many of its trigrams, the rarest.
 LOOKED_UP = 4
 #: Up to so many candidates are named to the scan of the inventory one by one.
 NAMED = 1000
-# Three characters from each place on.
-_EACH_PLACE = "(?s)(?=(.{3}))"
+#: Postings of a trigram are spread by ranges of 2^20 ids.
+_RANGE_BITS = 20
+_BYTES_AT_ONCE = 4 << 20
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Each three bytes in a row as one number."""
+    wide = data.astype(np.int32)
+    return wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(trigram, file_id) of batches (file_id, value), each once for the values that are looked at together."""
+    for batch in batches:
+        values = batch.column(1).cast(pa.large_binary())
+        offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+        ids, start = batch.column(0).to_numpy(), 0
+        first = np.maximum.accumulate(np.where(np.append(True, ids[1:] != ids[:-1]), np.arange(len(ids)), 0)) if len(ids) else ids
+        while start < len(values):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _BYTES_AT_ONCE, "right")) - 1)
+            stop = min(stop, len(values))
+            low, high = int(offsets[start]), int(offsets[stop])
+            if high - low >= 3:
+                codes = _codes(np.frombuffer(values.buffers()[2], np.uint8)[low:high])
+                value = np.repeat(np.arange(start, stop), np.diff(offsets[start : stop + 1]))
+                inside = value[:-2] == value[2:]
+                # A file's values follow each other.
+                found = np.unique(first[value[:-2][inside]] << 24 | codes[inside])
+                ids = batch.column(0).take(pa.array(found >> 24))
+                yield pa.RecordBatch.from_arrays([pa.array((found & 0xFFFFFF).astype(np.int32)), ids], ["trigram", "file_id"])
+            start = stop
 
 
 def trigrams(inventory: DataFrame) -> DataFrame:
-    """(trigram, file_id): the trigrams in the string values of each file's metadata, each once."""
-    each = F.transform(
-        metadata.string_values(F.col("metadata")),
-        lambda value: F.regexp_extract_all(value, F.lit(_EACH_PLACE), F.lit(1)),
+    """(trigram, file_id): the trigrams, of bytes, in the string values of each file's metadata.
+
+    Values are found by Spark's functions and cut into trigrams a few MB at a time. A trigram may come
+    again for a file with very many or long values. Rows without metadata or id have none.
+    """
+    values = inventory.filter("file_id is not null").select(
+        "file_id", F.explode(metadata.string_values(F.col("metadata"))).alias("value")
     )
-    held = F.array_distinct(F.flatten(F.array_compact(each)))
-    return inventory.select("file_id", F.explode(held).alias("trigram")).select("trigram", "file_id")
+    return values.filter("octet_length(value) > 2").mapInArrow(_post, POSTINGS)
 
 
 def write_postings(inventory: DataFrame, path: str, mode: str = "error") -> None:
-    """Write the trigrams in order, so that a look at one reads the row groups that hold it.
+    """Write the trigrams, sorted in each file of the table, so that a look at one reads few pages.
 
-    For files added later append their postings; those of files that are gone do no harm. A trigram of
-    very many files takes several files of the table, cut by file id.
+    For files added later append their postings; those of files that are gone do no harm. A trigram
+    of very many files is spread by ranges of ids.
     """
-    posted = trigrams(inventory).repartitionByRange("trigram", "file_id")
-    posted.sortWithinPartitions("trigram", "file_id").write.mode(mode).parquet(path)
+    spread = trigrams(inventory).repartition("trigram", F.shiftright("file_id", _RANGE_BITS))
+    spread.sortWithinPartitions("trigram", "file_id").write.mode(mode).parquet(path)
 
 
-def needed_trigrams(keyword: str) -> list[str]:
+def needed_trigrams(keyword: str) -> list[int]:
     """The trigrams that any value like the keyword holds; none if its pieces are too short."""
-    return sorted({p[k : k + 3] for p in metadata.literal_pieces(keyword) for k in range(len(p) - 2)})
+    raw = [np.frombuffer(piece.encode(), np.uint8) for piece in metadata.literal_pieces(keyword)]
+    return sorted({int(code) for piece in raw if len(piece) > 2 for code in _codes(piece)})
 
 
 def candidates(postings: DataFrame, keyword: str, looked_up: int = LOOKED_UP) -> DataFrame | None:
@@ -66,7 +103,7 @@ def search_with_postings(
     Postings name the files that hold the rarest trigrams of the keyword; those few are tested by
     their documents. Up to `named` ids go into the scan's filter, which skips row groups and pages
     without them where the inventory lies in the order of ids; more are a filter of ids at the scan
-    and a join. Keywords without three letters between wildcards are searched the plain way.
+    and a join. Keywords without three bytes in a row between wildcards are searched the plain way.
     """
     found = candidates(postings, keyword, looked_up)
     if found is None:
