@@ -65,7 +65,7 @@ def _with_keepers(groups: DataFrame, inventory: DataFrame) -> DataFrame:
     keepers = inventory.select(
         F.col("file_id").alias("keeper_id"), F.col("size").alias("_size"), F.col("path").alias("keeper_path")
     )
-    keepers = among(keepers, "keeper_id", groups.select("keeper_id"), groups.count())
+    keepers = among(keepers, "keeper_id", groups.select("keeper_id"))
     return (
         groups.join(keepers, "keeper_id")
         .withColumn("wasted_size", F.col("total_size") - F.col("_size"))

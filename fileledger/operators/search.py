@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.functions import metadata
-from fileledger.operators.membership import among
+from fileledger.operators.membership import NAMED, among
 from fileledger.operators.reports import search_metadata
 from fileledger.session import cut_lineage
 
 POSTINGS = "trigram int, file_id bigint"
 #: A keyword is looked up by so many of its trigrams, the rarest.
 LOOKED_UP = 4
-#: Up to so many candidates are named to the scan of the inventory one by one.
-NAMED = 1000
 #: Postings of a trigram are spread by ranges of 2^20 ids.
 _RANGE_BITS = 20
 _BYTES_AT_ONCE = 4 << 20
@@ -101,17 +99,12 @@ def search_with_postings(
     """The same rows as `search_metadata`, looking at the documents of candidates only.
 
     Postings name the files that hold the rarest trigrams of the keyword; those few are tested by
-    their documents. Up to `named` ids go into the scan's filter, which skips row groups and pages
-    without them where the inventory lies in the order of ids; more are a filter of ids at the scan
-    and a join. Keywords without three bytes in a row between wildcards are searched the plain way.
+    their documents. The scan of the inventory is told their ids (`among`); up to `named` of them let it skip
+    row groups and pages, where the inventory lies in the order of ids. Keywords without three bytes in a row between wildcards are searched the plain way.
     """
     found = candidates(postings, keyword, looked_up)
     if found is None:
         return search_metadata(inventory, keyword)
     found = cut_lineage(found)
-    count = found.count()
-    if count <= named:
-        files = inventory.filter(F.col("file_id").isin([r[0] for r in found.collect()]))
-    else:
-        files = among(inventory, "file_id", found, count).join(found, "file_id", "left_semi")
+    files = among(inventory, "file_id", found, named).join(found, "file_id", "left_semi")
     return search_metadata(files, keyword)
