@@ -8,14 +8,19 @@ at their old place follows from `labels`.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.functions import text
 from fileledger.operators.enrich import hash_content
 from fileledger.operators.scan import describe_files
+from fileledger.session import shared_folder
 
 AS_OF = datetime(2026, 1, 1)
 QUARANTINE_ROOT = "/quarantine"
@@ -218,3 +223,31 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(failed, F.lit("failed")).alias("message"),
         )
     )
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write every file's content below the shared folder, by its id; returns the directory.
+
+    The tasks write with plain file calls, so the shared folder has to be mounted on all executors.
+    """
+    shared = shared_folder(spark)
+    if "://" in shared or not shared.startswith(("/", "file:")):
+        scheme, _, rest = shared.partition("://")
+        if scheme != "file":
+            raise ValueError("files can be written to a mounted folder only")
+        shared = "/" + rest.lstrip("/")
+    root = f"{shared.removeprefix('file:').rstrip('/')}/files-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = f"{root}/{number % 97}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/.{number}-{os.getpid()}", "wb") as file:
+                    file.write(body or b"")
+                os.replace(file.name, f"{folder}/{number}")
+            yield pa.RecordBatch.from_pydict({"file_id": batch.column(0)})
+
+    files = contents(spark, sf_dir).select("file_id", F.col("content").cast("binary"))
+    files.repartition("file_id").mapInArrow(write, "file_id bigint").write.format("noop").mode("overwrite").save()
+    return root

@@ -172,6 +172,11 @@ ORDER BY path"""
 
 ORACLE: dict[str, str] = {
     "content_hash": f"WITH {_files()} SELECT file_id, path, sha256 FROM files",
+    "files_on_disk": f"""WITH {_files()}
+SELECT file_id, size, sha256, CAST(NULL AS VARCHAR) AS error FROM files WHERE size >= 4096""",
+    "copies_on_disk": f"""WITH {_files()}
+SELECT file_id, sha256, copies
+FROM (SELECT file_id, sha256, count(*) OVER (PARTITION BY sha256) AS copies FROM files) WHERE copies > 1""",
     "text_stats": f"SELECT doc_id, {_TEXT.format(t='text')} FROM documents",
     "text_stats_pages": f"SELECT page_id, {_TEXT.format(t='html')} FROM pages",
     "text_stats_conversations": (

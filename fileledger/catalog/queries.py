@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from fileledger.catalog import inputs
 from fileledger.functions import attrs, names, sizes, text, times
 from fileledger.operators import duplicates, enrich, ledger, reports, scan, search
+from fileledger.operators.heavy_keys import join_groups
 from fileledger.operators.ordering import number_rows
 from fileledger.plans import clean, quarantine
 from fileledger.session import cut_lineage, shared_folder
+from fileledger.sources.directory import list_where
 from fileledger.sources.reports import report_items
 from fileledger.sources.tables import write_bucketed
 
@@ -21,6 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 LARGE_BYTES = 8192
 GATE_CAP = 16384
+DISK_BYTES = 4096
+#: Small enough that most files of the test data are longer than two blocks.
+DISK_BLOCK = 512
 WORK_BATCH = 100
 LARGE_BATCH = 2000
 #: Small enough that the largest groups of the test data go on to a second row.
@@ -38,6 +43,28 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("file_id", "path", "sha256")
 
 
+def _on_disk(spark: SparkSession, sf: str, **bounds) -> DataFrame:
+    """(file_id, path, size) of the contents written as files, listed by the directory source."""
+    listing = list_where(spark, inputs.written_files(spark, sf), **bounds)
+    described = scan.describe_files(listing)
+    return described.select(F.col("name").cast("bigint").alias("file_id"), "path", "size")
+
+
+def files_on_disk(spark: SparkSession, sf: str) -> DataFrame:
+    """Real files of at least so many bytes, judged where they lie, and the hash of each."""
+    files = cut_lineage(_on_disk(spark, sf, min_size=DISK_BYTES))
+    hashed = enrich.hash_files(files).select("file_id", "sha256", "error")
+    return files.select("file_id", "size").join(hashed, "file_id")
+
+
+def copies_on_disk(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies among real files, hashed stage by stage: each file that has one."""
+    files = cut_lineage(_on_disk(spark, sf))
+    hashed = cut_lineage(enrich.hash_in_stages(files, block=DISK_BLOCK).filter("sha256 is not null"))
+    shared = hashed.groupBy("sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return join_groups(hashed, shared, "sha256", "copies", "file_id").select("file_id", "sha256", "copies")
+
+
 def merged_results(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes and metadata of two jobs, each in rows of its own, folded back into the inventory."""
     files = inputs.inventory(spark, sf).select("file_id", "path", "sha256", "metadata")
@@ -457,6 +484,8 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         content_hash,
+        files_on_disk,
+        copies_on_disk,
         merged_results,
         text_stats,
         text_stats_pages,

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fileledger.functions import metadata, names, text
+from fileledger.operators.duplicates import files_sharing_a_size
+from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
+from fileledger.session import cut_lineage
 from fileledger.sources import content
 
 
@@ -26,6 +29,36 @@ def hash_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return content.hash_mounted(files, tasks)
 
 
+def hash_in_stages(
+    files: DataFrame, tasks: int | None = None, block: int = content.EDGE_BYTES, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """(file_id, sha256, bytes_read, error): hashes of all files that may have a copy.
+
+    A file whose size no other has is not opened. Of the others the first and last block are read,
+    and only files that are still alike in size and blocks are read whole; small ones are already.
+    Files told apart have no hash and no error. So copies are those that hashing everything would find, as
+    long as files have the size in the inventory; one whose size is unknown is read whole. Results of
+    each stage are written down, and large groups are spread over slices. Ids are unique.
+    """
+    known = files.select("file_id", "path", "size")
+    sized = known.filter(F.col("size").isNotNull())
+    shared = cut_lineage(files_sharing_a_size(sized, slice_rows))
+    edges = cut_lineage(content.edges_mounted(shared, tasks, block).join(shared.select("file_id", "path", "size"), "file_id"))
+    alike = edges.filter("edges is not null and sha256 is null").withColumn("key", F.struct("size", "edges"))
+    groups = alike.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = join_groups(alike, groups, "key", "n", "file_id", slice_rows=slice_rows).select("file_id", "path", "size")
+    unknown = known.filter(F.col("size").isNull())
+    whole = cut_lineage(content.whole_mounted(cut_lineage(again.unionByName(unknown)), tasks))
+    late = whole.select("file_id", F.struct("sha256", "bytes_read", "error").alias("late"))
+    early = edges.select("file_id", F.struct("sha256", "bytes_read", "error").alias("early"))
+    opened = known.select("file_id").join(early, "file_id", "left").join(late, "file_id", "left")
+    read = F.coalesce("early.bytes_read", F.lit(0)) + F.coalesce("late.bytes_read", F.lit(0))
+    return opened.select(
+        "file_id", F.coalesce("late.sha256", "early.sha256").alias("sha256"), read.cast("bigint").alias("bytes_read"),
+        F.coalesce("late.error", "early.error").alias("error"),
+    )
+
+
 def metadata_gate(
     inventory: DataFrame,
     types: Sequence[str] = metadata.DEFAULT_TYPES,

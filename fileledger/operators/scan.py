@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger.functions import attrs, names, times
@@ -16,8 +17,9 @@ from fileledger.sources.tables import in_inventory_layout, read_inventory, table
 
 
 def _accepted(follow_symlinks: bool):
+    """True for what is taken in; null, which a filter takes for false, where that is not known."""
     regular = F.col("is_file") & F.col("error").isNull()
-    return F.coalesce(regular if follow_symlinks else regular & ~F.col("is_symlink"), F.lit(False))
+    return regular if follow_symlinks else regular & ~F.col("is_symlink")
 
 
 def describe_files(
@@ -54,7 +56,7 @@ def scan_inventory(
 
 def rejected_files(listing: DataFrame, follow_symlinks: bool = False) -> DataFrame:
     """What `scan_inventory` leaves out, and why."""
-    return listing.filter(~_accepted(follow_symlinks)).select(
+    return listing.filter(~F.coalesce(_accepted(follow_symlinks), F.lit(False))).select(
         "path",
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("is_file"), F.lit("symbolic link"))
@@ -110,6 +112,42 @@ def append_inventory(
     return numbered
 
 
+@dataclass(frozen=True)
+class ScanResult:
+    """What a scan saw: all files and their bytes, when it ran, and the rows it added."""
+
+    total_files: int
+    total_bytes: int
+    started: datetime
+    ended: datetime
+    added: DataFrame
+
+    @property
+    def duration_seconds(self) -> float:
+        return (self.ended - self.started).total_seconds()
+
+
+def scan_into(
+    files: DataFrame, path: str, ingested_at: datetime | None = None, clock: Callable[[], datetime] = datetime.now
+) -> ScanResult:
+    """Append new files like `append_inventory`, and tell what was seen.
+
+    Files and bytes are counted while the rows pass, in the job that appends them, so nothing is read
+    a second time for it. The totals are those of `scan_totals(files)`.
+    """
+    seen = Observation()
+    # A row that is no file, so that Spark does not leave out a count of what it knows to be empty.
+    mark = files.sparkSession.range(1).select(F.when(F.col("id") == 0, True).alias("_mark"))
+    marked = files.withColumn("_mark", F.lit(None).cast("boolean")).unionByName(mark, allowMissingColumns=True)
+    counts = F.count_if(F.col("_mark").isNull()).alias("files"), F.sum("size").alias("bytes")
+    counted = marked.observe(seen, *counts).filter("_mark is null").drop("_mark")
+    started = clock()
+    added = append_inventory(counted, path, ingested_at)
+    ended = clock()
+    totals = seen.get
+    return ScanResult(totals["files"], totals["bytes"] or 0, started, ended, added)
+
+
 def refresh_inventory(inventory: DataFrame, listing: DataFrame) -> DataFrame:
     """Inventory rows whose file a fresh listing still shows."""
     present = listing.filter("is_file").select("path")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Callable, Iterator, Mapping
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,10 @@ from fileledger.operators.ordering import number_rows
 # Fixed value: bytes read at a time; digests do not depend on it.
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 64 << 20
+#: Files are told apart by their first and last block of this size before they are read whole.
+EDGE_BYTES = 64 << 10
+#: Files a task has open at once, so that it reads one while it waits for another.
+PREFETCH = 4
 
 
 def spread_by_path(files: DataFrame, tasks: int | None) -> DataFrame:
@@ -42,36 +48,76 @@ def spread_by_size(files: DataFrame, row_id: str, tasks: int | None) -> DataFram
 
 
 def sha256_of_file(path: str) -> str:
-    digest = hashlib.sha256()
+    return whole_file(path)["sha256"]
+
+
+def edges_of_file(path: str, block: int = EDGE_BYTES) -> dict:
+    """A digest of a file's first and last block, and the bytes read for it.
+
+    A file of up to two blocks is read whole, so its `sha256` is known as well.
+    """
+    with open(path, "rb") as stream:
+        head = stream.read(block)
+        size = os.fstat(stream.fileno()).st_size
+        if size > 2 * block:
+            stream.seek(size - block)
+            tail = stream.read(block)
+        else:
+            tail = stream.read()
+    digest = hashlib.sha256(head + tail).hexdigest()
+    whole = digest if size <= 2 * block and len(head) + len(tail) == size else None
+    return {"edges": digest, "sha256": whole, "bytes_read": len(head) + len(tail)}
+
+
+def whole_file(path: str) -> dict:
+    digest, size = hashlib.sha256(), 0
     with open(path, "rb") as stream:
         while chunk := stream.read(CHUNK_BYTES):
             digest.update(chunk)
-    return digest.hexdigest()
+            size += len(chunk)
+    return {"sha256": digest.hexdigest(), "bytes_read": size}
 
 
 def _message(problem: Exception, path: str) -> str:
     return f"File not found: {path}" if isinstance(problem, FileNotFoundError) else str(problem)
 
 
+def in_advance(work: Callable[[str], dict], paths: Iterable[str], most: int) -> Iterator[tuple[dict, str | None]]:
+    """(result, None) or ({}, message) for each path in turn, with up to `most` of them worked on at once."""
+
+    def one(path: str) -> tuple[dict, str | None]:
+        try:
+            return work(path), None
+        except Exception as problem:  # a broken file must not end the job
+            return {}, _message(problem, path)
+
+    if most < 2:
+        yield from map(one, paths)
+        return
+    with ThreadPoolExecutor(most) as pool:
+        waiting: deque = deque()
+        for path in paths:
+            waiting.append(pool.submit(one, path))
+            if len(waiting) >= most:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def enrich_files(
-    files: DataFrame, work: Callable[[str], dict], columns: str, tasks: int | None = None
+    files: DataFrame, work: Callable[[str], dict], columns: str, tasks: int | None = None, prefetch: int = 1
 ) -> DataFrame:
     """Run `work` on the path of every file: (file_id, the columns it gives, error).
 
-    A file on which it fails has nulls and the message; the job goes on.
+    A file on which it fails has nulls and the message; the job goes on. With `prefetch` a task works
+    on as many files at once, in threads.
     """
     given = T.StructType.fromDDL(columns).names
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results, errors = [], []
-            for path in batch["path"]:
-                try:
-                    results.append(work(path))
-                    errors.append(None)
-                except Exception as problem:  # a broken file must not end the job
-                    results.append({})
-                    errors.append(_message(problem, path))
+            found = list(in_advance(work, batch["path"], prefetch))
+            results, errors = [r for r, _ in found], [e for _, e in found]
             yield pd.DataFrame(
                 {
                     "file_id": batch["file_id"],
@@ -92,10 +138,21 @@ def enrich_files(
 def hash_mounted(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """(file_id, sha256, error) for files the executors can open; any size, empty and hidden too."""
     return enrich_files(
-        files, lambda path: {"sha256": sha256_of_file(path)}, "sha256 string", tasks
+        files, lambda path: {"sha256": sha256_of_file(path)}, "sha256 string", tasks, PREFETCH
     )
 
 
+def edges_mounted(files: DataFrame, tasks: int | None = None, block: int = EDGE_BYTES) -> DataFrame:
+    """(file_id, edges, sha256, bytes_read, error) from the first and last block of each file."""
+    columns = "edges string, sha256 string, bytes_read bigint"
+    return enrich_files(files, lambda path: edges_of_file(path, block), columns, tasks, PREFETCH)
+
+
+def whole_mounted(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(file_id, sha256, bytes_read, error) from each whole file."""
+    return enrich_files(files, whole_file, "sha256 string, bytes_read bigint", tasks, PREFETCH)
+
+
 def read_mounted(
     files: DataFrame,
     size_cap: int,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime, timezone
 from itertools import islice
 
 import pandas as pd
@@ -14,16 +16,66 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
     DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
 )
 
 from fileledger.schema import LISTING
 from fileledger.session import cut_lineage
-from fileledger.sources.walk import open_directory, plan_subtrees, stat_row, walk
+from fileledger.sources.walk import on_the_way, open_directory, plan_subtrees, stat_row, walk
 
 FORMAT = "file_inventory"
 
 
+_COLUMNS = [field.split()[0] for field in LISTING.split(", ")]
+
+_TESTS: dict[type, Callable] = {
+    EqualTo: operator.eq,
+    GreaterThan: operator.gt,
+    GreaterThanOrEqual: operator.ge,
+    LessThan: operator.lt,
+    LessThanOrEqual: operator.le,
+    In: lambda value, values: value in values,
+    StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith,
+    StringContains: operator.contains,
+}
+
+
+def _judge(condition: Filter, row: tuple) -> bool | None:
+    """What SQL says of the condition; None is unknown."""
+    if isinstance(condition, Not):
+        found = _judge(condition.child, row)
+        return None if found is None else not found
+    value = row[_COLUMNS.index(condition.attribute[0])]
+    if isinstance(condition, (IsNull, IsNotNull)):
+        return (value is None) == isinstance(condition, IsNull)
+    if value is None or condition.value is None:
+        return None
+    return _TESTS[type(condition)](value, condition.value)
+
+
+def _judged_here(condition: Filter) -> bool:
+    if isinstance(condition, Not):
+        return _judged_here(condition.child)
+    if type(condition) not in {*_TESTS, IsNull, IsNotNull} or condition.attribute[0] not in _COLUMNS:
+        return False
+    # A null among the values would make what is in none of them unknown.
+    return not isinstance(condition, In) or None not in condition.value
+
+
 class Subtree(InputPartition):
     """A directory to list, with or without what lies below its sub-directories.
 
@@ -65,11 +117,39 @@ class _Planning:
 
 
 class TreeReader(_Planning, DataSourceReader):
+    """Conditions on any column are judged where the files lie: rows they reject are not sent. Those on
+    the path alone go first, without looking at the file, and directories off the beginning of a path are not opened."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.of_path: list[Filter] = []
+        self.others: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for condition in filters:
+            if not _judged_here(condition):
+                yield condition
+            elif getattr(condition, "attribute", None) == ("path",):
+                self.of_path.append(condition)
+            else:
+                self.others.append(condition)
+
+    def _prefix(self) -> str:
+        """What all wanted paths begin with, as far as a single condition tells."""
+        known = [c.value for c in self.of_path if isinstance(c, (StringStartsWith, EqualTo))]
+        return max(known, key=len, default="")
+
     def partitions(self):
-        return self.subtrees()
+        prefix = self._prefix()
+        return [s for s in self.subtrees() if on_the_way(s.directory, prefix)]
 
     def read(self, partition):
-        return partition.rows()
+        blank = (None,) * (len(_COLUMNS) - 1)
+        for path, error, _ in walk(partition.directory, partition.deep, prefix=self._prefix()):
+            if all(_judge(c, (path, *blank)) for c in self.of_path):
+                row = stat_row(path, error)
+                if all(_judge(c, row) for c in self.others):
+                    yield row
 
 
 class ChangedFilesReader(_Planning, DataSourceStreamReader):
@@ -122,9 +202,45 @@ class FileInventorySource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session, and let Spark push conditions to it, which it requires."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileInventorySource)
 
 
+def list_where(
+    spark: SparkSession,
+    root: str,
+    *,
+    min_size: int | None = None,
+    max_size: int | None = None,
+    accessed_before: datetime | None = None,
+    modified_after: datetime | None = None,
+    below: str | None = None,
+) -> DataFrame:
+    """List what lies below `root` and is within the bounds, judged by the tasks that look at the files.
+
+    Sizes include the bounds, times (UTC) don't; `below` is a directory. Entries without the value that
+    a bound is about, as those that could not be looked at, are left out.
+    """
+    register(spark)
+    listing = spark.read.format(FORMAT).load(root)
+
+    def epoch(at: datetime) -> float:
+        return at.replace(tzinfo=timezone.utc).timestamp()
+
+    bounds = [
+        (min_size, lambda: F.col("size") >= min_size),
+        (max_size, lambda: F.col("size") <= max_size),
+        (accessed_before, lambda: F.col("atime") < epoch(accessed_before)),
+        (modified_after, lambda: F.col("mtime") > epoch(modified_after)),
+        (below, lambda: F.col("path").startswith(below.rstrip("/") + "/")),
+    ]
+    for bound, condition in bounds:
+        if bound is not None:
+            listing = listing.filter(condition())
+    return listing
+
+
 FRAME_ROWS = 10_000
 
 

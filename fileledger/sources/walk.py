@@ -31,11 +31,15 @@ def changed_after(directory: str, moment: float | None) -> bool:
 
 
 def walk(
-    directory: str, deep: bool = True, renewed: bool = False, after: float | None = None
+    directory: str,
+    deep: bool = True,
+    renewed: bool = False,
+    after: float | None = None,
+    prefix: str = "",
 ) -> Iterator[tuple[str, str | None, bool]]:
     """Everything below a directory that is no directory: (path, error, renewed).
 
-    Flat if not `deep`. `renewed` tells that a directory on the way changed after `after`: a file
+    Flat if not `deep`. Directories that hold no path beginning with `prefix` are not opened. `renewed` tells that a directory on the way changed after `after`: a file
     in a directory that was moved does not look changed itself.
     """
     waiting = [(directory, renewed)]
@@ -48,7 +52,15 @@ def walk(
         except OSError as problem:
             yield current, str(problem), new
         if deep:
-            waiting.extend((folder, new or changed_after(folder, after)) for folder in folders)
+            waiting.extend(
+                (folder, new or changed_after(folder, after)) for folder in folders if on_the_way(folder, prefix)
+            )
+
+
+def on_the_way(directory: str, prefix: str) -> bool:
+    """Whether paths below the directory may begin with the prefix."""
+    below = directory.rstrip("/") + "/"
+    return below.startswith(prefix) or prefix.startswith(below)
 
 
 def stat_row(path: str, error: str | None = None) -> tuple:
