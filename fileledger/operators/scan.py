@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,15 +137,16 @@ def scan_into(
     a second time for it. The totals are those of `scan_totals(files)`.
     """
     seen = Observation()
-    # A row that is no file, so that Spark does not leave out a count of what it knows to be empty.
-    mark = files.sparkSession.range(1).select(F.when(F.col("id") == 0, True).alias("_mark"))
-    marked = files.withColumn("_mark", F.lit(None).cast("boolean")).unionByName(mark, allowMissingColumns=True)
-    counts = F.count_if(F.col("_mark").isNull()).alias("files"), F.sum("size").alias("bytes")
-    counted = marked.observe(seen, *counts).filter("_mark is null").drop("_mark")
+    counted = files.observe(seen, F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     started = clock()
     added = append_inventory(counted, path, ingested_at)
     ended = clock()
-    totals = seen.get
+    try:
+        totals = seen.get
+    except Py4JJavaError:
+        # Spark leaves the count out together with rows it knows to be none.
+        total = scan_totals(files).first()
+        totals = {"files": total["total_files"], "bytes": total["total_bytes"]}
     return ScanResult(totals["files"], totals["bytes"] or 0, started, ended, added)
 
 
