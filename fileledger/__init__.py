@@ -41,12 +41,12 @@ from fileledger.operators.scan import (
 from fileledger.operators.search import search_with_postings, write_postings
 from fileledger.plans.clean import clean_plan, clean_preview, clean_totals
 from fileledger.plans.quarantine import list_quarantine, quarantine_plan, restore_plan
-from fileledger.sources import content, directory, objects, sidecars, walk
+from fileledger.sources import content, directory, json_arrays, objects, sidecars, walk
 from fileledger.sources.objects import hash_objects, list_objects
 from fileledger.sources.reports import read_report, report_items, write_report
 
 # The functions run inside tasks travel with the job, so executors need no copy of the package.
-for _module in (content, directory, objects, search, sidecars, text, walk):
+for _module in (content, directory, json_arrays, objects, search, sidecars, text, walk):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = [

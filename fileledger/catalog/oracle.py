@@ -172,6 +172,8 @@ ORDER BY path"""
 
 ORACLE: dict[str, str] = {
     "content_hash": f"WITH {_files()} SELECT file_id, path, sha256 FROM files",
+    "results_by_range": f"""WITH {_files()}
+SELECT file_id, path, CASE WHEN file_id IN (SELECT doc_id FROM labels) THEN sha256 END AS sha256 FROM files""",
     "files_on_disk": f"""WITH {_files()}
 SELECT file_id, size, sha256, CAST(NULL AS VARCHAR) AS error FROM files WHERE size >= 4096""",
     "copies_on_disk": f"""WITH {_files()}
@@ -393,6 +395,7 @@ ORDER BY 1""",
 ORACLE |= {
     "resume_new_files_bucketed": ORACLE["resume_new_files"],
     "refresh_inventory_bucketed": ORACLE["refresh_inventory"],
+    "report_items_of_array": ORACLE["report_items_of_duplicates"],
     "metadata_search_postings": ORACLE["metadata_search"],
     "metadata_search_postings_wildcard": ORACLE["metadata_search_wildcard"],
 }

@@ -15,14 +15,19 @@ from fileledger.operators.heavy_keys import join_groups
 from fileledger.operators.ordering import number_rows
 from fileledger.plans import clean, quarantine
 from fileledger.session import cut_lineage, shared_folder
+from fileledger.sources import tables
 from fileledger.sources.directory import list_where
-from fileledger.sources.reports import report_items
-from fileledger.sources.tables import write_bucketed
+from fileledger.sources.json_arrays import read_arrays
+from fileledger.sources.reports import REPORT, report_items
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LARGE_BYTES = 8192
 GATE_CAP = 16384
+#: Small enough that the array of the test data is cut into many ranges.
+ARRAY_BYTES = 2000
+#: File ids of a range: a few ranges at each scale of the test data, and one for the empty files.
+RANGE_FILES = 300
 DISK_BYTES = 4096
 #: Small enough that most files of the test data are longer than two blocks.
 DISK_BLOCK = 512
@@ -75,6 +80,17 @@ def merged_results(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.merge_results(unread, hashes.unionByName(documents), "sha256", "metadata")
 
 
+def results_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes of labelled files folded into a stored inventory, range by range of ids."""
+    files = inputs.inventory(spark, sf).select("file_id", "path", "sha256")
+    folder = f"{shared_folder(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    layout = "file_id bigint, path string, sha256 string"
+    tables.write_ranges(files.withColumn("sha256", F.lit(None).cast("string")), folder, RANGE_FILES)
+    hashes = files.join(inputs.labelled(spark, sf).select("file_id"), "file_id", "left_semi")
+    tables.update_ranges(spark, folder, hashes, "sha256", range_ids=RANGE_FILES, layout=layout)
+    return tables.read_ranges(spark, folder, layout).select("file_id", "path", "sha256")
+
+
 def text_stats(spark: SparkSession, sf: str) -> DataFrame:
     documents = inputs.table(spark, sf, "documents")
     return documents.select("doc_id", text.text_stats(F.col("text")).alias("s")).select(
@@ -154,6 +170,19 @@ def report_items_of_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return report_items(report)
 
 
+def report_items_of_array(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of the duplicate groups as one JSON array, read back in ranges of bytes."""
+    members = duplicates.removable_files(inputs.inventory(spark, sf))
+    folder = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    item = F.to_json(F.struct("file_id", "path", "size", F.lit('[{"\\').alias("mark")))
+    # One line a file: the array begins on the first and ends on the last.
+    lines = members.select(F.lit(1).alias("turn"), F.concat(F.lit(","), item).alias("value"))
+    ends = F.array(F.struct(F.lit(0).alias("turn"), F.lit('[{"mark": "first"}').alias("value")), F.struct(F.lit(2), F.lit("]")))
+    whole = lines.unionByName(spark.range(1).select(F.inline(ends)))
+    whole.repartition(1).sortWithinPartitions("turn").select("value").write.text(folder)
+    return report_items(read_arrays(spark, folder, REPORT, range_bytes=ARRAY_BYTES))
+
+
 def files_sharing_a_size(spark: SparkSession, sf: str) -> DataFrame:
     files = inputs.inventory(spark, sf).select("file_id", "path", "size")
     return duplicates.files_sharing_a_size(files)
@@ -306,7 +335,7 @@ def _bucketed(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The files as a table dealt by path into as many buckets as a shuffle has partitions."""
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     folder = f"{shared_folder(spark).rstrip('/')}/inventory-{uuid.uuid4().hex}"
-    return spark.table(write_bucketed(files, folder, buckets))
+    return spark.table(tables.write_bucketed(files, folder, buckets))
 
 
 def resume_new_files_bucketed(spark: SparkSession, sf: str) -> DataFrame:
@@ -487,6 +516,7 @@ QUERIES: dict[str, Query] = {
         files_on_disk,
         copies_on_disk,
         merged_results,
+        results_by_range,
         text_stats,
         text_stats_pages,
         text_stats_conversations,
@@ -499,6 +529,7 @@ QUERIES: dict[str, Query] = {
         duplicate_report,
         duplicate_numbers,
         report_items_of_duplicates,
+        report_items_of_array,
         files_sharing_a_size,
         large_files,
         old_files,

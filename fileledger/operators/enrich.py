@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fileledger.functions import metadata, names, text
 from fileledger.operators.duplicates import files_sharing_a_size
 from fileledger.operators.heavy_keys import SLICE_ROWS, join_groups
+from fileledger.operators.merge import merge_results as merge_results
 from fileledger.session import cut_lineage
 from fileledger.sources import content
 
@@ -124,25 +125,6 @@ def files_left(inventory: DataFrame, results: DataFrame) -> DataFrame:
     return inventory.join(done, "file_id", "left_anti").select(*inventory.columns)
 
 
-def merge_results(inventory: DataFrame, results: DataFrame, *columns: str) -> DataFrame:
-    """The inventory with new values where `results` has them, by file id.
-
-    A file with several results, as after a job begun again or of jobs that fill different columns,
-    stays one row; column by column a value goes before none, and the larger of two counts. Write the outcome to a new place: the inventory is still being read while it is written.
-    """
-    # On the key of the join, so the two share one shuffle.
-    fresh = results.groupBy("file_id").agg(
-        *[F.max(c).alias(f"_new_{c}") for c in columns]
-    )
-    merged = inventory.join(fresh, "file_id", "left")
-    return merged.select(
-        *[
-            F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c)
-            for c in inventory.columns
-        ]
-    )
-
-
 def outcomes_of(ledger: DataFrame, kind: str, results: DataFrame) -> DataFrame:
     """(work_id, success, message) of running work items, from a job's (file_id, error)."""
     running = ledger.filter((F.col("kind") == kind) & (F.col("status") == "running"))

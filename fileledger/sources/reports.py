@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fileledger.functions.times import iso_text
+from fileledger.sources.json_arrays import read_arrays
 
 # A report read back: flat reports fill the upper columns, duplicate reports the lower ones. The
 # Portuguese names are fixed values: the keys of array reports written by the earlier tool.
@@ -49,9 +50,13 @@ def write_report(report: DataFrame, path: str, fmt: str = "json") -> str:
 
 
 def read_report(spark: SparkSession, path: str, single_array: bool = False) -> DataFrame:
-    """A report as written by `write_report`, or one JSON array per file with `single_array`."""
-    reader = spark.read.schema(REPORT).option("mode", "PERMISSIVE")
-    return reader.option("multiLine", single_array).json(path)
+    """A report as written by `write_report`, or one JSON array per file with `single_array`.
+
+    An array is read by many tasks, in ranges of bytes.
+    """
+    if single_array:
+        return read_arrays(spark, path, REPORT)
+    return spark.read.schema(REPORT).option("mode", "PERMISSIVE").json(path)
 
 
 def report_items(report: DataFrame) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fileledger.operators.merge import merge_results
 from fileledger.schema import INVENTORY, MANIFEST
+from fileledger.session import cut_lineage
+
+#: File ids of a directory of an inventory in ranges.
+RANGE_IDS = 1_000_000
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +52,43 @@ def open_bucketed(spark: SparkSession, path: str, buckets: int, layout: str = IN
     return spark.table(name)
 
 
+def write_ranges(inventory: DataFrame, path: str, range_ids: int = RANGE_IDS, mode: str = "error") -> None:
+    """Write an inventory in directories of `range_ids` consecutive file ids each."""
+    ranged = inventory.withColumn("id_range", _range_of("file_id", range_ids))
+    # A range is one task's file, however the rows lay before.
+    ranged.repartition("id_range").write.mode(mode).partitionBy("id_range").parquet(path)
+
+
+def read_ranges(spark: SparkSession, path: str, layout: str = INVENTORY) -> DataFrame:
+    """An inventory written by `write_ranges`; conditions on `id_range` leave out whole directories."""
+    return spark.read.schema(f"{layout}, id_range bigint").parquet(path)
+
+
+def update_ranges(
+    spark: SparkSession, path: str, results: DataFrame, *columns: str, range_ids: int = RANGE_IDS, layout: str = INVENTORY
+) -> list[int]:
+    """Fold results into the inventory at `path` and rewrite only the ranges that have some; returns them.
+
+    Other ranges are neither read nor touched. The new rows are written down before old ones go, and
+    each range is exchanged as a whole, so a job broken off leaves ranges old or new; run again, it
+    gives the same table. Ids the inventory does not have are left out. One update at a time. The
+    list of ranges, one number for every `range_ids` ids, passes through the driver.
+    """
+    known = read_ranges(spark, path, layout)
+    of_results = results.select(_range_of("file_id", range_ids).alias("id_range")).filter("id_range is not null").distinct()
+    ranges = sorted(r[0] for r in of_results.collect())
+    if not ranges:
+        return []
+    merged = cut_lineage(merge_results(known.filter(F.col("id_range").isin(ranges)), results, *columns))
+    changed = merged.repartition("id_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    changed.partitionBy("id_range").parquet(path)
+    return ranges
+
+
+def _range_of(file_id: str, range_ids: int) -> Column:
+    return F.floor(F.col(file_id) / range_ids).cast("bigint")
+
+
 def in_inventory_layout(files: DataFrame) -> DataFrame:
     """Exactly the inventory's columns, absent ones null."""
     layout = T.StructType.fromDDL(INVENTORY)

@@ -91,3 +91,25 @@ def test_only_keepers_are_moved_a_second_time(spark, tmp_path, no_broadcast):
     below = plan[: plan.index("FileScan parquet")]
     moved, kept = below.rindex("Exchange hashpartitioning(keeper_id"), below.rindex("Filter (")
     assert moved < kept and "getbit" in below[kept:]
+
+
+def test_only_ranges_with_results_are_rewritten(spark, files, tmp_path):
+    from fileledger.sources.tables import read_ranges, update_ranges, write_ranges
+
+    folder = str(tmp_path / "ranges")
+    write_ranges(files, folder, 100)
+
+    def stored():
+        return {p.relative_to(folder).as_posix() for p in (tmp_path / "ranges").glob("id_range=*/part-*")}
+
+    before = stored()
+    assert {p.split("/")[0] for p in before} == {f"id_range={k}" for k in range(4)}
+    results = spark.createDataFrame([(5, "five"), (7, None), (301, "late"), (5, None), (9999, "unknown"), (None, "x")], "file_id bigint, sha256 string")
+    for _ in range(2):  # a job broken off and begun again
+        assert update_ranges(spark, folder, results, "sha256", range_ids=100) == [0, 3, 99]
+        found = read_ranges(spark, folder)
+        assert {r.file_id: r.sha256 for r in found.filter("sha256 is not null").collect()} == {5: "five", 301: "late"}
+        assert found.drop("id_range", "sha256").exceptAll(files.drop("sha256")).count() == 0 and found.count() == 400
+        kept = {p for p in before if p.startswith(("id_range=1/", "id_range=2/"))}
+        assert kept <= stored() and not (before - kept) & stored()
+    assert update_ranges(spark, folder, results.limit(0), "sha256", range_ids=100) == []
