@@ -177,7 +177,8 @@ def report_items_of_array(spark: SparkSession, sf: str) -> DataFrame:
     item = F.to_json(F.struct("file_id", "path", "size", F.lit('[{"\\').alias("mark")))
     # One line a file: the array begins on the first and ends on the last.
     lines = members.select(F.lit(1).alias("turn"), F.concat(F.lit(","), item).alias("value"))
-    ends = F.array(F.struct(F.lit(0).alias("turn"), F.lit('[{"mark": "first"}').alias("value")), F.struct(F.lit(2), F.lit("]")))
+    ends = [(0, '[{"mark": "first"}'), (2, "]")]
+    ends = F.array(*[F.struct(F.lit(turn).alias("turn"), F.lit(value).alias("value")) for turn, value in ends])
     whole = lines.unionByName(spark.range(1).select(F.inline(ends)))
     whole.repartition(1).sortWithinPartitions("turn").select("value").write.text(folder)
     return report_items(read_arrays(spark, folder, REPORT, range_bytes=ARRAY_BYTES))
