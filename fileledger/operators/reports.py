@@ -89,6 +89,6 @@ def analyze(
         return find_empty(inventory)
     if kind == "search":
         if not keyword:
-            raise ValueError("keyword required for search analysis")
+            raise ValueError("a search needs a keyword to look for")
         return search_metadata(inventory, keyword)
-    raise ValueError(f"Unknown analysis type: {kind}")
+    raise ValueError(f"no report is called {kind!r}")

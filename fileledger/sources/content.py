@@ -79,7 +79,7 @@ def whole_file(path: str) -> dict:
 
 
 def _message(problem: Exception, path: str) -> str:
-    return f"File not found: {path}" if isinstance(problem, FileNotFoundError) else str(problem)
+    return f"nothing lies at {path}" if isinstance(problem, FileNotFoundError) else str(problem)
 
 
 def in_advance(work: Callable[[str], dict], paths: Iterable[str], most: int) -> Iterator[tuple[dict, str | None]]:

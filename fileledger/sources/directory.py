@@ -99,7 +99,7 @@ class Subtree(InputPartition):
 def _checked_root(options) -> str:
     root = options.get("path")
     if not root or not os.path.isdir(root):
-        raise FileNotFoundError(f"Directory not found: {root}")
+        raise FileNotFoundError(f"no directory to list at {root}")
     return root
 
 

@@ -29,7 +29,7 @@ def _iso_times(value: Column, kind: T.DataType) -> Column:
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> str:
     """Write a report as JSON lines or CSV with a header; lists become JSON text in CSV."""
     if fmt not in ("json", "csv"):
-        raise ValueError(f"Unsupported format: {fmt}")
+        raise ValueError(f"a report is written as json or csv, not as {fmt}")
     texts = report.select(
         *[_iso_times(F.col(f.name), f.dataType).alias(f.name) for f in report.schema]
     )

@@ -79,7 +79,7 @@ def test_list_tree_sees_everything(spark, tree, budget):
 
 
 def test_missing_root(spark, tmp_path):
-    with pytest.raises(FileNotFoundError, match="Directory not found"):
+    with pytest.raises(FileNotFoundError, match="no directory to list"):
         list_tree(spark, str(tmp_path / "none"))
 
 
@@ -274,7 +274,7 @@ def test_failed_reads_become_outcomes(spark, tree, inventory):
     rows = {(r.file_id, r.kind): r for r in folded.collect()}
     ids = {r.path: r.file_id for r in inventory.collect()}
     failed = rows[(ids[gone], "hash")]
-    assert (failed.status, failed.attempts, failed.error) == ("retry", 1, f"File not found: {gone}")
+    assert (failed.status, failed.attempts, failed.error) == ("retry", 1, f"nothing lies at {gone}")
     done = [r for r in rows.values() if r.status == "done"]
     assert len(done) == len(CONTENTS) - 1 and all(r.kind == "hash" for r in done)
     assert sum(r.status == "pending" for r in rows.values()) == len(CONTENTS)
@@ -363,7 +363,7 @@ def test_live_size_counts_for_the_cap(spark, tree, inventory):
     assert json.loads(row.metadata) == {"skipped": "file too large"}
     os.remove(path)
     row = extract_metadata(one, size_cap=50).first()
-    assert row.metadata is None and row.error == f"File not found: {path}"
+    assert row.metadata is None and row.error == f"nothing lies at {path}"
 
 
 def test_enrich_files_with_own_work(spark, tree, inventory):
