@@ -2,7 +2,8 @@
 
 The symbols of all distinct words of some MB of text lie in one flat array. Each round finds the
 best pair rank per word, merges the leftmost such pairs of all words at once, and closes the gaps;
-words without a pair leave the array. It gives the ids of the library's own encoder, which merges
+words without a pair leave the array. Long words' places wait by rank in linked arrays instead, so
+that a round touches its own places and their neighbours only. It gives the ids of the library's own encoder, which merges
 the best pair of a sentence again and again, leftmost on ties: in such a vocabulary no piece goes
 on after a word's end, so words don't influence each other.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from heapq import heappop, heappush
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +26,10 @@ from fileledger.llm.words import WordIds
 
 _NONE = np.int32(2**31 - 1)
 _SPACE = 0x20
+#: Characters from which a word is long: rounds over all of it would take time with their square.
+LONG_WORD = 128
+#: Places in a row that wait for each other and are looked at together.
+_CHAIN = 32
 
 
 class Vocabulary:
@@ -42,6 +48,7 @@ class Vocabulary:
             raise ValueError("a piece goes on after a space: words can't be encoded on their own")
         if any(name.startswith("  ") and name.strip(" ") for name in ids):
             raise ValueError("a piece has letters behind two spaces")
+        self.longest = max(map(len, ids))
         scores = np.array([model.get_score(i) for i in range(size)])
         ranks = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         self.unknown = size
@@ -146,6 +153,10 @@ class Vocabulary:
         word = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(points))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        long = np.repeat(lengths > LONG_WORD, lengths)
+        if long.any():
+            done.append(self._by_rank(symbols[long], word[long], place[long]))
+            symbols, word, place = symbols[~long], word[~long], place[~long]
         last = np.ones(len(symbols), bool)
         last[:-1] = word[1:] != word[:-1]
         merged = np.full(len(symbols), self.unknown, np.int32)
@@ -168,7 +179,7 @@ class Vocabulary:
             # Of places in a row every other one, from the left; one place only where a merge may
             # bring a better pair.
             row = np.append(True, np.diff(at) != 1)
-            behind = np.arange(len(at)) - np.flatnonzero(row)[np.cumsum(row) - 1]
+            behind = _behind(row)
             first = np.append(True, word[at[1:]] != word[at[:-1]])
             at = at[(behind % 2 == 0) & (first | self.at_once[merged[at]])]
             symbols[at] = merged[at]
@@ -191,6 +202,82 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return self._finish(word[order], symbols[order], place[order], points, len(lengths))
 
+    def _by_rank(self, symbols: np.ndarray, word: np.ndarray, place: np.ndarray):
+        """The rounds for long words: each merges places of the best rank that waits anywhere.
+
+        Words don't touch each other, so a word's places of that rank are its best. Where a merge may
+        bring a better pair, that pair and all it leads to hold the place merged, so they lie within
+        the longest piece around it: places twice that apart can't meet, and go in one round.
+        """
+        size = len(symbols)
+        new = np.append(True, word[1:] != word[:-1])
+        # `size` stands for no neighbour; its symbol has no pairs.
+        before = np.where(new, size, np.arange(-1, size - 1))
+        before = np.append(before, size)
+        after = np.where(np.append(new[1:], True), size, np.arange(1, size + 1))
+        symbols = np.append(symbols, np.int32(self.unknown))
+        merged = np.full(size + 1, self.unknown, np.int32)
+        merged[:size] = self.merge_of(symbols[:size], symbols[after])
+        alive = np.ones(size, bool)
+        #: Places by rank: new ones, and those of a rank begun, what comes next at the end.
+        waiting: dict[int, list[np.ndarray]] = {}
+        begun: dict[int, list[np.ndarray]] = {}
+        open_: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            ranks = self.ranks[merged[places]]
+            order = np.argsort(ranks, kind="stable")
+            order = order[: np.searchsorted(ranks[order], _NONE)]
+            places, ranks = places[order], ranks[order]
+            heads = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))[: len(ranks)]
+            for rank, part in zip(ranks[heads].tolist(), np.split(places, heads[1:]), strict=False):
+                if rank not in waiting and rank not in begun:
+                    heappush(open_, rank)
+                waiting.setdefault(rank, []).append(part)
+
+        wait(np.arange(size))
+        while open_:
+            rank = open_[0]
+            if rank in waiting:
+                # Once the rank is begun these lie left of what is left over near them.
+                at = np.unique(np.concatenate(waiting.pop(rank)))
+                begun.setdefault(rank, [])
+            elif begun[rank]:
+                at = begun[rank].pop()
+            else:
+                del begun[heappop(open_)]
+                continue
+            at = at[self.ranks[merged[at]] == rank]  # others have changed since
+            if not len(at):
+                continue
+            if self.at_once[merged[at]].all():
+                row = np.append(True, after[at[:-1]] != at[1:])
+                take = _behind(row) % 2 == 0
+            else:
+                apart = (at[1:] - at[:-1] > 2 * self.longest) | (word[at[1:]] != word[at[:-1]])
+                chain = np.append(True, apart)
+                behind, heads = _behind(chain), np.flatnonzero(chain)
+                lengths = np.diff(np.append(heads, len(at)))
+                if lengths.max() > _CHAIN:  # the first halves of chains go first
+                    half = behind < np.repeat(np.maximum(_CHAIN, (lengths + 1) // 2), lengths)
+                    begun[rank] += [at[~half], at[half]]
+                    continue
+                take = chain
+            if not take.all():
+                begun[rank].append(at[~take])
+            at = at[take]
+            gone = after[at]
+            symbols[at] = merged[at]
+            merged[gone] = self.unknown
+            alive[gone] = False
+            after[at] = after[gone]
+            before[after[at]] = at
+            changed = np.unique(np.append(at, before[at]))
+            changed = changed[changed < size]
+            merged[changed] = self.merge_of(symbols[changed], symbols[after[changed]])
+            wait(changed)
+        return word[alive], symbols[:-1][alive], place[alive]
+
     def _finish(self, word, symbols, place, points, words):
         """Merge runs of spaces, and write unknown characters as bytes."""
         sizes = np.bincount(word, minlength=words)
@@ -239,6 +326,11 @@ class Vocabulary:
         return text[1:] if text.startswith(b" ") else text
 
 
+def _behind(heads: np.ndarray) -> np.ndarray:
+    """How far each entry is behind the last one marked."""
+    return np.arange(len(heads)) - np.flatnonzero(heads)[np.cumsum(heads) - 1]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -261,7 +353,8 @@ def piece_ids(
     """Add `piece_ids` and `decoded`, the text that the ids stand for, to each row.
 
     Rows are encoded where they lie, without a shuffle. A null or empty text has no ids and decodes
-    to an empty text; repeated rows are encoded each. Other columns stay; those called like the new
+    to an empty text; repeated rows are encoded each. Long texts, and long words without a space, take
+    time in proportion to their length. Other columns stay; those called like the new
     ones are replaced.
     """
 

@@ -107,6 +107,44 @@ def test_word_memory_is_bounded(monkeypatch):
         assert ids.tolist() == library.encode(text or "") and starts.tolist() == [0, len(ids)]
 
 
+def _long_words(size: int) -> list[str]:
+    rng = np.random.default_rng(size)
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size)
+    parts = rng.choice(["the", "th", "in", "ing", "tion", "er", "he", "\u00e9", "\u4e2d", "7", "Q"], size // 3)
+    made = ["".join(letters), "".join(parts), "the" * (size // 3), "a" * size, "-" * size, " " * size]
+    return [*made, f"{made[0]} {made[1]}  short {made[2]}x", made[1] + " " * 200 + made[0]]
+
+
+@pytest.mark.parametrize("size", [130, 400, 3000])
+def test_long_words_are_those_of_the_library(size):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = SentencePieceProcessor(model_file=path)
+    own = pieces.Vocabulary(path)
+    texts = _long_words(size)
+    ids, starts = own.encode([x.encode() for x in texts])
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(text)
+
+
+def test_work_on_long_words_grows_with_their_length(monkeypatch):
+    own = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    seen = []
+    look = own.merge_of
+    monkeypatch.setattr(own, "merge_of", lambda left, right: seen.append(len(left)) or look(left, right))
+
+    def work(text: str) -> tuple[int, int]:
+        seen.clear()
+        own.encode([text.encode()])
+        return sum(seen), len(seen)
+
+    for short, long in zip(_long_words(6000), _long_words(12000), strict=True):
+        pairs, rounds = work(short)
+        more_pairs, more_rounds = work(long)
+        assert more_pairs <= 2.3 * pairs and more_rounds <= 2.3 * rounds
+
+
 # Token files
 
 
