@@ -132,6 +132,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs of equal ones, and where each run begins and the last ends."""
+    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))[: len(values)]
+    return values[heads], np.append(heads, len(values))
+
+
 def covered(marks: np.ndarray, size: int, length: int) -> np.ndarray:
     """Which of `length` places lie in a run of `size` that begins at a marked one."""
     depth = np.zeros(len(marks) + size, np.int32)

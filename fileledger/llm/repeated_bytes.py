@@ -142,6 +142,12 @@ def _all_strings(size: np.ndarray) -> np.ndarray:
     return ((1 << (size - LENGTH + 1)) - 1).astype(np.int32)
 
 
+def known_buckets(segment: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where rows go that meet nothing: by segment and document, as many documents may hold a segment."""
+    spread = flat.mix(segment ^ flat.mix(doc.view(np.uint64)))
+    return -1 - (spread >> np.uint64(44)).astype(np.int64)
+
+
 _SENT = "bucket bigint, one binary, two binary, docs binary, sizes binary, texts binary, doc_id bigint, segment bigint, strings int"
 
 
@@ -162,7 +168,7 @@ def _marks(documents: DataFrame, sketch: Sketch, parts: int, buckets: int, bucke
                 # What is not of the task's smallest document of a segment is known to go.
                 yield _batch(
                     _SENT,
-                    bucket=-1 - (one[later] % np.uint64(buckets)).astype(np.int64),
+                    bucket=known_buckets(one[later], doc[later]),
                     doc_id=doc[later],
                     segment=one[later].view(np.int64),
                     strings=_all_strings(size[later]),
@@ -173,9 +179,8 @@ def _marks(documents: DataFrame, sketch: Sketch, parts: int, buckets: int, bucke
             first, bucket = first[in_bucket], bucket[in_bucket]
             text = data[flat.ragged(begin[first], size[first])]
             ends = np.append(0, np.cumsum(size[first]))
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            pieces = [slice(cuts[k], cuts[k + 1]) for k in full]
+            full, cuts = flat.runs(bucket)
+            pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield _batch(
                 _SENT,
                 bucket=full,
