@@ -25,6 +25,8 @@ from fileledger.llm.sketch import MOST_BITS, ROWS, Sketch, maybe_repeated, repea
 WINDOW = 13
 #: Windows a task keeps before it sends them on.
 _HELD = 1 << 21
+#: Windows of the corpus for each range of hashes; those of a range that may be repeated meet in memory.
+RANGE_WINDOWS = 1 << 21
 _LAST_ID = 2**63 - 1
 
 
@@ -64,6 +66,16 @@ def _distinct(one: np.ndarray, two: np.ndarray, doc: np.ndarray):
     return one, two, doc, heads, later
 
 
+def _joined(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The arrays of all entries behind each other; the list is empty then."""
+    columns = list(zip(*held, strict=True))
+    held.clear()
+    out = []
+    while columns:
+        out.append(np.concatenate(columns.pop(0)))
+    return out
+
+
 def _held_windows(
     batches: Iterator[pa.RecordBatch], size: int, sketch: Sketch
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,14 +90,17 @@ def _held_windows(
                 held.append((one[at], (two[at] >> np.uint64(32)).astype(np.uint32), ids[row[at]]))
                 waiting += len(at)
             if waiting > _HELD:
-                yield _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, waiting = [], 0
+                yield _distinct(*_joined(held))
+                waiting = 0
     if held:
-        yield _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield _distinct(*_joined(held))
 
 
-def _marks(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataFrame:
-    """Windows that an earlier document holds too: rows (doc_id, hash, hashes), with one or several."""
+def _marks(documents: DataFrame, size: int, sketch: Sketch, ranges: int) -> DataFrame:
+    """Windows that an earlier document holds too: rows (doc_id, hash, hashes), with one or several.
+
+    Windows meet in `ranges` ranges of hashes, of which a task of the shuffle takes several, one at a time.
+    """
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What is not of a task's smallest document of a window: a row for each document."""
@@ -102,10 +117,9 @@ def _marks(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataF
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, two, doc, heads, _ in _held_windows(batches, size, sketch):
             one, two, doc = one[heads], two[heads], doc[heads]
-            part = ((one >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            pieces = [slice(cuts[k], cuts[k + 1]) for k in full]
+            part = ((one >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            full, cuts = flat.runs(part)
+            pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             # Small numbers have zeros in their upper bytes, so these go together.
             docs = [doc[x].view(np.uint8).reshape(-1, 8).T.tobytes() for x in pieces]
             lists = [[one[x].tobytes() for x in pieces], [two[x].tobytes() for x in pieces], docs]
@@ -119,7 +133,7 @@ def _marks(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataF
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            one, _, doc, _, later = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            one, _, doc, _, later = _distinct(*_joined(held))
             later[1:] &= (one[1:] != one[:-1]) | (doc[1:] != doc[:-1])
             return _found(doc[later], one[later].view(np.int64), None)
 
@@ -127,13 +141,13 @@ def _marks(documents: DataFrame, size: int, sketch: Sketch, parts: int) -> DataF
             for part, one, two, docs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != now and held:
                     yield out()
-                    held = []
                 now = part
                 ids = np.ascontiguousarray(np.frombuffer(docs, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
                 held.append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint32), ids))
         if held:
             yield out()
 
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = documents.mapInArrow(send, _SENT).repartition(parts, "part").sortWithinPartitions("part")
     return documents.mapInArrow(known, _FOUND).unionByName(met.mapInArrow(meet, _FOUND))
 
@@ -156,28 +170,31 @@ def without_repeats(
     doc_id: str = "doc_id",
     text: str = "text",
     most_bits: int = MOST_BITS,
+    range_windows: int = RANGE_WINDOWS,
 ) -> DataFrame:
     """One row (doc_id, n_words, n_removed, kept) per document, without the words of repeated windows.
 
     A word is removed if a window of `size` words over it occurs, anywhere, in a document with a
     smaller id; windows are judged on the texts as given. `kept` has the other words, one space
     between them. Null and empty texts have no words. Rows with equal ids don't remove each other's
-    words; a null id counts as larger than all others. Other columns are not read.
+    words; a null id counts as 2^63 - 1, the largest there is. Other columns are not read.
 
     Of a window held by many documents each task sends the smallest only, so no window is hot. The
     sketch's size is fixed by `rows` and `most_bits`; for fewer windows it is smaller.
     """
     spark = documents.sparkSession
     source = documents.select(
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST_ID)).alias("doc_id"), F.col(text).alias("text")
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST_ID)).alias("doc_id"),
+        F.col(text).alias("text"),
+        F.col(doc_id).cast("bigint").alias("_id"),
     )
     # About as many windows as words, and a word to six bytes.
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sketch = repeated_cells(
         source, lambda batch: (one for one, _, _ in windows(batch, size)), n_bytes // 6, rows, most_bits
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = _marks(source, size, sketch, parts)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // 6 // range_windows)
+    marks = _marks(source.select("doc_id", "text"), size, sketch, ranges)
     marks = marks.groupBy("doc_id").agg(F.collect_list("hash").alias("_some"), F.collect_list("hashes").alias("_more"))
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -200,10 +217,8 @@ def without_repeats(
         return [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
 
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", BinaryType())]
-    found = add_columns(source.join(marks, "doc_id", "left"), fields, cut, keep=["doc_id"], uses=["_some", "_more"])
-    return found.withColumns(
-        {"doc_id": F.nullif("doc_id", F.lit(_LAST_ID)), "kept": F.col("kept").cast("string")}
-    )
+    found = add_columns(source.join(marks, "doc_id", "left"), fields, cut, keep=["_id"], uses=["_some", "_more"])
+    return found.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
 def op2_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:

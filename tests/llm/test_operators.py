@@ -233,8 +233,8 @@ def test_repeated_words(documents, nothing, monkeypatch):
     for i, own, gone in removed(TEXTS, lambda t: raw(t).split(), 13):
         kept = b" ".join(w for k, w in enumerate(own) if k not in gone).decode()
         want.append((i, len(own), len(gone), kept))
-    for bits in (29, 16):
-        got = repeated_words.without_repeats(documents, most_bits=bits)
+    for bits, windows in ((29, repeated_words.RANGE_WINDOWS), (16, 50)):
+        got = repeated_words.without_repeats(documents, most_bits=bits, range_windows=windows)
         assert order(got.select("doc_id", "n_words", "n_removed", "kept").collect()) == order(want)
     assert sum(w[2] for w in want) > 300
     assert repeated_words.without_repeats(nothing).count() == 0
@@ -254,6 +254,30 @@ def test_repeated_bytes(documents, nothing, bucket_bytes):
     assert repeated_bytes.without_repeats(nothing).count() == 0
 
 
+def test_many_documents_without_id_or_with_the_largest(spark):
+    passage = " ".join(f"word{k}" for k in range(30))
+    last = 2**63 - 1
+    rows = [(3, passage), *((None, f"n{k} {passage} m{k}") for k in range(40)), (last, passage), (last, f"{passage} more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    words = repeated_words.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept").collect()
+    want = [(3, 30, 0, passage), *((None, 32, 30, f"n{k} m{k}") for k in range(40)), (last, 30, 30, ""), (last, 31, 30, "more")]
+    assert order(words) == order(want)
+    found = repeated_bytes.without_repeats(docs).select("doc_id", "kept").collect()
+    kept = [(3, passage), *((None, f"n{k}  m{k}") for k in range(40)), (last, ""), (last, " more")]
+    assert order((r[0], bytes(r[1])) for r in found) == order((i, x.encode()) for i, x in kept)
+
+
+def test_known_segments_are_dealt_apart(spark):
+    """One passage in every document: no task of the shuffle gets a large part of the rows."""
+    passage = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(k, passage) for k in range(2000)], "doc_id bigint, text string").coalesce(1)
+    doc = np.arange(1, 2000)
+    spread = repeated_bytes.known_buckets(np.full(len(doc), 77, np.uint64), doc)
+    assert (spread < 0).all() and len(np.unique(spread)) > 1900
+    got = repeated_bytes.without_repeats(docs)
+    assert got.filter("n_removed = n_bytes").count() == 1999
+
+
 def test_only_whole_characters_go(documents):
     got = repeated_bytes.without_repeats(documents, whole_characters=True).collect()
     assert all(bytes(r.kept).decode() is not None for r in got)
