@@ -276,9 +276,9 @@ def _repeated_strings(one, two, doc, size, data) -> Iterator[pa.RecordBatch]:
     starts = np.cumsum(sizes) - sizes
     strings = sizes - LENGTH + 1
     at = flat.ragged(starts, strings)
-    block = np.searchsorted(rows, row[at], side="right") - 1
-    held_by = least[np.searchsorted(index.starts, places[block], side="right") - 1]
-    held_by = np.where(length[at] >= LENGTH, held_by, _LAST_ID)
+    held = least[np.searchsorted(index.starts, places, side="right") - 1]  # by block
+    block = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(np.append(rows, len(text) + len(sizes))))
+    held_by = np.where(length[at] >= LENGTH, held[block[row[at]]], _LAST_ID)
     # Each entry against its segment's strings.
     number = np.empty(len(heads), np.int64)
     number[by_doc] = np.arange(len(heads))

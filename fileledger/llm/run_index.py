@@ -25,7 +25,7 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     """
     size = len(symbols)
     place = np.arange(size)
-    end = ends[np.searchsorted(ends, place)]
+    end = np.repeat(ends, np.diff(np.append(-1, ends)))
     # Seven symbols of nine bits; behind the separator all is zero.
     key = np.zeros(size, np.int64)
     left = end - place
@@ -82,6 +82,7 @@ class RunIndex:
         self.steps = np.empty(len(heads), np.int64)
         self.steps[by_symbol] = np.cumsum(sizes[by_symbol]) - sizes[by_symbol]
         self.run_ends = heads + sizes - 1
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), sizes)
         # Runs in the order of (symbol, run).
         self.by_symbol = self.run_symbols[by_symbol] * len(heads) + by_symbol
 
@@ -112,7 +113,7 @@ class RunIndex:
     def step(self, row: np.ndarray, place: np.ndarray, length: np.ndarray, symbol: np.ndarray):
         """One symbol more, to the left, for all patterns: their new rows, places and match lengths."""
         runs = len(self.run_starts)
-        run = np.searchsorted(self.run_starts, row, side="right") - 1
+        run = self.run_of[row].astype(np.int64)
         row, place, length = row.copy(), place.copy(), length.copy()
         off = np.flatnonzero(self.run_symbols[run] != symbol)
         if len(off):
