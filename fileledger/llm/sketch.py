@@ -70,6 +70,7 @@ def repeated_cells(
     slice_bits = min(bits, _SLICE_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # one that this worker has from a job before
         held: list[np.ndarray] = []
 
         def send() -> pa.RecordBatch:
