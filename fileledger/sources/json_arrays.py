@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RANGE_BYTES = 32 << 20
+#: Read first behind a range, for the rest of its last record.
+AHEAD_BYTES = 4096
 _QUOTE, _BACKSLASH = 0x22, 0x5C
 _STEP = np.zeros(256, np.int32)
 _STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
@@ -78,12 +80,20 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(file: pa.NativeFile, start: int, stop: int, inside: bool, depth: int, step: int = 1 << 22) -> Iterator[bytes]:
-    """The objects of the array that begin between start and stop; the last one may go on behind."""
-    at, held, begun = start, b"", False
+    """The objects of the array that begin between start and stop; the last one may go on behind.
+
+    Behind the range only the rest of that one is wanted. So little is read there at first, and each time twice as
+    much, up to `step`: what is read grows with the range and its last object, not with the file.
+    """
+    at, held, begun, ahead = start, [], False, AHEAD_BYTES
     before = _backslashes_before(file, start)
     while True:
         file.seek(at)
-        raw = file.read(step if at >= stop else min(step, stop - at))
+        if at < stop:
+            raw = file.read(min(step, stop - at))
+        else:
+            raw = file.read(min(step, ahead))
+            ahead *= 2
         if not raw:
             return
         data = np.frombuffer(raw, np.uint8)
@@ -92,10 +102,9 @@ def _records(file: pa.NativeFile, start: int, stop: int, inside: bool, depth: in
         last = (data == _CLOSE) & outside & (depths == 1)
         starts, ends = np.flatnonzero(first).tolist(), (np.flatnonzero(last) + 1).tolist()
         if begun:
-            if not ends:
-                held += raw
-            else:
-                yield held + raw[: ends[0]]
+            held.append(raw[: ends[0]] if ends else raw)
+            if ends:
+                yield b"".join(held)
                 ends, begun = ends[1:], False
         if not begun:
             # Begun here and not behind the range.
@@ -105,7 +114,7 @@ def _records(file: pa.NativeFile, start: int, stop: int, inside: bool, depth: in
             for a, b in zip(starts, ends):
                 yield raw[a:b]
             if len(starts) > len(ends):
-                held, begun = raw[starts[len(ends)] :], True
+                held, begun = [raw[starts[len(ends)] :]], True
         tail = len(raw) - len(raw.rstrip(b"\\"))
         before = tail + (before if tail == len(raw) else 0)
         inside = not bool(outside[-1])
