@@ -4,6 +4,9 @@ Each task sends, for every row of counters, which counters its hashes touch once
 often; a merge per slice of counters adds them up. Such counts are never too low, so a hash with a
 counter below two occurs once. Two is all that is asked, so counters stop there. The merged sketch
 lies in the shared folder, from where tasks read it; it does not go through the driver.
+
+Where hashes outgrow the counters a task can load, `repeated_filter` counts in as many counters as
+hashes need, a slice at a time, and keeps a Bloom filter of those with two or more.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ MOST_BITS = 29
 _SLICE_BITS = 22
 #: Hashes a task keeps before it sends their counters on.
 _HELD = 1 << 21
+#: Counters of a slice at most; three bytes hold a place in one.
+_MOST_SLICE_BITS = 24
+#: Places that a Bloom filter has for each hash.
+_FILTER_ROWS = 2
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -69,6 +76,65 @@ def repeated_cells(
     bits = min(most_bits, max(16, (4 * expected).bit_length()))
     slice_bits = min(bits, _SLICE_BITS)
 
+    def kept(number: int, more: np.ndarray) -> bytes:
+        return np.packbits(more, bitorder="little").tobytes()
+
+    return Sketch(*_merged(documents, hashes_of, rows, bits, slice_bits, kept))
+
+
+class Filter(NamedTuple):
+    """Where a Bloom filter of the counters of two or more lies: a file per slice that has any."""
+
+    folder: str
+    bits: int
+    slice_bits: int
+    filter_bits: int
+    slices: tuple[int, ...]
+
+
+def repeated_filter(
+    documents: DataFrame,
+    hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
+    expected: int,
+    most_bits: int = MOST_BITS + 1,
+) -> Filter:
+    """A Bloom filter of the counters, in one row, that have two or more.
+
+    There are at least 16 counters per expected hash, however many those are, as they are merged a
+    slice at a time; the filter has not over 2^`most_bits` bits.
+    """
+    bits = max(16, (16 * expected).bit_length())
+    slice_bits = min(_MOST_SLICE_BITS, max(16, bits - 8))
+    # A byte for each slice at least.
+    filter_bits = max(min(most_bits, max(16, (4 * expected).bit_length())), bits - slice_bits + 3)
+
+    def kept(number: int, more: np.ndarray) -> bytes:
+        cells = np.flatnonzero(more) | (number << slice_bits)
+        out = np.zeros(1 << (filter_bits - (bits - slice_bits)), bool)
+        for row in range(_FILTER_ROWS):
+            out[_place(cells, row, filter_bits - (bits - slice_bits))] = True
+        return np.packbits(out, bitorder="little").tobytes()
+
+    folder, _, _, slices = _merged(documents, hashes_of, 1, bits, slice_bits, kept)
+    return Filter(folder, bits, slice_bits, filter_bits, slices)
+
+
+def _place(cells: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """Where a row of a filter has its bit for a counter, in the part of the counter's slice."""
+    return _cells(cells.view(np.uint64), row + 1, bits)
+
+
+def _merged(
+    documents: DataFrame,
+    hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
+    rows: int,
+    bits: int,
+    slice_bits: int,
+    kept: Callable[[int, np.ndarray], bytes],
+) -> tuple[str, int, int, tuple[int, ...]]:
+    """Counters added up, and for each slice that has some of two or more a file of what `kept`
+    makes of them; the folder, `rows` and `bits`, and the slices with a file."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()  # one that this worker has from a job before
         held: list[np.ndarray] = []
@@ -113,8 +179,7 @@ def repeated_cells(
         now, once, more = None, None, None
 
         def out() -> pa.RecordBatch:
-            bits_of = np.packbits(more, bitorder="little").tobytes()
-            write_file(folder, f"{now:08d}", TaskContext.get().taskAttemptId(), bits_of)
+            write_file(folder, f"{now:08d}", TaskContext.get().taskAttemptId(), kept(now, more))
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["slice"])
 
         for batch in batches:
@@ -137,11 +202,17 @@ def repeated_cells(
         .sortWithinPartitions("slice")
         .mapInArrow(merge, "slice int")
     )
-    return Sketch(folder, rows, bits, tuple(sorted(row["slice"] for row in merged.collect())))
+    return folder, rows, bits, tuple(sorted(row["slice"] for row in merged.collect()))
 
 
 @lru_cache(maxsize=1)
-def _loaded(sketch: Sketch) -> np.ndarray:
+def _loaded(sketch: Sketch | Filter) -> np.ndarray:
+    if isinstance(sketch, Filter):
+        slice_bytes = (1 << (sketch.filter_bits - (sketch.bits - sketch.slice_bits))) // 8
+        out = np.zeros((1 << sketch.filter_bits) // 8, np.uint8)
+        for k in sketch.slices:
+            out[k * slice_bytes : (k + 1) * slice_bytes] = np.frombuffer(read_file(sketch.folder, f"{k:08d}"), np.uint8)
+        return out
     slice_bytes = (1 << min(sketch.bits, _SLICE_BITS)) // 8
     out = np.zeros((sketch.rows << sketch.bits) // 8, np.uint8)
     for k in sketch.slices:
@@ -161,3 +232,15 @@ def maybe_repeated(hashes: np.ndarray, sketch: Sketch) -> np.ndarray:
         cells = _cells(hashes[at], row, sketch.bits)
         at = at[(cells_of_rows[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1]
     return at
+
+
+def maybe_in_filter(hashes: np.ndarray, sketch: Filter) -> np.ndarray:
+    """Places of the hashes whose counter the filter says has two or more."""
+    bits_of, at = _loaded(sketch), np.arange(len(hashes))
+    part_bits = sketch.filter_bits - (sketch.bits - sketch.slice_bits)
+    cells = _cells(hashes, 0, sketch.bits)
+    for row in range(_FILTER_ROWS):
+        places = (cells >> sketch.slice_bits << part_bits) | _place(cells, row, part_bits)
+        hit = np.flatnonzero((bits_of[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1)
+        at, cells = at[hit], cells[hit]
+    return at

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ import corpus_pipeline
 import public_tokenizers
 from fileledger.llm import (
     decontamination,
+    flat,
     language,
     pieces,
     repeated_bytes,
@@ -27,6 +29,7 @@ from fileledger.llm import (
 from fileledger.llm.components import components
 from fileledger.llm.run_index import RunIndex
 from fileledger.llm.shared_files import new_folder
+from fileledger.llm.sketch import maybe_in_filter, maybe_repeated, repeated_cells, repeated_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SHARED = "this passage of some words is long enough to be found wherever it is put by anyone at all "
@@ -278,6 +281,84 @@ def test_known_segments_are_dealt_apart(spark):
     assert got.filter("n_removed = n_bytes").count() == 1999
 
 
+def held_segments(texts: list[bytes]) -> repeated_bytes._Held:
+    """The segments of texts, the number of a text being its document."""
+    offsets = np.cumsum([0, *map(len, texts)])
+    found = repeated_bytes.segments(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    wide, key = repeated_bytes._wide(found.data, found.start), (found.key >> np.uint64(32)).astype(np.uint32)
+    return repeated_bytes._Held(key, found.one, found.two, found.text, found.end - found.start, wide)
+
+
+def test_only_segments_that_share_a_key_are_indexed():
+    pick = np.random.default_rng(5)
+    passage, other = (pick.integers(97, 123, 300, dtype=np.uint8).tobytes() for _ in range(2))
+    # Equal segments need no index, and neither do those that are alone with their key.
+    first, doc, _, size = repeated_bytes._firsts([held_segments([passage, other]), held_segments([passage, passage])])
+    assert not list(repeated_bytes._with_others(first, 1 << 17))
+    assert (first.doc[first.doc > 0] == 1).all() and (doc == 1).all() and (size >= 50).all()
+    # One byte of a copy differs: what lies over it is indexed with what it was, a key at a time if asked for.
+    changed = passage[:150] + b"." + passage[151:]
+    first, *_ = repeated_bytes._firsts([held_segments([passage, changed])])
+    parts = list(repeated_bytes._with_others(first, 1))
+    at = np.concatenate(parts)
+    assert 2 <= len(at) < len(first.key) / 2
+    assert all(len(np.unique(first.key[x])) == 1 and len(x) > 1 for x in parts)
+    assert len(list(repeated_bytes._with_others(first, 1 << 17))) == 1
+    # Of the strings over the changed byte none is marked, of the others all.
+    marked = {}
+    for batch in repeated_bytes._repeated_strings(first.taken(at)):
+        assert set(batch.column("doc_id").to_pylist()) == {1}
+        marked |= dict(zip(batch.column("segment").to_pylist(), batch.column("strings").to_pylist()))
+    found = repeated_bytes.segments(np.frombuffer(changed, np.uint8), np.array([0, 300]))
+    known = set(held_segments([passage]).one.view(np.int64).tolist())
+    for start, end, one in zip(found.start, found.end, found.one.view(np.int64).tolist()):
+        for k in range(end - start - 49):
+            assert one in known or bool(marked.get(one, 0) >> k & 1) == (not start + k <= 150 < start + k + 50)
+
+
+def test_buckets_are_few_in_large_inputs():
+    """Every flush of a task has a row for each bucket, so rows grow with the product of both."""
+    assert repeated_bytes.bucket_count(1 << 27) == 256
+    assert repeated_bytes.bucket_count(1 << 30) == 512
+    assert repeated_bytes.bucket_count(10 << 30) == 2560
+
+
+def test_filter_holds_repeated_hashes_only(spark):
+    """Hashes that come once take no room, however many there are for the bits of the filter."""
+    rows = spark.range(200_000, numPartitions=4)
+    twice = rows.union(spark.range(3000, numPartitions=1))
+
+    def hashes(batch):
+        yield flat.mix(batch.column("id").to_numpy().astype(np.uint64) + np.uint64(1))
+
+    found = repeated_filter(twice, hashes, 203_000, most_bits=16)
+    assert found.filter_bits == 16
+    of = flat.mix(np.arange(200_000).astype(np.uint64) + np.uint64(1))
+    at = maybe_in_filter(of, found)
+    assert set(range(3000)) <= set(at.tolist())
+    assert len(at) < 30_000
+    full = repeated_cells(twice, hashes, 203_000, most_bits=16)
+    assert len(maybe_repeated(of, full)) > 150_000
+
+
+def test_text_over_several_blocks_and_broken_characters():
+    """What is to go lies over borders of blocks and of texts; characters stay whole, broken ones as they are."""
+    pick = np.random.default_rng(6)
+    long = pick.integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    found = [x for x, _ in repeated_bytes._of_batch(pa.RecordBatch.from_pydict({"text": [long]}))]
+    assert len(found) > 2
+    segment, size = (np.concatenate(x) for x in zip(*((x.one.view(np.int64), x.end - x.start) for x in found)))
+    data, text = np.frombuffer(long, np.uint8), np.zeros(len(segment), np.int64)
+    gone = repeated_bytes._gone(data, np.array([0, len(data)]), text, segment, repeated_bytes._all_strings(size))
+    assert gone.all()
+    texts = ["äöü".encode(), b"", "äöü".encode()[1:], b"abc"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    gone = np.ones(len(data), bool)
+    gone[[0, 7, 11]] = False
+    whole = repeated_bytes._whole_characters(data, offsets, gone)
+    assert whole.tolist() == [False] * 2 + [True] * 4 + [True, False] + [True] * 3 + [False, True, True]
+
+
 def test_only_whole_characters_go(documents):
     got = repeated_bytes.without_repeats(documents, whole_characters=True).collect()
     assert all(bytes(r.kept).decode() is not None for r in got)
